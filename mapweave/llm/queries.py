@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, sharding
+from . import bpe_chunks, chat, exact_dedup, jpeg, packing, sharding
 from .common import table, text_of
 
 
+def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.features(jpeg.store(table(spark, sf_dir, "documents")))
+
+
+def op4_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_chunks.encode(table(spark, sf_dir, "documents"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
