@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, chat, exact_dedup, jpeg, packing, sharding
-from .common import table, text_of
+from . import bpe_chunks, chat, exact_dedup, jpeg, packing, sharding, token_counts, warc
+from .common import materialize, table, text_of, work_dir
 
 
 def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,32 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_char
 """
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserts every document with a provisional count (a token per four bytes), revises all counts to exact ones, and replays both batches, which changes nothing."""
+    exact = materialize(token_counts.counted(table(spark, sf_dir, "documents")), "counted")
+    guess = F.expr("n_bytes div 4")
+    rollup = token_counts.Rollup(spark, work_dir(spark, "rollup"))
+    for _ in range(2):
+        rollup.commit("insert-1", exact.withColumns({"kind": F.lit("insert"), "n_tokens": guess, "old_tokens": F.lit(None).cast("long")}))
+        rollup.commit("revise-1", exact.withColumns({"kind": F.lit("revise"), "old_tokens": guess}))
+    return rollup.totals()
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read(warc.write(warc.decide(table(spark, sf_dir, "pages"))))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+g AS (SELECT t, max(page_id) AS keep FROM p WHERE n >= {warc.REVISIT_BYTES} GROUP BY t)
+SELECT p.page_id, p.n AS payload_bytes, sha1(p.t) AS payload_digest,
+  CASE WHEN g.keep IS NULL OR g.keep = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN g.keep <> p.page_id THEN g.keep END AS refers_to
+FROM p LEFT JOIN g ON p.n >= {warc.REVISIT_BYTES} AND p.t = g.t
+"""
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = sharding.shard(table(spark, sf_dir, "documents"), shards=40)
     text = text_of("record.text")
@@ -85,4 +111,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op8_chat_format": OP8_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op8_chat_format": OP8_SQL, "op9_warc": OP9_SQL}
