@@ -97,8 +97,8 @@ def decide(docs: DataFrame, **options) -> DataFrame:
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat id and text, one."""
-    kept = lookup(build(docs, **options)).where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.count("*").alias("__n"))
-    rows = docs.withColumn("__key", F.xxhash64(text_of()))
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["__id"]) & (rows["__key"] == kept["__h"]))
-    plain, again = rows.where("__n = 1"), rows.where("__n > 1")
-    return plain.unionByName(again.dropDuplicates(["__id", "__h"])).select(*[rows[f"`{c}`"] for c in docs.columns])
+    kept = lookup(build(docs, **options)).where("kept").groupBy(F.col("doc_id").alias("__mw_id"), F.col("h").alias("__mw_h")).agg(F.count("*").alias("__mw_n"))
+    rows = docs.withColumn("__mw_key", F.xxhash64(text_of()))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["__mw_id"]) & (rows["__mw_key"] == kept["__mw_h"]))
+    plain, again = rows.where("__mw_n = 1"), rows.where("__mw_n > 1")
+    return plain.unionByName(again.dropDuplicates(["__mw_id", "__mw_h"])).select(*[rows[f"`{c}`"] for c in docs.columns])

@@ -153,9 +153,9 @@ def scorer(model: Model):
     return score
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs, and score as `__score`."""
-    return docs.withColumn("__score", scorer(model)(text_of()))
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that the model predicts to be good, with all their columns."""
+    return docs.where(scorer(model)(text_of()) >= THRESHOLD)
 
 
 def decide(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, chat, exact_dedup, jpeg, packing, quality, sharding, token_counts, warc
+from . import bpe_chunks, chat, exact_dedup, jpeg, near_dedup, packing, quality, sharding, token_counts, warc
 from .common import materialize, table, text_of, work_dir
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.decide(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
