@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-Q: dict = {}
-SQL: dict[str, str] = {}
+from mapweave.plans import registry, voxel_queries  # noqa: F401  registers its queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q["voxel_mean"](spark, sf_dir)
+    return registry.QUERIES["voxel_mean"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return dict(Q)
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return dict(registry.SQL)
