@@ -6,23 +6,19 @@ neighbours repeat that with a growing radius for the points that have not k yet,
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mapweave.functions.work import shared_dir
+
 OFFSETS = [-1, 0, 1]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts lineage in the folder of spark.checkpoint.dir."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.gettempdir()}/mapweave-checkpoints-{uuid.uuid4().hex[:8]}")
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
