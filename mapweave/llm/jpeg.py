@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 ROW, MOST_ROWS = 192, 8191
-#: Payload bytes that are encoded or decoded at once.
-AT_ONCE = 4 << 20
+#: Payload bytes that are encoded or decoded at once (encoding takes about 100 times that in memory), and rows that a batch is cut to.
+AT_ONCE, ROWS = 1 << 20, 500
 #: Code lengths (1 to 16) and symbols of our Huffman tables. DC categories by how often text has them; AC has the end of block only.
 DC_BITS, DC_SYMBOLS = [0, 0, 7, 1, 1] + [0] * 11, [3, 4, 5, 2, 7, 6, 0, 1, 8]
 AC_BITS, AC_SYMBOLS = [1] + [0] * 15, [0]
@@ -273,6 +273,7 @@ def _decode(pictures: list[Picture]) -> None:
         n = len(p.lanes)
         dc = np.concatenate([out[lane + k, : want[lane + k] * len(luma)] for k in range(n)]) if want[lane : lane + n].min() != want[lane] else out[lane : lane + n, : want[lane] * len(luma)].reshape(-1)
         lane += n
+        p.lanes = []
         h, v = (1, 1) if len(p.scan) == 1 else p.parts[0][1:3]
         p.dc = dc.reshape(down, across, v, h).swapaxes(1, 2).reshape(down * v, across * h)
 
@@ -325,9 +326,9 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
-            for i in range(0, len(texts), 500):
-                some = texts[i : i + 500]
-                yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 500], pa.array([len(t) for t in some], pa.int64()), pa.array(write([pad(t) for t in some]), pa.binary())], ["doc_id", "n_bytes", "media"])
+            for i in range(0, len(texts), ROWS):
+                some = texts[i : i + ROWS]
+                yield pa.RecordBatch.from_arrays([b.column(0)[i : i + ROWS], pa.array([len(t) for t in some], pa.int64()), pa.array(write([pad(t) for t in some]), pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long"), text_of(text).cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
@@ -337,18 +338,21 @@ def features(media: DataFrame) -> DataFrame:
     names = [*media.columns]
     keep = [c for c in names if c != "media"]
 
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string()]
+    made = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "width", "height", "feature"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            files = b.column("media").to_pylist()
-            rows = []
-            for data, found in zip(files, read(files), strict=True):
-                thumbs = [p.thumbnail() for p in found]
-                payload = b"".join(t.tobytes() for t in thumbs)
-                feature = ";".join(f"{p.width}x{p.height}:{hashes(t)}" for p, t in zip(found, thumbs, strict=True))
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), found[0].width, sum(p.height for p in found), feature))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string()]
-            made = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "width", "height", "feature"]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], keep + made)
+        for whole in batches:
+            for i in range(0, whole.num_rows, ROWS):
+                b = whole.slice(i, ROWS)
+                files = b.column("media").to_pylist()
+                rows = []
+                for data, found in zip(files, read(files), strict=True):
+                    thumbs = [p.thumbnail() for p in found]
+                    payload = b"".join(t.tobytes() for t in thumbs)
+                    feature = ";".join(f"{p.width}x{p.height}:{hashes(t)}" for p, t in zip(found, thumbs, strict=True))
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), found[0].width, sum(p.height for p in found), feature))
+                yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], keep + made)
 
     schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in media.schema if f.name != "media")
     return media.mapInArrow(run, schema + "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width int, height long, feature string")
