@@ -68,11 +68,16 @@ def in_stroke(x: Column, y: Column, path: list[tuple[float, float]], radius: flo
     return reduce(F.least, [segment_distance(x, y, a, b) for a, b in parts]) <= radius if len(parts) > 1 else segment_distance(x, y, *parts[0]) <= radius
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: nested rotations would otherwise repeat their arguments without end."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def quaternion(q: Column) -> Column:
     """Normalized (x, y, z, w) struct; nearly zero is the identity."""
-    n = F.sqrt(q["x"] * q["x"] + q["y"] * q["y"] + q["z"] * q["z"] + q["w"] * q["w"])
-    unit = lambda c, zero: F.when(n < 1e-9, F.lit(zero)).otherwise(q[c] / n).alias(c)
-    return F.struct(unit("x", 0.0), unit("y", 0.0), unit("z", 0.0), unit("w", 1.0))
+    norm = lambda v: F.sqrt(v["x"] * v["x"] + v["y"] * v["y"] + v["z"] * v["z"] + v["w"] * v["w"])
+    unit = lambda s, c, zero: F.when(s["n"] < 1e-9, F.lit(zero)).otherwise(s["q"][c] / s["n"]).alias(c)
+    return let(let(q, lambda v: F.struct(v.alias("q"), norm(v).alias("n"))), lambda s: F.struct(unit(s, "x", 0.0), unit(s, "y", 0.0), unit(s, "z", 0.0), unit(s, "w", 1.0)))
 
 
 def multiply(p: Column, q: Column) -> Column:
@@ -104,25 +109,40 @@ def place(t: Column, q: Column, p: Column) -> Column:
     return F.struct(*[(r[c] + t[c]).alias(c) for c in "xyz"])
 
 
-def compose(t1: Column, q1: Column, t2: Column, q2: Column) -> tuple[Column, Column]:
-    return place(t1, q1, t2), multiply(q1, q2)
+def compose(t1: Column, q1: Column, t2: Column, q2: Column) -> Column:
+    """The struct (t, q) of the second pose seen through the first."""
+    args = F.struct(t1.alias("t1"), q1.alias("q1"), t2.alias("t2"), q2.alias("q2"))
+    return let(args, lambda s: F.struct(place(s["t1"], s["q1"], s["t2"]).alias("t"), multiply(s["q1"], s["q2"]).alias("q")))
+
 
+def invert(t: Column, q: Column) -> Column:
+    """The struct (t, q) of the inverse pose."""
 
-def invert(t: Column, q: Column) -> tuple[Column, Column]:
-    back = conjugate(q)
-    r = rotate(back, t)
-    return F.struct(*[(-r[c]).alias(c) for c in "xyz"]), back
+    def body(s: Column) -> Column:
+        back = conjugate(s["q"])
+        return let(rotate(back, s["t"]), lambda r: F.struct(F.struct(*[(-r[c]).alias(c) for c in "xyz"]).alias("t"), back.alias("q")))
+
+    return let(F.struct(t.alias("t"), q.alias("q")), body)
 
 
 def slerp(a: Column, b: Column, u: Column) -> Column:
     """Between unit quaternions along the shorter arc; nearly opposite ones fall back to the nearer end."""
-    d0 = a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"] + a["w"] * b["w"]
-    sign, d = F.when(d0 < 0, -1.0).otherwise(1.0), F.least(F.abs(d0), F.lit(1.0))
-    angle = F.acos(d)
-    s = F.sin(angle)
-    wa = F.when(d > 1 - 1e-12, 1 - u).when(s < 1e-9, F.when(u < 0.5, 1.0).otherwise(0.0)).otherwise(F.sin((1 - u) * angle) / s)
-    wb = F.when(d > 1 - 1e-12, u).when(s < 1e-9, F.when(u < 0.5, 0.0).otherwise(1.0)).otherwise(F.sin(u * angle) / s)
-    return F.struct(*[(wa * a[c] + wb * sign * b[c]).alias(c) for c in "xyzw"])
+
+    def weights(s: Column) -> Column:
+        d = F.least(F.abs(s["d"]), F.lit(1.0))
+        return let(
+            F.struct(F.acos(d).alias("angle"), d.alias("d"), F.when(s["d"] < 0, -1.0).otherwise(1.0).alias("sign"), s["u"].alias("u"), s["a"].alias("a"), s["b"].alias("b")),
+            lambda v: F.struct(
+                F.when(v["d"] > 1 - 1e-12, 1 - v["u"]).when(F.sin(v["angle"]) < 1e-9, F.when(v["u"] < 0.5, 1.0).otherwise(0.0)).otherwise(F.sin((1 - v["u"]) * v["angle"]) / F.sin(v["angle"])).alias("wa"),
+                (v["sign"] * F.when(v["d"] > 1 - 1e-12, v["u"]).when(F.sin(v["angle"]) < 1e-9, F.when(v["u"] < 0.5, 0.0).otherwise(1.0)).otherwise(F.sin(v["u"] * v["angle"]) / F.sin(v["angle"]))).alias("wb"),
+                v["a"].alias("a"),
+                v["b"].alias("b"),
+            ),
+        )
+
+    dot = lambda s: reduce(lambda x, y: x + y, [s["a"][c] * s["b"][c] for c in "xyzw"])
+    ready = let(F.struct(a.alias("a"), b.alias("b"), u.alias("u")), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), s["u"].alias("u"), dot(s).alias("d")))
+    return let(let(ready, weights), lambda v: F.struct(*[(v["wa"] * v["a"][c] + v["wb"] * v["b"][c]).alias(c) for c in "xyzw"]))
 
 
 def yaw(q: Column) -> Column:

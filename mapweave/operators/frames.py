@@ -10,9 +10,10 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mapweave.functions.geometry import compose, invert, place, quaternion, slerp
+from mapweave.functions.geometry import compose, invert, let, place, quaternion, slerp
 
 POSE = "struct<t: struct<x: double, y: double, z: double>, q: struct<x: double, y: double, z: double, w: double>>"
+_IDENTITY = "named_struct('t', named_struct('x', 0D, 'y', 0D, 'z', 0D), 'q', named_struct('x', 0D, 'y', 0D, 'z', 0D, 'w', 1D))"
 #: Times are long microseconds; a constant edge's samples agree within this.
 SAME = 1e-6
 
@@ -88,29 +89,27 @@ def lookup(probes: DataFrame, tf: DataFrame, target: str, source: str, tolerance
     steps = path(known, target, source)
     if steps is None:
         return probes.withColumn(name, F.lit(None).cast(POSE))
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in "xyz"])
-    t, q, d, whole = zero, F.struct(*[F.lit(float(c == "w")).alias(c) for c in "xyzw"]), probes, F.lit(True)
-    for i, (parent, child, inverted) in enumerate(steps):
-        d = edge_at(d, tf, parent, child, f"__e{i}", tolerance)
-        et, eq = F.col(f"__e{i}.t"), F.col(f"__e{i}.q")
-        if inverted:
-            et, eq = invert(et, eq)
-        t, q = compose(t, q, et, eq)
-        whole = whole & F.col(f"__e{i}").isNotNull()
-    return d.withColumn(name, F.when(whole, F.struct(t.alias("t"), q.alias("q")).cast(POSE))).drop(*[f"__e{i}" for i in range(len(steps))])
+    d = probes.withColumn(name, F.expr(_IDENTITY))
+    for parent, child, inverted in steps:
+        # the pose so far travels through the next edge's windows as a plain column
+        d = edge_at(d, tf, parent, child, "__edge", tolerance)
+        e = F.col("__edge")
+        step = invert(e["t"], e["q"]) if inverted else e
+        so_far = F.col(name)
+        d = d.withColumn(name, F.when(e.isNotNull() & so_far.isNotNull(), let(F.struct(so_far.alias("a"), step.alias("b")), lambda s: compose(s["a"]["t"], s["a"]["q"], s["b"]["t"], s["b"]["q"])).cast(POSE))).drop("__edge")
+    return d
 
 
 def placed(points: DataFrame, pose: str = "pose") -> DataFrame:
     """Points with x, y, z moved by their pose column; rows without a pose go. Results are 32-bit."""
-    p = F.struct(*[F.col(c).cast("double").alias(c) for c in "xyz"])
-    d = points.where(F.col(pose).isNotNull()).withColumn("__m", place(F.col(f"{pose}.t"), F.col(f"{pose}.q"), p))
+    args = F.struct(F.col(pose).alias("m"), F.struct(*[F.col(c).cast("double").alias(c) for c in "xyz"]).alias("p"))
+    d = points.where(F.col(pose).isNotNull()).withColumn("__m", let(args, lambda s: place(s["m"]["t"], s["m"]["q"], s["p"])))
     return d.withColumns({c: F.col(f"__m.{c}").cast("float") for c in "xyz"}).drop("__m")
 
 
 def first_pose(*candidates: str) -> Column:
     """Stamp lookup, else log-time lookup, else stored pose, else the identity."""
-    identity = F.expr("named_struct('t', named_struct('x', 0D, 'y', 0D, 'z', 0D), 'q', named_struct('x', 0D, 'y', 0D, 'z', 0D, 'w', 1D))")
-    return F.coalesce(*[F.col(c) for c in candidates], identity)
+    return F.coalesce(*[F.col(c) for c in candidates], F.expr(_IDENTITY))
 
 
 def deskewed(points: DataFrame, motion: DataFrame, tolerance: int) -> DataFrame:
@@ -118,7 +117,6 @@ def deskewed(points: DataFrame, motion: DataFrame, tolerance: int) -> DataFrame:
     tf = motion.select(F.lit("w").alias("parent"), F.lit("s").alias("child"), "t", "seq", "pose")
     d = edge_at(points, tf, "w", "s", "__at", tolerance)
     d = edge_at(d.withColumnRenamed("t", "__own").withColumn("t", F.col("end")), tf, "w", "s", "__end", tolerance).drop("t").withColumnRenamed("__own", "t")
-    bt, bq = invert(F.col("__end.t"), F.col("__end.q"))
-    t, q = compose(bt, bq, F.col("__at.t"), F.col("__at.q"))
-    pose = F.when(F.col("__at").isNotNull() & F.col("__end").isNotNull(), F.struct(t.alias("t"), q.alias("q")).cast(POSE))
+    back = let(invert(F.col("__end.t"), F.col("__end.q")), lambda b: compose(b["t"], b["q"], F.col("__at.t"), F.col("__at.q")))
+    pose = F.when(F.col("__at").isNotNull() & F.col("__end").isNotNull(), back.cast(POSE))
     return placed(d.withColumn("__pose", pose), "__pose").drop("__at", "__end", "__pose")
