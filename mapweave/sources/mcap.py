@@ -164,13 +164,14 @@ class Writer:
     def _record(self, op: int, content: bytes) -> None:
         self._raw(struct.pack("<BQ", op, len(content)) + content)
 
-    def channel(self, topic: str, encoding: str, kind: str, metadata: dict[str, str] | None = None) -> int:
-        if topic not in self.channels:
+    def channel(self, key: str, encoding: str, kind: str, metadata: dict[str, str] | None = None, topic: str | None = None) -> int:
+        """The id of the channel known by key; its topic is the key unless another is given (generations share a topic)."""
+        if key not in self.channels:
             n = len(self.channels) + 1
             schema = struct.pack("<H", n) + self._s(kind) + self._s(encoding) + struct.pack("<I", 0)
             pairs = b"".join(self._s(k) + self._s(v) for k, v in (metadata or {}).items())
-            self.channels[topic] = n, schema, struct.pack("<HH", n, n) + self._s(topic) + self._s(encoding) + struct.pack("<I", len(pairs)) + pairs
-        return self.channels[topic][0]
+            self.channels[key] = n, schema, struct.pack("<HH", n, n) + self._s(topic or key) + self._s(encoding) + struct.pack("<I", len(pairs)) + pairs
+        return self.channels[key][0]
 
     def write(self, channel: int, seq: int, log: int, data: bytes) -> None:
         low, high = min(log, (self.span or (log, log))[0]), max(log, (self.span or (log, log))[1])
