@@ -59,7 +59,7 @@ def materialize(df: DataFrame, label: str, by: list[str] | None = None) -> DataF
     path = work_dir(spark, label)
     w = df.write.option("compression", "zstd")
     (w.partitionBy(*by) if by else w).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
