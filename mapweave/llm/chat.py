@@ -22,8 +22,6 @@ from .common import materialize
 #: Written in this order, read in the reverse order.
 ENTITIES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("[", "&lbr;"), ("]", "&rbr;")]
 OPEN, SHUT, TURN, MID, END = "<s>", "</s>", "<turn role=", ">\n", "</turn>\n"
-#: Rounds of doubling; paths of up to 2 ** ROUNDS nodes.
-ROUNDS = 40
 
 
 def escape(c: Column) -> Column:
@@ -50,25 +48,25 @@ def best_paths(nodes: DataFrame, n_best: int = 1) -> DataFrame:
     light = materialize(nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "nodes")
     ids = light.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     same = light["tree"].eqNullSafe(ids["t"]) & (light["parent"] == ids["n"])
-    state = light.join(ids, same, "left").select("tree", "node", F.col("n").alias("jump"), F.lit(1).cast("long").alias("depth"), "score")
+    first = light.join(ids, same, "left").select("tree", "node", F.col("n").alias("jump"), F.lit(1).cast("long").alias("depth"), "score")
+    state = materialize(first, "jumps")
     rounds, size = [], light.count()
-    for _ in range(ROUNDS):
-        state = materialize(state, "jumps")
-        rounds.append(state)
-        if state.where(F.col("jump").isNotNull()).isEmpty() or 1 << len(rounds) > 2 * size:
-            break
-        far = state.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("jump").alias("j"), F.col("depth").alias("d"), F.col("score").alias("s"))
-        state = state.join(far, state["tree"].eqNullSafe(far["t"]) & (state["jump"] == far["n"]), "left").select(
+    done, live = state.where(F.col("jump").isNull()), state.where(F.col("jump").isNotNull())
+    while not live.isEmpty() and 1 << len(rounds) <= 2 * size:  # what is left then is a cycle
+        rounds.append(live)
+        far = done.unionByName(live).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("jump").alias("j"), F.col("depth").alias("d"), F.col("score").alias("s"))
+        state = live.join(far, live["tree"].eqNullSafe(far["t"]) & (live["jump"] == far["n"]), "left").select(
             "tree", "node", F.col("j").alias("jump"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score")
         )
-    done = rounds[-1].where(F.col("jump").isNull())  # a jump that is left is a cycle
+        state = materialize(state, "jumps")
+        done, live = done.unionByName(state.where(F.col("jump").isNull())), state.where(F.col("jump").isNotNull())
     has = light.where(F.col("parent").isNotNull()).select(F.col("tree").alias("t"), F.col("parent").alias("p"))
     leaves = done.join(has, done["tree"].eqNullSafe(has["t"]) & (done["node"] == has["p"]), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node"))
     chosen = leaves.withColumn("rank", rank).where(F.col("rank") <= n_best).select("tree", F.col("node").alias("path"), "node", F.col("score").alias("path_score"))
     cover = materialize(chosen, "chosen")
-    for jumps in reversed(rounds[:-1]):
-        far = jumps.where(F.col("jump").isNotNull()).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("jump").alias("j"))
+    for jumps in reversed(rounds):
+        far = jumps.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("jump").alias("j"))
         up = cover.join(far, cover["tree"].eqNullSafe(far["t"]) & (cover["node"] == far["n"])).select("tree", "path", F.col("j").alias("node"), "path_score")
         cover = materialize(cover.unionByName(up), "cover")
     deep = done.select(F.col("tree").alias("t"), F.col("node").alias("n"), "depth")
