@@ -95,6 +95,14 @@ def test_groups_with_chains_of_edits(spark, seed):
     assert got_classes(d) == brute_classes(d.collect())
 
 
+def test_components_by_rounds_and_by_one_task(spark):
+    r = random.Random(3)
+    links = [(i, i + 1) for i in range(40)] + [(r.randrange(100, 200), r.randrange(100, 200)) for _ in range(60)]
+    d = spark.createDataFrame([(max(x), min(x)) for x in links if x[0] != x[1]], "a long, b long").repartition(3)
+    one, many = (sorted(map(tuple, near_dedup.components(d, n).collect())) for n in (1000, 0))
+    assert one == many and (40, 0, 41) in one
+
+
 def test_statistics_have_no_surprises():
     for t in ("", " \n", "a", "\x00", "é" * 10, "x" * 10_000, "| # $ %", "a b\n\na b"):
         x = quality.statistics(t)
