@@ -42,7 +42,7 @@ def database(path: str) -> sqlite3.Connection:
 
 
 def type_name(module: str) -> str:
-    """dimos-style module paths name the package third and the class last."""
+    """Module paths of five parts name the package third and the class last."""
     p = module.split(".")
     return f"{p[2]}.{p[4]}" if len(p) == 5 and p[1] == "msgs" else module
 

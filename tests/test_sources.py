@@ -105,7 +105,7 @@ def test_db(spark, tmp_path):
     path = tmp_path / "a.db"
     db = sqlite3.connect(path)
     db.execute("CREATE TABLE _streams (name TEXT, config TEXT)")
-    db.execute("INSERT INTO _streams VALUES ('tf', ?), ('empty', ?)", [json.dumps({"payload_module": "dimos.msgs.tf2_msgs.TFMessage.TFMessage", "codec_id": "lcm"}), json.dumps({"payload_module": "std_msgs.String"})])
+    db.execute("INSERT INTO _streams VALUES ('tf', ?), ('empty', ?)", [json.dumps({"payload_module": "robot.msgs.tf2_msgs.TFMessage.TFMessage", "codec_id": "lcm"}), json.dumps({"payload_module": "std_msgs.String"})])
     for s in ("tf", "empty"):
         db.execute(f"CREATE TABLE {s} (id INTEGER PRIMARY KEY, ts REAL, value, pose_x, pose_y, pose_z, pose_qx, pose_qy, pose_qz, pose_qw, tags TEXT)")
     db.execute("CREATE TABLE tf_blob (id INTEGER PRIMARY KEY, data BLOB)")

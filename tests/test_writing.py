@@ -10,7 +10,7 @@ def note(t):
 
 def test_db_streams(spark, tmp_path):
     path = str(tmp_path / "a.db")
-    module = "dimos.msgs.std_msgs.String.String"
+    module = "robot.msgs.std_msgs.String.String"
     assert writing.append_rows(path, "note", [(2.0, note("b"), None, None), (1.0, note("a"), [0.0] * 7, '{"k": 1}')], module) == 2
     d = recordings.messages(spark, path)
     assert [M.decode_lcm(bytes(r["payload"]))["data"] for r in d.orderBy("log_time").collect()] == ["a", "b"]
