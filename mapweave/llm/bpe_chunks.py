@@ -29,10 +29,12 @@ from . import tokens
 from .common import text_of
 
 #: Bytes of a chunk: at least, about 2 ** MASK_BITS more, at most.
-LEAST, MASK_BITS, MOST = 512, 11, 8192
+LEAST, MASK_BITS, MOST = 512, 12, 16384
 #: Occurrences in one task from which a chunk counts as hot there, and the owners that hot chunks are salted over.
 HOT, SALTS = 64, 64
 #: One pseudo-random 32-bit number per byte, by a rule.
+#: Documents, and characters of each, that the dictionaries for what is shuffled are trained on; they affect its size only.
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 500, 20_000, 110 << 10, 9
 GEAR = np.array([(b + 1) * 2654435761 & 0xFFFFFFFF ^ (b + 7) * 40503 * 65537 & 0xFFFFFFFF for b in range(256)], np.uint32)
 EDGE = re.compile(rb"[ \n]")
 
@@ -89,14 +91,40 @@ class Joiner:
         return np.frombuffer(b"".join([*self.out, self.bpe.encode(self.loose.decode())]), "<u2")
 
 
+def _codec(trained: bytes | None) -> tuple:
+    """compress and decompress."""
+    own = {"dict_data": zstandard.ZstdCompressionDict(trained)} if trained else {}
+    return zstandard.ZstdCompressor(level=LEVEL, **own).compress, zstandard.ZstdDecompressor(**own).decompress
+
+
+def _dictionary(samples: list[bytes]) -> bytes | None:
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=512, d=8).as_bytes()
+    except zstandard.ZstdError:  # too few samples
+        return None
+
+
+def _dictionaries(docs: DataFrame, path: str | None) -> tuple[bytes | None, bytes | None]:
+    """For chunks' texts and for encoded chunks."""
+    chunks: list[bytes] = []
+    for (text,) in docs.select(F.substring(text_of(), 1, SAMPLE_CHARS)).limit(SAMPLE_DOCS).collect():
+        data, at = text.encode(), 0
+        for end in cuts(data):
+            chunks.append(data[at:end])
+            at = end
+    bpe = tokens.WordBpe(path)
+    return _dictionary(chunks), _dictionary([encode_chunk(bpe, c) for c in chunks])
+
+
 def encode(docs: DataFrame, path: str | None = None, ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 per document; ids: also the ids and the decoded text."""
     rows = docs.select(F.col("doc_id").cast("long"), text_of().cast("binary").alias("text"), F.monotonically_increasing_id().alias("uid"))
+    for_text, for_ids = _dictionaries(docs, path)
     sent = "key binary, salt int, uid long, doc_id long, pos int, z binary"
     kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt, seen, pack = 1 + TaskContext.get().partitionId() % SALTS, {}, zstandard.ZstdCompressor(level=6).compress
+        salt, seen, (pack, _) = 1 + TaskContext.get().partitionId() % SALTS, {}, _codec(for_text)
         for b in batches:
             out: list[list] = [[] for _ in kinds]
             for doc_id, data, uid in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -105,13 +133,13 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = False) -> DataF
                     chunk = data[at:end]
                     key, at = xxhash.xxh3_128_digest(chunk), end
                     n = seen[key] = seen.get(key, 0) + 1
-                    for to, v in zip(out, (key, salt if n > HOT else 0, uid, doc_id, pos, pack(chunk) if n in (1, HOT + 1) else None), strict=True):
+                    for to, v in zip(out, (key, salt if n > HOT else 0, uid, doc_id if pos == 0 else None, pos, pack(chunk) if n in (1, HOT + 1) else None), strict=True):
                         to.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["key", "salt", "uid", "doc_id", "pos", "z"])
 
     def encode_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, last, made = tokens.shared(tokens.WordBpe, path), None, b""
-        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=6).compress
+        (_, unpack), (pack, _) = _codec(for_text), _codec(for_ids)
         for b in batches:
             out = []
             for key, salt, z in zip(b.column("key").to_pylist(), b.column("salt").to_pylist(), b.column("z").to_pylist(), strict=True):
@@ -121,7 +149,7 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = False) -> DataF
             yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), b.column("pos"), pa.array(out, pa.binary())], ["uid", "doc_id", "pos", "z"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, unpack = tokens.shared(tokens.WordBpe, path), zstandard.ZstdDecompressor().decompress
+        bpe, (_, unpack) = tokens.shared(tokens.WordBpe, path), _codec(for_ids)
         uid = doc = joiner = None
 
         def close(to: list[list]) -> None:
@@ -139,7 +167,7 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = False) -> DataF
         for b in batches:
             out: list[list] = [[] for _ in range(4 + 2 * ids)]
             for u, d, z in zip(b.column("uid").to_pylist(), b.column("doc_id").to_pylist(), b.column("z").to_pylist(), strict=True):
-                if u != uid:
+                if u != uid:  # the first chunk carries the id
                     if joiner:
                         close(out)
                     uid, doc, joiner = u, d, Joiner(bpe)
