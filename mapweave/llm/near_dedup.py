@@ -5,10 +5,10 @@ SKETCHES permutations samples the MINIMA smallest labelled k-mers and keeps them
 where they share k-mers in the same order. Two texts are near copies when aligning their k-mer sequences within a band matches L of a and b k-mers with
 L / (a + b - L) >= 0.8 (the edit-sensitive form of the Jaccard similarity). At 0.8, a pair misses all buckets with a chance of (1 - 0.8 ** 5) ** 40 = 1e-7, while one at 0.25 (a shared passage) meets with 4 %.
 
-No bucket is expanded into pairs. Equal word sequences are one node. Round 1 aligns each node of a bucket with the bucket's smallest node; links are joined to
+Equal word sequences are one node. Round 1 aligns each node of a bucket with the bucket's smallest node; links are joined to
 components. In each further round a node picks, by a hash of the round, one of its buckets that still hold several components, and is aligned with up to LEADERS leaders
-of it, picked by that hash, of larger components (equal sizes: of a larger label); rounds go on until one finds no new link. Links that this could leave out join texts that share buckets, but were linked neither with
-each other nor through any leader.
+of it, picked by that hash, of larger components (equal sizes: of a larger label); rounds go on until one finds no new link. They only save work: at the end all pairs of a bucket that still lie in different
+components and were not tried are aligned, if their lengths and counts of k-mers by hash bin allow the similarity (`untried`; blocks of a bucket meet in numpy). So classes are the components of all similar pairs that share a bucket.
 
 Texts travel as 16-bit word hashes: a changed word passes for unchanged once in 65,536. Labels spread by neighbours' minima and pointer jumping; every round is written in the
 shared folder.
@@ -36,6 +36,8 @@ K, SIMILAR = 5, 0.8
 SKETCHES, MINIMA = 40, 5
 #: Leaders of a bucket in each round after the first.
 LEADERS = 8
+#: Nodes of a block of a bucket, bins of k-mers by hash, and pairs compared at once.
+BLOCK, BINS, AT_A_TIME = 512, 256, 4096
 #: Links that one task joins (about 100 MB); more are joined in distributed rounds.
 ONE_TASK = 1 << 19
 WORD = re.compile(r"\w+")
@@ -191,6 +193,80 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(both.mapInArrow(run, "a long, b long"), "links")
 
 
+def shapes(texts: DataFrame) -> DataFrame:
+    """node, n k-mers, and their numbers by hash bin (up to 255 each)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            n, bins = [], []
+            for packed in b.column(1).to_pylist():
+                s = labelled(kmers(np.frombuffer(unpack(packed), "<u2")))
+                n.append(len(s))
+                bins.append(np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(bins, pa.binary())], ["node", "n", "bins"])
+
+    return materialize(texts.select("node", "words").mapInArrow(run, "node long, n long, bins binary"), "shapes")
+
+
+def possible(n: np.ndarray, bins: np.ndarray, i: np.ndarray, j: np.ndarray, least: float = SIMILAR) -> np.ndarray:
+    """Which pairs (i, j) of shapes can be similar: no order matches more k-mers than their bins share."""
+    need = np.ceil((n[i] + n[j]) * least / (1 + least) - 1e-9)
+    out = np.minimum(n[i], n[j]) >= need
+    over = n - bins.sum(1, dtype=np.int64)  # k-mers beyond 255 of a bin
+    at = np.flatnonzero(out)
+    for k in range(0, len(at), AT_A_TIME):
+        c = at[k : k + AT_A_TIME]
+        x, y = i[c], j[c]
+        out[c] = np.minimum(bins[x], bins[y]).sum(1, dtype=np.int64) + np.minimum(over[x], over[y]) >= need[c]
+    return out
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of different components that can be similar, of rows sorted by key, s and t: the pair of blocks s and t of a bucket."""
+
+    def pairs(c: list[np.ndarray], ends: list[int]) -> pa.RecordBatch:
+        found = [np.zeros((2, 0), np.int64)]
+        for lo, hi in zip(ends, ends[1:]):
+            s, t, slot, node, label, n, bins = (x[lo:hi] for x in c[1:])
+            left, right = np.flatnonzero(slot == s[0]), np.flatnonzero(slot == t[0])
+            for k in range(0, len(left), 64):
+                i, j = np.nonzero(label[left[k : k + 64], None] != label[right])
+                i, j = left[i + k], right[j]
+                if s[0] == t[0]:
+                    i, j = i[i < j], j[i < j]
+                ok = possible(n, bins, i, j)
+                x, y = node[i[ok]], node[j[ok]]
+                found.append(np.stack([np.maximum(x, y), np.minimum(x, y)]))
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in np.concatenate(found, axis=1)], ["a", "b"])
+
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        c = [b.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+        c.append(np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint8).reshape(-1, BINS))
+        c = c if held is None else [np.concatenate(x) for x in zip(held, c, strict=True)]
+        new = np.flatnonzero((c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])) + 1
+        ends = [0, *new.tolist()]
+        yield pairs(c, ends)
+        held = [x[ends[-1] :] for x in c]
+    if held is not None:
+        yield pairs(held, [0, len(held[0])])
+
+
+def untried(live: DataFrame, texts: DataFrame, tried: DataFrame) -> DataFrame:
+    """All pairs (a, b) of a bucket in `live` (key, node, label) that have different labels, can be similar and are not in `tried`."""
+    of = shapes(texts.join(live.select("node").distinct(), "node", "left_semi"))
+    parts = live.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
+    rows = live.select("key", "node", "label").join(parts, "key").withColumn("slot", F.pmod(F.xxhash64("node", F.lit("slot")), F.col("parts")))
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least(o, "slot").alias("s"), F.greatest(o, "slot").alias("t")))
+    rows = rows.join(of, "node").withColumn("at", F.explode(meets)).select("key", "at.s", "at.t", "slot", "node", "label", "n", "bins")
+    rows = rows.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t")
+    found = materialize(rows.mapInArrow(_met, "a long, b long"), "met").distinct()
+    return materialize(found.join(tried, ["a", "b"], "left_anti"), "pairs")
+
+
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over all links that one task reads."""
     up: dict[int, int] = {}
@@ -254,6 +330,9 @@ def classes(docs: DataFrame) -> DataFrame:
         if new.isEmpty():
             break
         links, tried = links.union(new), tried.union(pairs)
+    new = verify(untried(live, texts, tried), texts)
+    if not new.isEmpty():
+        labels = components(links.union(new))
     own = found.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
     own = materialize(own, "own")
     named = own.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))

@@ -95,6 +95,54 @@ def test_groups_with_chains_of_edits(spark, seed):
     assert got_classes(d) == brute_classes(d.collect())
 
 
+def family(seed, pairs):
+    """Variants of one text of 100 words with two choices at 20 places, each with a copy that differs at two places: all k-mers are common, so a pair's buckets hold many others."""
+    r, rows = random.Random(seed), []
+    for n in range(pairs):
+        pick = [r.randrange(2) for _ in range(20)]
+        for k in (0, 1):
+            rows.append((2 * n + k, " ".join(f"site{i // 5}is{pick[i // 5]}" if i % 5 == 2 else f"w{i}" for i in range(100))))
+            for at in r.sample(range(20), 2):
+                pick[at] ^= 1
+    return rows
+
+
+def test_pairs_inside_a_large_family_of_edits(spark):
+    rows = family(7, 600)
+    h = [near_dedup.words(t) for _, t in rows]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(d).collect()}
+    assert all(near_dedup.similar(h[n], h[n + 1]) for n in range(0, len(rows), 2))
+    assert [n for n in range(0, len(rows), 2) if got[n] != got[n + 1]] == []
+
+
+def test_bins_never_exclude_a_similar_pair():
+    r = random.Random(11)
+    for size in (6, 60, 600):
+        texts = [[f"{r.randrange(9)}" if size == 600 else f"{r.randrange(500)}" for _ in range(size)] for _ in range(4)]
+        texts += [[*t[:3], "new", *t[4:]] for t in texts] + [["spam"] * (500 * size), ["spam"] * (450 * size)]
+        h = [near_dedup.words(" ".join(t)) for t in texts]
+        s = [near_dedup.labelled(near_dedup.kmers(x)) for x in h]
+        n = np.array([len(x) for x in s])
+        bins = np.stack([np.minimum(np.bincount((x >> np.uint64(56)).astype(int), minlength=256), 255).astype(np.uint8) for x in s])
+        i, j = np.triu_indices(len(h), 1)
+        ok = near_dedup.possible(n, bins, i, j)
+        for a, b, c in zip(i, j, ok, strict=True):
+            assert c or not near_dedup.similar(h[a], h[b])
+
+
+def test_blocks_of_a_bucket_meet_in_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    import zstandard
+
+    t = [(i, zstandard.ZstdCompressor().compress(near_dedup.words(" ".join(f"w{k}" for k in range(40)) + f" x{i}").astype("<u2").tobytes())) for i in range(30)]
+    texts = spark.createDataFrame(t, "node long, words binary")
+    live = spark.createDataFrame([(k, i, i // 3) for k in (1, 2) for i in range(30)], "key long, node long, label long")
+    tried = spark.createDataFrame([(29, 0)], "a long, b long")
+    got = sorted(map(tuple, near_dedup.untried(live, texts, tried).collect()))
+    assert got == [(a, b) for a in range(30) for b in range(a) if a // 3 != b // 3 and (a, b) != (29, 0)]
+
+
 def test_components_by_rounds_and_by_one_task(spark):
     r = random.Random(3)
     links = [(i, i + 1) for i in range(40)] + [(r.randrange(100, 200), r.randrange(100, 200)) for _ in range(60)]
