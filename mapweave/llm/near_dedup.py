@@ -3,7 +3,9 @@
 A text is its sequence of lower-case words; its k-mers are runs of five words, told apart by how often they occurred before (occurrence labels). Each of
 SKETCHES permutations samples the MINIMA smallest labelled k-mers and keeps them in the order of the text; that ordered sample is a bucket key, so texts meet
 where they share k-mers in the same order. Two texts are near copies when aligning their k-mer sequences within a band matches L of a and b k-mers with
-L / (a + b - L) >= 0.8 (the edit-sensitive form of the Jaccard similarity). At 0.8, a pair misses all buckets with a chance of (1 - 0.8 ** 5) ** 40 = 1e-7, while one at 0.25 (a shared passage) meets with 4 %.
+L / (a + b - L) >= 0.8 (the edit-sensitive form of the Jaccard similarity). Sketches are
+kept by texts of more than SHORT k-mers: there a pair at 0.8 misses all buckets with a chance of (1 - 0.8 ** 5) ** 40 = 1e-7 for long texts and 4e-7 for the shortest, while one at 0.25 (a shared passage) meets with 4 %.
+Texts of up to 1.25 SHORT k-mers meet without any chance (`prefix`): two similar texts share at least 0.8 n of the n k-mers of each, so in one order of all k-mers their first n - 0.8 n + 1 share one; each of these is a key.
 
 Equal word sequences are one node. Round 1 aligns each node of a bucket with the bucket's smallest node; links are joined to
 components. In each further round a node picks, by a hash of the round, one of its buckets that still hold several components, and is aligned with up to LEADERS leaders
@@ -34,6 +36,8 @@ from .common import materialize, text_of
 
 K, SIMILAR = 5, 0.8
 SKETCHES, MINIMA = 40, 5
+#: K-mers of texts that meet by prefixes alone.
+SHORT = 40
 #: Leaders of a bucket in each round after the first.
 LEADERS = 8
 #: Nodes of a block of a bucket, bins of k-mers by hash, and pairs compared at once.
@@ -111,6 +115,18 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def prefix(s: np.ndarray) -> np.ndarray:
+    """Bucket keys of a k-mer sequence, of which any two similar ones share one: its smallest labelled k-mers."""
+    most = len(s) - -(-len(s) * 4 // 5) + 1
+    return _mixed(np.sort(labelled(s))[:most] * _STEP + _MIX).view(np.int64)
+
+
+def keys_of(s: np.ndarray) -> np.ndarray:
+    """All bucket keys: texts of up to SHORT k-mers meet those of up to 1.25 times as many by prefixes, longer ones each other by sketches."""
+    found = [prefix(s)] if 4 * len(s) <= 5 * SHORT else []
+    return np.concatenate([*found, sketch(s)]) if len(s) > SHORT else found[0]
+
+
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """The longest common subsequence of a and b within |i - j| <= band, by big-integer bit rows."""
     where: dict[int, int] = {}
@@ -166,7 +182,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 if node not in seen:
                     seen.add(node)
                     packed = pack(h.astype("<u2").tobytes())
-                    keys = sketch(kmers(h)) if len(h) else None
+                    keys = keys_of(kmers(h)) if len(h) else None
                 for to, v in zip(rows, (doc_id, node, keys, packed), strict=True):
                     to.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, kinds, strict=True)], ["doc_id", "node", "keys", "words"])

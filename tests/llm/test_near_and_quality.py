@@ -116,6 +116,30 @@ def test_pairs_inside_a_large_family_of_edits(spark):
     assert [n for n in range(0, len(rows), 2) if got[n] != got[n + 1]] == []
 
 
+def test_short_texts_with_one_word_more(spark):
+    """Pairs of 5 to 60 words and one more at the start or the end, among them 8 and 9 words."""
+    r, rows = random.Random(1), []
+    for n in range(160):
+        t = [f"k{n}w{i}" for i in range(8 if n < 50 else 5 + n % 56)]
+        rows += [(2 * n, " ".join(t)), (2 * n + 1, " ".join([*t, "end"] if n % 2 else ["start", *t]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got_classes(d) == brute_classes(d.collect())
+
+
+def test_similar_short_texts_share_a_key():
+    r = random.Random(2)
+    for _ in range(4000):
+        a = [f"{r.randrange(30)}" for _ in range(r.randrange(1, 58))]
+        b = list(a)
+        for _ in range(r.randrange(1, 3)):
+            at = r.choice([0, len(b), r.randrange(len(b) + 1)])
+            b[at : at + r.randrange(2)] = ["new"] * r.randrange(2)
+        s, t = near_dedup.words(" ".join(a)), near_dedup.words(" ".join(b))
+        x, y = near_dedup.kmers(s), near_dedup.kmers(t)
+        if len(x) and len(y) and min(len(x), len(y)) <= near_dedup.SHORT and near_dedup.similar(s, t):
+            assert set(near_dedup.keys_of(x).tolist()) & set(near_dedup.keys_of(y).tolist())
+
+
 def test_bins_never_exclude_a_similar_pair():
     r = random.Random(11)
     for size in (6, 60, 600):
