@@ -168,14 +168,14 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node (a hash of the word sequence), and, with a node's first document in a task, its keys and packed words."""
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+    """doc_id, h (a hash of the text), node (a hash of the word sequence), and, with a node's first document in a task, its keys and packed words."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, seen = zstandard.ZstdCompressor(level=3).compress, set()
         for b in batches:
             rows: list[list] = [[] for _ in kinds]
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc_id, text, row in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 h = words(text)
                 node = xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
                 keys = packed = None
@@ -183,12 +183,12 @@ def sketches(docs: DataFrame) -> DataFrame:
                     seen.add(node)
                     packed = pack(h.astype("<u2").tobytes())
                     keys = keys_of(kmers(h)) if len(h) else None
-                for to, v in zip(rows, (doc_id, node, keys, packed), strict=True):
+                for to, v in zip(rows, (doc_id, row, node, keys, packed), strict=True):
                     to.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, kinds, strict=True)], ["doc_id", "node", "keys", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, kinds, strict=True)], ["doc_id", "h", "node", "keys", "words"])
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return materialize(d.mapInArrow(run, "doc_id long, node long, keys array<long>, words binary"), "sketches")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("h"))
+    return materialize(d.mapInArrow(run, "doc_id long, h long, node long, keys array<long>, words binary"), "sketches")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -318,8 +318,8 @@ def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
         labels = moved.drop("old")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, node, class_id, class_size, kept per document."""
+def _labelled_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, h, node and label (the smallest node of its class) per document."""
     found = sketches(docs)
     entries = found.where(F.col("keys").isNotNull()).select("node", F.explode("keys").alias("key"))
     ends = entries.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").drop("last")
@@ -349,16 +349,24 @@ def classes(docs: DataFrame) -> DataFrame:
     new = verify(untried(live, texts, tried), texts)
     if not new.isEmpty():
         labels = components(links.union(new))
-    own = found.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
-    own = materialize(own, "own")
+    own = found.select("doc_id", "h", "node").join(labels, "node", "left").select("doc_id", "h", "node", F.coalesce("label", "node").alias("label"))
+    return materialize(own, "own")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, node, class_id, class_size, kept per document."""
+    own = _labelled_rows(docs)
     named = own.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     d = own.join(named, "label")
     return d.select("doc_id", "node", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The document of each class that stays, with all its columns; of rows that repeat that id, one."""
-    kept = classes(docs).where("kept").groupBy(F.col("doc_id").alias("__mw_id")).agg(F.count("*").alias("__mw_n"))
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__mw_id"]))
+    """The document of each class that stays, with all its columns; of a class's rows that repeat that id, one. Rows are told apart by id and text, so ids that repeat (or are null) in several classes stay once in each."""
+    own = _labelled_rows(docs).groupBy("label", F.col("doc_id").alias("__mw_id"), F.col("h").alias("__mw_h")).agg(F.count("*").alias("__mw_n"))
+    first = F.min(F.struct(F.col("__mw_id").isNull(), "__mw_id", "__mw_h", "__mw_n")).alias("kept")  # null ids last
+    kept = own.groupBy("label").agg(first).select("kept.__mw_id", "kept.__mw_h", "kept.__mw_n")
+    rows = docs.withColumn("__mw_key", F.xxhash64(text_of()))
+    rows = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept["__mw_id"]) & (rows["__mw_key"] == kept["__mw_h"]))
     plain, again = rows.where("__mw_n = 1"), rows.where("__mw_n > 1")
-    return plain.unionByName(again.dropDuplicates(["__mw_id"])).select(*[rows[f"`{c}`"] for c in docs.columns])
+    return plain.unionByName(again.dropDuplicates(["__mw_id", "__mw_h"])).select(*[rows[f"`{c}`"] for c in docs.columns])

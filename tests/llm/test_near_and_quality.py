@@ -74,6 +74,17 @@ def test_documents_with_odd_rows(docs, empty):
     assert near_dedup.classes(empty).count() == 0
 
 
+def test_ids_that_are_null_or_repeat_with_other_texts(spark):
+    t = [" ".join(f"t{k}w{i}" for i in range(80)) for k in range(6)]
+    near = lambda k: t[k].replace(f"t{k}w40", "other")
+    # three null ids with texts of their own (one twice, one with a near copy), id 7 with two texts, and a near copy of 5's text under an id that stays elsewhere
+    rows = [(None, t[0]), (None, t[1]), (None, t[1]), (None, t[2]), (None, near(2)), (7, t[3]), (7, t[4]), (5, t[5]), (7, near(5))]
+    got = near_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    kinds = sorted((str(r["doc_id"]), r["text"].split("w")[0]) for r in got)
+    assert kinds == [("5", "t5"), ("7", "t3"), ("7", "t4"), ("None", "t0"), ("None", "t1"), ("None", "t2")]
+    assert (5, t[5]) in [tuple(r) for r in got]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_groups_with_chains_of_edits(spark, seed):
     """Originals, copies with ever more edits, and passages that clean documents share."""
