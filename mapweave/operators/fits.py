@@ -168,18 +168,37 @@ def icp(source: np.ndarray, target: np.ndarray, normals: np.ndarray, most: float
     return r, t, err, float(fit)
 
 
+def solve_blocks(h: list[dict[int, np.ndarray]], g: np.ndarray) -> np.ndarray:
+    """Solves a symmetric positive definite system of blocks h[i][j] and right sides g[i] by elimination in order; only blocks that are there or fill in are touched (a chain stays a chain)."""
+    h, g, done = [dict(row) for row in h], g.copy(), []
+    for k, row in enumerate(h):
+        near = sorted(j for j in row if j > k)
+        x = np.linalg.solve(row[k], np.c_[g[k], *(row[j] for j in near)])
+        m = len(g[k])
+        cols = {j: x[:, 1 + m * c : 1 + m * (c + 1)] for c, j in enumerate(near)}
+        for i in near:
+            g[i] -= h[i][k] @ x[:, 0]
+            for j in near:
+                h[i][j] = h[i].get(j, 0) - h[i][k] @ cols[j]
+        done.append((x[:, 0], cols))
+    out = np.empty_like(g)
+    for k in range(len(h) - 1, -1, -1):
+        out[k] = done[k][0] - sum((c @ out[j] for j, c in done[k][1].items()), np.zeros_like(g[k]))
+    return out
+
+
 def pose_graph(poses: list[Pose3], factors: list[tuple[int, int, Pose3, np.ndarray]], steps: int = 20, huber: float = np.inf) -> list[Pose3]:  # noqa: F821
     """Levenberg-Marquardt over poses (rotation matrix, position); factor (i, j, measured pose of j in i, 6 x 6 information: rotation, then translation). Node 0 is fixed."""
     n, damp = len(poses), 1e-4
 
-    def residual(at, f) -> np.ndarray:
-        (ri, ti), (rj, tj), (rm, tm) = at[f[0]], at[f[1]], f[2]
+    def residual(first, second, f) -> np.ndarray:
+        (ri, ti), (rj, tj), (rm, tm) = first, second, f[2]
         return np.r_[log_rotation(rm.T @ ri.T @ rj), rm.T @ (ri.T @ (tj - ti) - tm)]
 
     def cost(at) -> float:
         out = 0.0
         for f in factors:
-            e = residual(at, f)
+            e = residual(at[f[0]], at[f[1]], f)
             s = np.sqrt(e @ f[3] @ e)
             out += s * s if s <= huber else 2 * huber * s - huber * huber
         return out
@@ -189,28 +208,31 @@ def pose_graph(poses: list[Pose3], factors: list[tuple[int, int, Pose3, np.ndarr
 
     now = cost(poses)
     for _ in range(steps):
-        h, g = np.zeros((6 * (n - 1), 6 * (n - 1))), np.zeros(6 * (n - 1))
+        h, g = [{k: np.zeros((6, 6))} for k in range(n - 1)], np.zeros((n - 1, 6))
         for f in factors:
-            e = residual(poses, f)
+            ends = [poses[f[0]], poses[f[1]]]
+            e = residual(*ends, f)
             s = np.sqrt(e @ f[3] @ e)
             w = f[3] * (1.0 if s <= huber else huber / s)
             blocks = []
-            for node in f[:2]:
+            for side, node in enumerate(f[:2]):
                 if node == 0:
                     continue
                 jac = np.empty((6, 6))
                 for c in range(6):
                     d = np.zeros(6)
                     d[c] = 1e-6
-                    other = list(poses)
-                    other[node] = (poses[node][0] @ rotation(d[:3]), poses[node][1] + d[3:])
-                    jac[:, c] = (residual(other, f) - e) / 1e-6
-                blocks.append((6 * (node - 1), jac))
+                    other = list(ends)
+                    other[side] = (poses[node][0] @ rotation(d[:3]), poses[node][1] + d[3:])
+                    jac[:, c] = (residual(*other, f) - e) / 1e-6
+                blocks.append((node - 1, jac))
             for a, ja in blocks:
-                g[a : a + 6] -= ja.T @ w @ e
+                g[a] -= ja.T @ w @ e
                 for b, jb in blocks:
-                    h[a : a + 6, b : b + 6] += ja.T @ w @ jb
-        step = np.linalg.solve(h + damp * np.diag(np.diag(h) + 1e-9), g)
+                    h[a][b] = h[a].get(b, 0) + ja.T @ w @ jb
+        for k in range(n - 1):
+            h[k][k] = h[k][k] + damp * np.diag(np.diag(h[k][k]) + 1e-9)
+        step = solve_blocks(h, g).ravel()
         new = moved(poses, step)
         if (then := cost(new)) < now:
             done = now - then < 1e-10 * max(now, 1e-12)

@@ -178,6 +178,24 @@ def test_pose_graph_closes_a_loop():
     assert np.linalg.norm(out[3][1] - square[3]) < 1e-3
 
 
+def test_blocks_solve_as_the_dense_system_does():
+    r = np.random.Generator(np.random.PCG64(4))
+    for extra in ([], [(0, 19)], [(2, 11), (5, 17), (0, 19)]):
+        full, blocks = np.zeros((120, 120)), [{} for _ in range(20)]
+        for i, j in [(i, i + 1) for i in range(19)] + extra:
+            jac = r.normal(size=(6, 12))
+            at = np.r_[6 * i : 6 * i + 6, 6 * j : 6 * j + 6]
+            full[np.ix_(at, at)] += jac.T @ jac
+        full += np.eye(120)
+        for i in range(20):
+            for j in range(20):
+                b = full[6 * i : 6 * i + 6, 6 * j : 6 * j + 6]
+                if b.any():
+                    blocks[i][j] = b.copy()
+        g = r.normal(size=(20, 6))
+        assert np.allclose(fits.solve_blocks(blocks, g).ravel(), np.linalg.solve(full, g.ravel()))
+
+
 def test_pending_scans_drop_late():
     p = Pending()
     p.scan(0.0, 0.1, 1)

@@ -62,3 +62,10 @@ def test_bucketed_joins_have_no_nested_loops(spark):
 def test_scans_read_only_what_is_needed(spark):
     plan = catalogue.queries()["gap_sessions"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "props" not in plan.split("ReadSchema")[1]
+
+
+def test_pose_graph_covers_every_point(spark):
+    from mapweave.plans.registry import vectors
+
+    got = catalogue.queries()["pose_graph"](spark, SF).select("label", "id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, vectors(spark, SF).select("label", "id").collect()))
