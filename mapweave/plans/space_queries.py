@@ -102,12 +102,15 @@ _VOX = f"(SELECT DISTINCT CAST(floor(x / 2.0) AS BIGINT) AS cx, CAST(floor(y / 4
 _NEAR = f"(SELECT a.cx, a.cy, a.layer, count(*) AS near FROM {_VOX} a JOIN {_VOX} b ON a.layer = b.layer AND abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1 GROUP BY 1, 2, 3)"
 
 
-def _voxels(spark, sf_dir):
-    d = points(spark, sf_dir).where("p % 3 = 0")  # a third of the parts, so that some columns have gaps
+def _in_cells(d):
     at = lambda a, s, n: F.floor(F.col(a).cast("double") / s).cast("long").alias(n)
     return d.select(at("x", 2.0, "cx"), at("y", 4.0, "cy"), at("z", 1.0, "layer"), F.col("z").cast("double").alias("z"))
 
 
+def _voxels(spark, sf_dir):
+    return _in_cells(points(spark, sf_dir).where("p % 3 = 0"))  # a third of the parts, so that some columns have gaps
+
+
 @query(f"SELECT cx, cy, max(layer) AS layer FROM (SELECT *, row_number() OVER (PARTITION BY cx, cy ORDER BY layer DESC) - 1 AS over_n FROM {_NEAR}) WHERE near >= 7 AND over_n <= 3 GROUP BY cx, cy")
 def column_top_surface(spark, sf_dir):
     return L.top_surfaces(_voxels(spark, sf_dir))
@@ -141,7 +144,7 @@ def floor_flood(spark, sf_dir):
 
 @query()
 def hole_fill(spark, sf_dir):
-    known = _heights(spark, sf_dir).where("(cx + cy) % 4 = 0")
-    return L.filled(known, 26, 30, 3)
+    """Heights of all points, and of cells near them that have none."""
+    return L.filled(L.column_heights(_in_cells(points(spark, sf_dir))), 26, 30, 3)
 
 
