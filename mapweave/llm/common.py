@@ -19,10 +19,12 @@ def text_of(name: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or, in local mode only, one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = os.path.join(tempfile.gettempdir(), "mapweave-shared")
     os.makedirs(own, exist_ok=True)
     spark.sparkContext.setCheckpointDir(f"file://{own}")
@@ -64,3 +66,24 @@ def materialize(df: DataFrame, label: str, by: list[str] | None = None) -> DataF
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"__mw_{name}"
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, counts: DataFrame, share: int = 1000) -> DataFrame:
+    """Left join of rows with keyed, which has a row a key at most. Keys with more than one in `share` of all rows (counts: key, count), of which there can be
+    no more than `share`, are joined by broadcast, so no task gets all rows of a hot key."""
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    hot = materialize(keyed.join(counts.where(F.col("count") > total / share).select(key), key), "hot")
+    hot_rows = rows.join(F.broadcast(hot), key)
+    return hot_rows.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed, key, "left"))

@@ -7,22 +7,21 @@ L / (a + b - L) >= 0.8 (the edit-sensitive form of the Jaccard similarity). Sket
 kept by texts of more than SHORT k-mers: there a pair at 0.8 misses all buckets with a chance of (1 - 0.8 ** 5) ** 40 = 1e-7 for long texts and 4e-7 for the shortest, while one at 0.25 (a shared passage) meets with 4 %.
 Texts of up to 1.25 SHORT k-mers meet without any chance (`prefix`): two similar texts share at least 0.8 n of the n k-mers of each, so in one order of all k-mers their first n - 0.8 n + 1 share one; each of these is a key.
 
-Equal word sequences are one node. Round 1 aligns each node of a bucket with the bucket's smallest node; links are joined to
-components. In each further round a node picks, by a hash of the round, one of its buckets that still hold several components, and is aligned with up to LEADERS leaders
-of it, picked by that hash, of larger components (equal sizes: of a larger label); rounds go on until one finds no new link. They only save work: at the end all pairs of a bucket that still lie in different
-components and were not tried are aligned, if their lengths and counts of k-mers by hash bin allow the similarity (`untried`; blocks of a bucket meet in numpy). So classes are the components of all similar pairs that share a bucket.
+Equal word sequences are one node (a 64-bit hash of 64-bit word hashes). First each node of a bucket is aligned with the bucket's smallest node, and links are joined to
+components. Then every bucket that still holds several components is gone through in full (`finish`): its nodes are dealt into blocks of bounded size, and for each
+pair of blocks one task counts the k-mers that each two texts share, exactly, by matrix products, and aligns those pairs of different components that share enough; a link found joins
+the components at once, so pairs it settles need no alignment. So classes are the components of all similar pairs that share a bucket; no pair is left out, and a family of unlike edits costs the square of its size in numpy, not in rows.
 
-Texts travel as 16-bit word hashes: a changed word passes for unchanged once in 65,536. Labels spread by neighbours' minima and pointer jumping; every round is written in the
-shared folder.
+Texts travel as 32-bit word hashes: a changed word passes for unchanged once in 4e9. Labels spread by neighbours' minima and pointer jumping at every size; every round is written in the
+shared folder. Keys that hold a large share of all rows are joined by broadcast (`join_hot`).
 
 Defined results: null texts are empty; texts without words are copies of each other; a text of fewer than five words is one k-mer; the smallest doc_id of a class names it and stays
-(null ids sort last); repeated ids and rows are answered each; an empty table gives no rows; other columns are ignored.
+(null ids sort last); very long texts are sketched permutation by permutation and take blocks of their own; repeated ids and rows are answered each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,18 +31,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import fresh, join_hot, materialize, text_of
 
 K, SIMILAR = 5, 0.8
 SKETCHES, MINIMA = 40, 5
 #: K-mers of texts that meet by prefixes alone.
 SHORT = 40
-#: Leaders of a bucket in each round after the first.
-LEADERS = 8
-#: Nodes of a block of a bucket, bins of k-mers by hash, and pairs compared at once.
-BLOCK, BINS, AT_A_TIME = 512, 256, 4096
-#: Links that one task joins (about 100 MB); more are joined in distributed rounds.
-ONE_TASK = 1 << 19
+#: Weight of a block of a bucket (a text weighs one and one more per HEAVY packed bytes), and rows of blocks that one task gets on average.
+BLOCK, HEAVY, ROWS = 1024, 2048, 2048
+#: K-mers of a matrix product, and pairs of texts that share one from which it takes part in products; the others are counted by pairs, so many at once.
+COLUMNS, DENSE, PAIRS = 1024, 4096, 1 << 22
 WORD = re.compile(r"\w+")
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _XOR = _RANDOM.integers(0, 1 << 64, SKETCHES, np.uint64)
@@ -143,13 +140,22 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return len(a) - row.bit_count()
 
 
+def needed(total: int | np.ndarray, least: float = SIMILAR) -> np.ndarray:
+    """Matches that make the ratio of two sequences of `total` k-mers together `least`."""
+    return np.ceil(total * least / (1 + least) - 1e-9).astype(np.int64)
+
+
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
     """Of two word sequences."""
-    s, t = kmers(a), kmers(b)
+    return alike(kmers(a), kmers(b), least)
+
+
+def alike(s: np.ndarray, t: np.ndarray, least: float = SIMILAR) -> bool:
+    """Of two k-mer sequences."""
     if not len(s) or not len(t):
         return len(s) == len(t)
     total = len(s) + len(t)
-    need = int(np.ceil(total * least / (1 + least) - 1e-9))  # matches that make the ratio `least`
+    need = int(needed(total, least))
     if min(len(s), len(t)) < need:
         return False
     n = min(len(s), len(t))
@@ -181,7 +187,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 keys = packed = None
                 if node not in seen:
                     seen.add(node)
-                    packed = pack(h.astype("<u2").tobytes())
+                    packed = pack(h.astype("<u4").tobytes())
                     keys = keys_of(kmers(h)) if len(h) else None
                 for to, v in zip(rows, (doc_id, row, node, keys, packed), strict=True):
                     to.append(v)
@@ -202,120 +208,112 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             keep = []
             for b, wa, wb in zip(*(batch.column(c).to_pylist() for c in ("b", "wa", "wb")), strict=True):
                 if b != last:  # pairs come in runs of one leader
-                    last, other = b, np.frombuffer(unpack(wb), "<u2")
-                keep.append(similar(np.frombuffer(unpack(wa), "<u2"), other))
+                    last, other = b, kmers(np.frombuffer(unpack(wb), "<u4"))
+                keep.append(alike(kmers(np.frombuffer(unpack(wa), "<u4")), other))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return materialize(both.mapInArrow(run, "a long, b long"), "links")
 
 
-def shapes(texts: DataFrame) -> DataFrame:
-    """node, n k-mers, and their numbers by hash bin (up to 255 each)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for b in batches:
-            n, bins = [], []
-            for packed in b.column(1).to_pylist():
-                s = labelled(kmers(np.frombuffer(unpack(packed), "<u2")))
-                n.append(len(s))
-                bins.append(np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(bins, pa.binary())], ["node", "n", "bins"])
-
-    return materialize(texts.select("node", "words").mapInArrow(run, "node long, n long, bins binary"), "shapes")
-
-
-def possible(n: np.ndarray, bins: np.ndarray, i: np.ndarray, j: np.ndarray, least: float = SIMILAR) -> np.ndarray:
-    """Which pairs (i, j) of shapes can be similar: no order matches more k-mers than their bins share."""
-    need = np.ceil((n[i] + n[j]) * least / (1 + least) - 1e-9)
-    out = np.minimum(n[i], n[j]) >= need
-    over = n - bins.sum(1, dtype=np.int64)  # k-mers beyond 255 of a bin
-    at = np.flatnonzero(out)
-    for k in range(0, len(at), AT_A_TIME):
-        c = at[k : k + AT_A_TIME]
-        x, y = i[c], j[c]
-        out[c] = np.minimum(bins[x], bins[y]).sum(1, dtype=np.int64) + np.minimum(over[x], over[y]) >= need[c]
+def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many labelled k-mers each text of `left` shares with each of `right`. K-mers of many pairs are counted by matrix products, the others pair by pair."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not out.size:
+        return out
+    n = sum(map(len, left))
+    _, col = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    of = lambda some: np.repeat(np.arange(len(some)), [len(x) for x in some])
+    (li, lc), (ri, rc) = (of(left), col[:n]), (of(right), col[n:])
+    dl, dr = (np.bincount(c, minlength=int(col.max(initial=-1)) + 1) for c in (lc, rc))
+    many = np.flatnonzero(dl * dr > DENSE)
+    place = np.full(len(dl), -1)
+    place[many] = np.arange(len(many))
+    for at in range(0, len(many), COLUMNS):
+        a, b = (np.zeros((len(x), COLUMNS), np.float32) for x in (left, right))
+        for m, i, c in ((a, li, place[lc]), (b, ri, place[rc])):
+            ok = (c >= at) & (c < at + COLUMNS)
+            m[i[ok], c[ok] - at] = 1
+        out += a @ b.T
+    ok = (dl[lc] * dr[lc] <= DENSE) & (dr[lc] > 0)
+    li, lc = li[ok], lc[ok]
+    order = np.argsort(rc, kind="stable")
+    ri, first = ri[order], np.cumsum(dr) - dr
+    ends = np.cumsum(dr[lc])
+    lo = 0
+    while lo < len(lc):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, "right")))
+        reps = dr[lc[lo:hi]]
+        nth = np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
+        pair = np.repeat(li[lo:hi], reps) * len(right) + ri[np.repeat(first[lc[lo:hi]], reps) + nth]
+        out += np.bincount(pair, minlength=out.size).reshape(out.shape)
+        lo = hi
     return out
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of different components that can be similar, of rows sorted by key, s and t: the pair of blocks s and t of a bucket."""
-
-    def pairs(c: list[np.ndarray], ends: list[int]) -> pa.RecordBatch:
-        found = [np.zeros((2, 0), np.int64)]
-        for lo, hi in zip(ends, ends[1:]):
-            s, t, slot, node, label, n, bins = (x[lo:hi] for x in c[1:])
-            left, right = np.flatnonzero(slot == s[0]), np.flatnonzero(slot == t[0])
-            for k in range(0, len(left), 64):
-                i, j = np.nonzero(label[left[k : k + 64], None] != label[right])
-                i, j = left[i + k], right[j]
-                if s[0] == t[0]:
-                    i, j = i[i < j], j[i < j]
-                ok = possible(n, bins, i, j)
-                x, y = node[i[ok]], node[j[ok]]
-                found.append(np.stack([np.maximum(x, y), np.minimum(x, y)]))
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in np.concatenate(found, axis=1)], ["a", "b"])
-
-    held: list[np.ndarray] | None = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        c = [b.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
-        c.append(np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint8).reshape(-1, BINS))
-        c = c if held is None else [np.concatenate(x) for x in zip(held, c, strict=True)]
-        new = np.flatnonzero((c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])) + 1
-        ends = [0, *new.tolist()]
-        yield pairs(c, ends)
-        held = [x[ends[-1] :] for x in c]
-    if held is not None:
-        yield pairs(held, [0, len(held[0])])
-
-
-def untried(live: DataFrame, texts: DataFrame, tried: DataFrame) -> DataFrame:
-    """All pairs (a, b) of a bucket in `live` (key, node, label) that have different labels, can be similar and are not in `tried`."""
-    of = shapes(texts.join(live.select("node").distinct(), "node", "left_semi"))
-    parts = live.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
-    rows = live.select("key", "node", "label").join(parts, "key").withColumn("slot", F.pmod(F.xxhash64("node", F.lit("slot")), F.col("parts")))
+def joined(slot: np.ndarray, s: int, t: int, label: np.ndarray, texts: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (larger label, smaller label) that connect whatever components the similar pairs between the blocks s and t of a bucket connect."""
+    left, right = np.flatnonzero(slot == s), np.flatnonzero(slot == t)
+    if not len(left) or not len(right):
+        return []
+    grams = [*map(kmers, texts)]
+    marked = [*map(labelled, grams)]
+    n = np.array([len(x) for x in grams])
+    need = needed(n[left][:, None] + n[right])
+    fits = shared([marked[i] for i in left], [marked[j] for j in right]) >= need
+    root, links = label.copy(), []
+    for i, ok in zip(left, fits, strict=True):
+        ok = right[ok]
+        while len(ok := ok[root[ok] != root[i]]):
+            j, ok = ok[0], ok[1:]
+            if alike(grams[i], grams[j]):
+                links.append((int(max(label[i], label[j])), int(min(label[i], label[j]))))
+                root[root == root[j]] = root[i]
+    return links
+
+
+def finish(live: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) of labels: `live` has the rows (key, node, label) of buckets with several labels."""
+    rows = live.join(texts.select("node", "words", (1 + F.octet_length("words") / HEAVY).alias("weight")), "node")
+    parts = materialize(rows.groupBy("key").agg(F.ceil(F.sum("weight") / BLOCK).cast("long").alias("parts")), "parts")
+    rows = rows.join(parts, "key").withColumn("slot", F.pmod(F.xxhash64("node", F.lit("slot")), F.col("parts")))
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least(o, "slot").alias("s"), F.greatest(o, "slot").alias("t")))
-    rows = rows.join(of, "node").withColumn("at", F.explode(meets)).select("key", "at.s", "at.t", "slot", "node", "label", "n", "bins")
-    rows = rows.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t")
-    found = materialize(rows.mapInArrow(_met, "a long, b long"), "met").distinct()
-    return materialize(found.join(tried, ["a", "b"], "left_anti"), "pairs")
-
-
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over all links that one task reads."""
-    up: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while up.setdefault(x, x) != x:
-            up[x] = x = up[up[x]]
-        return x
-
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = top(a), top(b)
-            up[max(a, b)] = min(a, b)
-    nodes = [*up]
-    tops = [*map(top, nodes)]
-    sizes = Counter(tops)
-    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (nodes, tops, [sizes[t] for t in tops])], ["node", "label", "size"])
-
-
-def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
-    """(node, label, size) for nodes with links (a, b): the smallest node that they reach, and how many there are. Up to `one_task` links (counted first) are joined by union-find in one task; more take distributed rounds with the same result."""
-    if links.count() <= one_task:
-        return materialize(links.select("a", "b").coalesce(1).mapInArrow(_joined, "node long, label long, size long"), "labels")
+    total = live.join(parts, "key").agg(F.sum("parts")).first()[0] or 0
+    rows = rows.withColumn("at", F.explode(meets)).select("key", "at.s", "at.t", "slot", "label", "words")
+    rows = rows.repartition(max(total // ROWS, live.sparkSession.sparkContext.defaultParallelism), "key", "s", "t").sortWithinPartitions("key", "s", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, last, held = zstandard.ZstdDecompressor().decompress, None, []
+
+        def close() -> pa.RecordBatch:
+            slot, label = (np.array([r[k] for r in held], np.int64) for k in (0, 1))
+            found = joined(slot, last[1], last[2], label, [np.frombuffer(unpack(r[2]), "<u4") for r in held])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for *at, slot, label, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != last:
+                    if held:
+                        yield close()
+                    last, held = at, []
+                held.append((slot, label, packed))
+        if held:
+            yield close()
+
+    return materialize(rows.mapInArrow(run, "a long, b long"), "joins")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, label) for nodes with links (a, b): the smallest node that they reach."""
     both = materialize(links.union(links.select("b", "a")).toDF("node", "other").distinct(), "both")
-    labels = materialize(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")), "labels")
+    labels = materialize(both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("low", "node").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("best"))
         own = labels.join(near, "node").select("node", F.least("label", "best").alias("new"), F.col("label").alias("old"))
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
-        moved = materialize(own.join(jump, "new", "left").select("node", F.least("new", "far").alias("label"), "old"), "labels")
-        if moved.where("label <> old").isEmpty():
-            return labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label").select("node", "label", "size")
-        labels = moved.drop("old")
+        labels = materialize(own.join(jump, "new", "left").select("node", F.least("new", "far").alias("label"), "old"), "labels")
+        if labels.where("label <> old").isEmpty():
+            return labels.drop("old")
+        labels = labels.drop("old")
 
 
 def _labelled_rows(docs: DataFrame) -> DataFrame:
@@ -326,47 +324,36 @@ def _labelled_rows(docs: DataFrame) -> DataFrame:
     buckets = materialize(entries.join(ends, "key"), "buckets")
     texts = found.where(F.col("words").isNotNull()).select("node", "words").join(buckets.select("node").distinct(), "node", "left_semi")
     texts = materialize(texts.dropDuplicates(["node"]), "texts")
-    tried = materialize(buckets.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "pairs")
-    links = verify(tried, texts)
-    for step in range(2, 1 << 16):
-        labels = components(links)
-        mine = buckets.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
-        mine = materialize(mine, "mine")
-        # keys whose buckets still hold several components, with leaders by this round's hash
-        mixed = mine.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        live = materialize(mine.join(mixed, "key", "left_semi"), "mixed")
-        by = F.xxhash64("node", F.lit(step))
-        leaders = live.groupBy("key", F.pmod(by, F.lit(LEADERS)).alias("slot")).agg(F.min(F.struct(by.alias("by"), "node", "label", "size")).alias("to"))
-        leaders = leaders.select("key", F.col("to.node").alias("lead"), F.struct("to.size", "to.label").alias("other"))
-        # each node looks at one of its mixed buckets a round, another one each time, and there at leaders of larger components
-        one = live.groupBy("node").agg(F.min(F.struct(F.xxhash64("key", "node", F.lit(step)), "key", "label", "size")).alias("at")).select("node", "at.key", F.struct("at.size", "at.label").alias("own"))
-        pairs = one.join(leaders, "key").where("own < other").select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        new = verify(pairs, texts)
-        if new.isEmpty():
-            break
-        links, tried = links.union(new), tried.union(pairs)
-    new = verify(untried(live, texts, tried), texts)
-    if not new.isEmpty():
-        labels = components(links.union(new))
-    own = found.select("doc_id", "h", "node").join(labels, "node", "left").select("doc_id", "h", "node", F.coalesce("label", "node").alias("label"))
-    return materialize(own, "own")
+    pairs = materialize(buckets.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "pairs")
+    labels = components(verify(pairs, texts))
+    mine = buckets.select("key", "node").distinct().join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    mine = materialize(mine, "mine")
+    mixed = mine.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    more = components(finish(materialize(mine.join(mixed, "key", "left_semi"), "mixed"), texts))
+    more = more.select(F.col("node").alias("first"), F.col("label").alias("final"))
+    nodes = mine.select("node", F.col("label").alias("first")).distinct()
+    label = F.coalesce("final", "first").alias("label")
+    labels = materialize(nodes.join(more, "first", "left").select("node", label).where("label <> node"), "labels")  # what is left out names itself
+    rows = found.select("doc_id", "h", "node")
+    own = join_hot(rows, labels, "node", rows.groupBy("node").count())
+    return materialize(own.select("doc_id", "h", "node", F.coalesce("label", "node").alias("label")), "own")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, node, class_id, class_size, kept per document."""
     own = _labelled_rows(docs)
-    named = own.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    d = own.join(named, "label")
+    named = materialize(own.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
+    d = join_hot(own, named, "label", named.select("label", F.col("class_size").alias("count")))
     return d.select("doc_id", "node", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The document of each class that stays, with all its columns; of a class's rows that repeat that id, one. Rows are told apart by id and text, so ids that repeat (or are null) in several classes stay once in each."""
-    own = _labelled_rows(docs).groupBy("label", F.col("doc_id").alias("__mw_id"), F.col("h").alias("__mw_h")).agg(F.count("*").alias("__mw_n"))
-    first = F.min(F.struct(F.col("__mw_id").isNull(), "__mw_id", "__mw_h", "__mw_n")).alias("kept")  # null ids last
-    kept = own.groupBy("label").agg(first).select("kept.__mw_id", "kept.__mw_h", "kept.__mw_n")
-    rows = docs.withColumn("__mw_key", F.xxhash64(text_of()))
-    rows = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept["__mw_id"]) & (rows["__mw_key"] == kept["__mw_h"]))
-    plain, again = rows.where("__mw_n = 1"), rows.where("__mw_n > 1")
-    return plain.unionByName(again.dropDuplicates(["__mw_id", "__mw_h"])).select(*[rows[f"`{c}`"] for c in docs.columns])
+    own_id, own_h, n, key = fresh(docs, "id", "h", "n", "key")
+    own = _labelled_rows(docs).groupBy("label", F.col("doc_id").alias(own_id), F.col("h").alias(own_h)).agg(F.count("*").alias(n))
+    first = F.min(F.struct(F.col(own_id).isNull().alias("none"), own_id, own_h, n)).alias("kept")  # null ids last
+    kept = own.groupBy("label").agg(first).select(*[F.col(f"kept.{c}").alias(c) for c in (own_id, own_h, n)])
+    rows = docs.withColumn(key, F.xxhash64(text_of()))
+    rows = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept[own_id]) & (rows[key] == kept[own_h]))
+    plain, again = rows.where(F.col(n) == 1), rows.where(F.col(n) > 1)
+    return plain.unionByName(again.dropDuplicates([own_id, own_h])).select(*[rows[f"`{c}`"] for c in docs.columns])

@@ -151,39 +151,74 @@ def test_similar_short_texts_share_a_key():
             assert set(near_dedup.keys_of(x).tolist()) & set(near_dedup.keys_of(y).tolist())
 
 
-def test_bins_never_exclude_a_similar_pair():
-    r = random.Random(11)
-    for size in (6, 60, 600):
-        texts = [[f"{r.randrange(9)}" if size == 600 else f"{r.randrange(500)}" for _ in range(size)] for _ in range(4)]
-        texts += [[*t[:3], "new", *t[4:]] for t in texts] + [["spam"] * (500 * size), ["spam"] * (450 * size)]
-        h = [near_dedup.words(" ".join(t)) for t in texts]
-        s = [near_dedup.labelled(near_dedup.kmers(x)) for x in h]
-        n = np.array([len(x) for x in s])
-        bins = np.stack([np.minimum(np.bincount((x >> np.uint64(56)).astype(int), minlength=256), 255).astype(np.uint8) for x in s])
-        i, j = np.triu_indices(len(h), 1)
-        ok = near_dedup.possible(n, bins, i, j)
-        for a, b, c in zip(i, j, ok, strict=True):
-            assert c or not near_dedup.similar(h[a], h[b])
+def test_shared_kmers_are_counted_exactly(monkeypatch):
+    r = np.random.Generator(np.random.PCG64(3))
+    texts = [np.unique(r.integers(0, 300, int(r.integers(0, 120))).astype(np.uint64)) for _ in range(70)]
+    want = [[len(set(x.tolist()) & set(y.tolist())) for y in texts[20:]] for x in texts[:20]]
+    for dense, columns, pairs in ((0, 16, 100), (40, 64, 7), (10**9, 1, 50), (10**9, 1, 10**6)):
+        for name, v in (("DENSE", dense), ("COLUMNS", columns), ("PAIRS", pairs)):
+            monkeypatch.setattr(near_dedup, name, v)
+        assert near_dedup.shared(texts[:20], texts[20:]).tolist() == want
+    assert near_dedup.shared([], texts).shape == (0, 70)
+
+
+def template(seed, pairs):
+    """Of one text of 400 words: `pairs` bases with five words of their own, and a copy of each with eight more."""
+    r = random.Random(seed)
+    text, rows, ids = [f"t{r.randrange(10**6)}" for _ in range(400)], [], [*range(2 * pairs)]
+    r.shuffle(ids)
+
+    def edited(words, n):
+        out = [*words]
+        for at in r.sample(range(400), n):
+            out[at] = f"e{r.randrange(10**9)}"
+        return out
+
+    for k in range(pairs):
+        base = edited(text, 5)
+        rows += [(ids[2 * k], " ".join(base)), (ids[2 * k + 1], " ".join(edited(base, 8)))]
+    return rows
+
+
+def test_pairs_of_a_dense_template(spark):
+    rows = template(5, 1000)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [k for k in range(0, 2000, 2) if got[rows[k][0]] != got[rows[k + 1][0]]] == []
 
 
 def test_blocks_of_a_bucket_meet_in_all_pairs(spark, monkeypatch):
+    """Thirty texts of one bucket in pairs; only texts of one pair are similar, and blocks hold few."""
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
     import zstandard
 
-    t = [(i, zstandard.ZstdCompressor().compress(near_dedup.words(" ".join(f"w{k}" for k in range(40)) + f" x{i}").astype("<u2").tobytes())) for i in range(30)]
-    texts = spark.createDataFrame(t, "node long, words binary")
-    live = spark.createDataFrame([(k, i, i // 3) for k in (1, 2) for i in range(30)], "key long, node long, label long")
-    tried = spark.createDataFrame([(29, 0)], "a long, b long")
-    got = sorted(map(tuple, near_dedup.untried(live, texts, tried).collect()))
-    assert got == [(a, b) for a in range(30) for b in range(a) if a // 3 != b // 3 and (a, b) != (29, 0)]
+    h = [near_dedup.words(" ".join(f"w{k}" if k % 5 else f"w{k}x{i // 2}" for k in range(40)) + f" y{i}") for i in range(30)]
+    texts = spark.createDataFrame([(i, bytearray(zstandard.ZstdCompressor().compress(x.astype("<u4").tobytes()))) for i, x in enumerate(h)], "node long, words binary")
+    live = spark.createDataFrame([(k, i, i) for k in (1, 2) for i in range(30)], "key long, node long, label long")
+    got = {tuple(r) for r in near_dedup.finish(live, texts).collect()}
+    assert got == {(i + 1, i) for i in range(0, 30, 2)}
 
 
-def test_components_by_rounds_and_by_one_task(spark):
+def test_components_of_chains_and_random_links(spark):
     r = random.Random(3)
     links = [(i, i + 1) for i in range(40)] + [(r.randrange(100, 200), r.randrange(100, 200)) for _ in range(60)]
-    d = spark.createDataFrame([(max(x), min(x)) for x in links if x[0] != x[1]], "a long, b long").repartition(3)
-    one, many = (sorted(map(tuple, near_dedup.components(d, n).collect())) for n in (1000, 0))
-    assert one == many and (40, 0, 41) in one
+    links = [(max(x), min(x)) for x in links if x[0] != x[1]]
+    up = {}
+    for a, b in links:
+        old = {up.get(a, a), up.get(b, b)}
+        up |= {a: up.get(a, a), b: up.get(b, b)}
+        up = {k: min(old) if v in old else v for k, v in up.items()}
+    got = dict(map(tuple, near_dedup.components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()))
+    assert got == up and got[40] == 0
+
+
+def test_hot_keys_join_as_others(spark):
+    from mapweave.llm.common import join_hot
+
+    rows = spark.createDataFrame([(k, k % 7 if k % 2 else 100) for k in range(400)] + [(400, None)], "n long, key long")
+    keyed = spark.createDataFrame([(k, f"v{k}") for k in (1, 3, 100, 999)], "key long, v string")
+    got = sorted(((r["n"], r["v"]) for r in join_hot(rows, keyed, "key", rows.groupBy("key").count(), share=4).collect()))
+    known = {1: "v1", 3: "v3", 100: "v100"}
+    assert got == [(k, known.get(k % 7 if k % 2 else 100) if k < 400 else None) for k in range(401)]
 
 
 def test_statistics_have_no_surprises():
