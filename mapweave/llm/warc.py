@@ -1,11 +1,11 @@
 """Dictionary-compressed WARC archives: a writer and a reader.
 
-Payloads of at least REVISIT_BYTES that are equal byte for byte (same SHA-256 and length) get one response record, the one with the largest page id; the others
-become revisit records. Decisions travel as digests, not payloads. Each task then writes archives of bounded size in the shared folder: it buffers the first records, trains a
+Payloads of at least REVISIT_BYTES that are equal (same SHA-256 and length) get one response record, the one with the largest page id; the others
+become revisit records. Groups are found from digests alone; small pages never meet, and digests with a large share of all pages are joined by broadcast. Each task then writes archives of bounded size in the shared folder: it buffers the first records, trains a
 Zstandard dictionary on them, embeds it in a leading skippable frame and compresses every record as a frame of its own. Archives are written under an attempt's own name and renamed when complete;
-only archives that the manifest of the successful attempts names are ever read.
+only archives that the manifest of the successful attempts names are ever read, each by a task of its own.
 
-Defined results: null html is an empty payload; null urls are empty; rows that repeat id and payload are all responses; null ids are read back as null; an
+Defined results: null html is an empty payload; null urls are empty; rows that repeat id and payload are all responses; null ids are read back as null; very long pages have an archive as long as they need; an
 empty table gives no archives; other columns are ignored.
 """
 
@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of, work_dir
+from .common import join_hot, materialize, text_of, work_dir
 
 REVISIT_BYTES = 1000
 #: Uncompressed bytes of an archive, and of the records that its dictionary is built from; the dictionary's size.
@@ -38,9 +38,12 @@ DATE = "2024-01-01T00:00:00Z"
 def decide(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, refers_to (null: a response)."""
     rows = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), text_of("html").cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("n", F.octet_length("payload"))
-    groups = rows.where(F.col("n") >= REVISIT_BYTES).groupBy("digest", "n").agg(F.max("page_id").alias("keep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    d = rows.join(groups, ["digest", "n"], "left")
+    size = F.octet_length("payload")
+    digest = F.when(size >= REVISIT_BYTES, F.concat(F.sha2("payload", 256), F.lit(":"), size))
+    groups = rows.select("page_id", digest.alias("digest")).where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("count"))
+    groups = materialize(groups.where("count > 1"), "revisits")
+    rows = rows.withColumn("digest", F.coalesce(digest, F.concat(F.lit("page "), F.monotonically_increasing_id())))
+    d = join_hot(rows, groups.select("digest", "keep"), "digest", groups.select("digest", "count"))
     return d.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep")).alias("refers_to"))
 
 
@@ -67,8 +70,6 @@ def dictionary(records: list[bytes]) -> bytes:
         return b"".join(records)[-DICTIONARY_BYTES:]
 
 
-
-
 def members(data: bytes) -> Iterator[bytes]:
     """The records of an archive."""
     magic, n = struct.unpack_from("<II", data)
@@ -179,5 +180,5 @@ def read(manifest: DataFrame) -> DataFrame:
                         rows = [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, kinds, strict=True)], names)
 
-    spread = manifest.select("path", "root").repartition(F.col("path"))
+    spread = manifest.select("path", "root").repartitionByRange(max(1, manifest.count()), "path")
     return spread.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")

@@ -31,6 +31,7 @@ def test_overfull_buckets_split(docs):
     tree = index.directory.collect()
     assert len(tree) > 1 and all(r["n"] <= 2 for r in tree) and sum(r["n"] for r in tree) == index.entries.count()
     assert decided(docs, capacity=2) == brute(docs.collect())
+    assert decided(docs, capacity=2, key=lambda t: F.length(t) % 5) == brute(docs.collect())
 
 
 def test_stage_keeps_all_columns_and_one_of_repeated_rows(docs):
@@ -70,3 +71,46 @@ def test_more_shards_than_rows_and_none(docs, empty):
 def test_written_shards(docs, tmp_path, spark):
     sharding.write(docs, str(tmp_path / "out"), shards=3)
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("__shard").count().count() == 3
+
+
+def test_the_index_answers_by_bucket(docs):
+    """Every document's bucket is the directory's, its key lies in the bucket's range, and the index has each text once."""
+    index = exact_dedup.build(docs, capacity=2)
+    buckets = {(1 << r["depth"]) + r["prefix"]: r["depth"] for r in index.directory.collect()}
+    for rows in (index.routed.collect(), index.entries.collect()):
+        for r in rows:
+            d = buckets[r["bucket"]]
+            assert (r["h"] % (1 << 64)) >> (64 - d) == r["bucket"] - (1 << d)
+    assert index.entries.count() == len({r["text"] or "" for r in docs.collect()})
+
+
+def test_directory_of_keys_that_share_many_bits(spark):
+    keys = [5 << 40 | i for i in range(7)] + [-(1 << 62)]
+    tree = {(r["depth"], r["prefix"]): r["n"] for r in exact_dedup.directory(spark.createDataFrame([(k,) for k in keys], "h long"), 3).collect()}
+    assert sum(tree.values()) == 8 and max(d for d, _ in tree) == exact_dedup.MAX_DEPTH
+    leaves = sorted(tree)
+    assert all(p >> (d - e) != q for d, p in leaves for e, q in leaves if e < d)
+
+
+def test_the_order_does_not_depend_on_how_rows_are_read(spark):
+    d = spark.range(500).select(F.col("id").alias("doc_id"), F.repeat(F.lit("t"), (F.col("id") % 40).cast("int")).alias("text"))
+    got = []
+    for parts, shuffles in ((1, "4"), (7, "4"), (3, "13")):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        got.append(sorted((r["record"]["doc_id"], r["shard"], r["slot"]) for r in sharding.shard(d.repartition(parts), 5, 3, 2000).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0] == got[1] == got[2]
+
+
+def test_counts_before_a_bucket(spark):
+    counts = spark.createDataFrame([(b, b % 5 + 1) for b in range(60) if b % 7], "bucket long, n long")
+    want, total = {}, 0
+    for b in range(60):
+        if b % 7:
+            want[b], total = total, total + b % 5 + 1
+    assert {r["bucket"]: r["before"] for r in sharding.before(counts, 8).collect()} == want
+
+
+def test_a_record_larger_than_a_bucket(docs):
+    got = sharding.shard(docs, shards=2, bucket_bytes=100)
+    assert got.count() == docs.count()
