@@ -6,6 +6,9 @@ byte exactly. Rows of 192 blocks are restart intervals. A picture has at most MO
 Reader: parses the markers, takes the scan's restart intervals as lanes, and Huffman-decodes all lanes of all pictures with the same tables in step with
 numpy (a block a step; AC coefficients are decoded and skipped). The DC plane of the first component is the thumbnail. Files without restart
 intervals are one lane each; sampling factors and interleaved components are handled. Progressive, lossless and arithmetic files are refused.
+
+Defined results: null texts are empty (one row of spaces); very long texts are encoded and decoded by blocks of about AT_ONCE bytes, so beside its text and stored form a
+text takes a bounded amount of memory; repeated ids and rows are answered each; an empty table gives no rows; other columns are ignored by `store`.
 """
 
 from __future__ import annotations
@@ -18,14 +21,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
 
 ROW, MOST_ROWS = 192, 8191
-#: Payload bytes that are encoded or decoded at once (encoding takes about 100 times that in memory), and rows that a batch is cut to.
-AT_ONCE, ROWS = 1 << 20, 500
+#: Payload bytes that are encoded or decoded at once (encoding takes about 100 times that in memory), and rows and payload bytes that a batch is cut to.
+AT_ONCE, ROWS, BATCH_BYTES = 1 << 20, 500, 8 << 20
 #: Code lengths (1 to 16) and symbols of our Huffman tables. DC categories by how often text has them; AC has the end of block only.
 DC_BITS, DC_SYMBOLS = [0, 0, 7, 1, 1] + [0] * 11, [3, 4, 5, 2, 7, 6, 0, 1, 8]
 AC_BITS, AC_SYMBOLS = [1] + [0] * 15, [0]
@@ -73,19 +77,21 @@ def _header(rows: int) -> bytes:
 
 
 def write(payloads: list[bytes]) -> list[bytes]:
-    """The stored form of each payload (each a positive multiple of 192 bytes long)."""
+    """The stored form of each payload (each a positive multiple of 192 bytes long). Short payloads are encoded together, long ones by blocks of rows."""
     out: list[bytes] = []
     group: list[bytes] = []
+    held = 0
     for i, p in enumerate(payloads):
         group.append(p)
-        if sum(map(len, group)) >= AT_ONCE or i == len(payloads) - 1:
+        held += len(p)
+        if held >= AT_ONCE or i == len(payloads) - 1:
             out += _write(group)
-            group = []
+            group, held = [], 0
     return out
 
 
-def _write(payloads: list[bytes]) -> list[bytes]:
-    v = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int16).reshape(-1, ROW) - 128
+def _scan(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of samples less 128 as entropy-coded intervals, each followed by two bytes for its marker, and where those two bytes stand."""
     d = np.diff(v, axis=1, prepend=np.int16(0)).astype(np.int64)
     cat = _CATEGORY[np.abs(d)]
     size = np.empty((len(v), ROW + 1), np.int64)
@@ -106,16 +112,30 @@ def _write(payloads: list[bytes]) -> list[bytes]:
     ends = np.append(at, 0)[np.cumsum(row_bytes) - 1] + 1
     ends += data[np.cumsum(row_bytes) - 1] == 0xFF
     made[ends], made[ends + 1] = 0xFF, 0xD9
-    out, r, begin = [], 0, 0
+    return made, ends
+
+
+def _write(payloads: list[bytes]) -> list[bytes]:
+    v = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, ROW)
+    out, r, step = [], 0, max(1, AT_ONCE // ROW)
+    made, ends, lo = np.zeros(0, np.uint8), np.zeros(0, np.int64), 0  # of the block of rows from lo on
     for p in payloads:
         files, n = [], len(p) // ROW
         for k in range(0, n, MOST_ROWS):
-            rows = min(MOST_ROWS, n - k)
-            mid = ends[r : r + rows - 1]
-            made[mid + 1] = 0xD0 + np.arange(rows - 1) % 8  # the last row keeps the end of image
-            end = int(ends[r + rows - 1]) + 2
-            files += [_header(rows), made[begin:end].tobytes()]
-            r, begin = r + rows, end
+            rows, done = min(MOST_ROWS, n - k), 0
+            files.append(_header(rows))
+            while done < rows:  # a picture may reach over blocks, a block over pictures
+                if r == lo + len(ends):
+                    lo = r
+                    made, ends = _scan(v[r : r + step].astype(np.int16) - 128)
+                here = min(rows - done, lo + len(ends) - r)
+                mark = ends[r - lo : r - lo + here] + 1
+                made[mark] = 0xD0 + np.arange(done, done + here) % 8
+                done, begin = done + here, int(ends[r - lo - 1]) + 2 if r > lo else 0
+                if done == rows:
+                    made[mark[-1]] = 0xD9  # the last row has the end of image
+                files.append(made[begin : int(mark[-1]) + 1].tobytes())
+                r += here
         out.append(b"".join(files))
     return out
 
@@ -275,7 +295,7 @@ def _decode(pictures: list[Picture]) -> None:
         lane += n
         p.lanes = []
         h, v = (1, 1) if len(p.scan) == 1 else p.parts[0][1:3]
-        p.dc = dc.reshape(down, across, v, h).swapaxes(1, 2).reshape(down * v, across * h)
+        p.dc = dc.reshape(down, across, v, h).swapaxes(1, 2).reshape(down * v, across * h).astype(np.int16)  # eight-bit samples have DC values of eleven bits and a sign
 
 
 def read(files: list[bytes]) -> list[list[Picture]]:
@@ -320,39 +340,54 @@ def hashes(thumb: np.ndarray) -> str:
     return ":".join(np.packbits(b).tobytes().hex() for b in bits)
 
 
+def _slices(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ROWS rows and, unless a row is larger, BATCH_BYTES bytes of that column."""
+    sizes = pc.binary_length(b.column(column)).to_pylist()
+    lo = held = 0
+    for i, n in enumerate(sizes):
+        if i > lo and (i - lo >= ROWS or held + n > BATCH_BYTES):
+            yield b.slice(lo, i - lo)
+            lo, held = i, 0
+        held += n
+    if lo < len(sizes):
+        yield b.slice(lo)
+
+
 def store(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_bytes and the stored form of each text: `media`. Null texts are empty; repeated rows are answered each; other columns are ignored."""
+    """doc_id, n_bytes and the stored form of each text: `media`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for i in range(0, len(texts), ROWS):
-                some = texts[i : i + ROWS]
-                yield pa.RecordBatch.from_arrays([b.column(0)[i : i + ROWS], pa.array([len(t) for t in some], pa.int64()), pa.array(write([pad(t) for t in some]), pa.binary())], ["doc_id", "n_bytes", "media"])
+        for whole in batches:
+            for b in _slices(whole, 1):
+                texts = b.column(1).to_pylist()
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(write([pad(t) for t in texts]), pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long"), text_of(text).cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Decodes `media`: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, width, height, feature."""
+    """Decodes `media`: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, width, height."""
     names = [*media.columns]
     keep = [c for c in names if c != "media"]
 
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string()]
-    made = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "width", "height", "feature"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64()]
+    made = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, ROWS):
-                b = whole.slice(i, ROWS)
+            for b in _slices(whole, names.index("media")):
                 files = b.column("media").to_pylist()
                 rows = []
                 for data, found in zip(files, read(files), strict=True):
-                    thumbs = [p.thumbnail() for p in found]
-                    payload = b"".join(t.tobytes() for t in thumbs)
-                    feature = ";".join(f"{p.width}x{p.height}:{hashes(t)}" for p, t in zip(found, thumbs, strict=True))
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), found[0].width, sum(p.height for p in found), feature))
+                    digest, total, tail, marks = hashlib.sha256(), 0, b"", []
+                    for p in found:
+                        t = p.thumbnail()
+                        raw, p.dc = t.tobytes(), None
+                        digest.update(raw)
+                        total, tail = total + len(raw), (tail + raw[-16:])[-16:]
+                        marks.append(f"{p.width}x{p.height}:{hashes(t)}")
+                    rows.append((total, digest.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), ";".join(marks), found[0].width, sum(p.height for p in found)))
                 yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], keep + made)
 
-    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in media.schema if f.name != "media")
-    return media.mapInArrow(run, schema + "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width int, height long, feature string")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in media.schema if f.name != "media")
+    return media.mapInArrow(run, schema + "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height long")

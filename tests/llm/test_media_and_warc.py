@@ -24,6 +24,47 @@ def test_long_payloads_are_several_pictures():
     assert [x.height for x in f] == [8 * jpeg.MOST_ROWS, 8] and b"".join(x.thumbnail().tobytes() for x in f) == p
 
 
+def test_blocks_of_rows_do_not_show(monkeypatch):
+    r = np.random.Generator(np.random.PCG64(8))
+    p = [jpeg.pad(r.integers(0, 256, n).astype(np.uint8).tobytes()) for n in (100, 192 * 30, 5, 192 * 7, 192 * 100 + 3, 0)]
+    whole = jpeg.write(p)
+    for at_once, rows in ((192 * 4, 13), (192 * 9, 8191), (1, 5)):
+        monkeypatch.setattr(jpeg, "AT_ONCE", at_once)
+        monkeypatch.setattr(jpeg, "MOST_ROWS", rows)
+        got = jpeg.write(p)
+        assert rows < 8191 or got == whole
+        assert [b"".join(x.thumbnail().tobytes() for x in f) for f in jpeg.read(got)] == p
+
+
+def test_a_very_long_text_takes_bounded_memory():
+    import tracemalloc
+
+    text = jpeg.pad(b"some words of a long text, " * 600_000)
+    tracemalloc.start()
+    (stored,) = jpeg.write([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250 << 20
+    (found,) = jpeg.read([stored])
+    assert b"".join(x.thumbnail().tobytes() for x in found) == text
+
+
+def test_hashes_equal_a_plain_version():
+    """Cell means by loops over the thumbnail."""
+    r = np.random.Generator(np.random.PCG64(2))
+    for rows in (1, 3, 8, 50):
+        t = r.integers(0, 256, (rows, 192)).astype(np.uint8)
+
+        def mean(y, x, ny, nx, t=t, rows=rows):
+            y0, x0 = y * rows // ny, x * 192 // nx
+            return t[y0 : max((y + 1) * rows // ny, y0 + 1), x0 : (x + 1) * 192 // nx].sum() / (max((y + 1) * rows // ny - y0, 1) * ((x + 1) * 192 // nx - x0))
+
+        a = np.array([[mean(y, x, 8, 8) for x in range(8)] for y in range(8)])
+        d = np.array([[mean(y, x, 8, 9) for x in range(9)] for y in range(8)])
+        want = ":".join(np.packbits(b).tobytes().hex() for b in (a > a.mean(), d[:, 1:] > d[:, :-1]))
+        assert jpeg.hashes(t) == want
+
+
 def colour_file(luma, chroma, restart):
     """A 4:2:0 picture with AC coefficients, written symbol by symbol: 16 x 16 MCUs of four luminance and two chroma blocks."""
     dc = [(s, c, n) for s, c, n in jpeg.canonical([0, 0, 0, 12] + [0] * 12, [*range(12)])]
