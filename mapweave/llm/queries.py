@@ -75,13 +75,19 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_char
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inserts every document with a provisional count (a token per four bytes), revises all counts to exact ones, and replays both batches, which changes nothing."""
+    """Inserts every document with a provisional count (a token per four bytes), revises all counts to exact ones, deletes the documents whose id and size are both even, inserts those again, and replays all batches, which changes nothing."""
     exact = materialize(token_counts.counted(table(spark, sf_dir, "documents")), "counted")
-    guess = F.expr("n_bytes div 4")
+    guess, none = F.expr("n_bytes div 4"), F.lit(None).cast("long")
+    some = exact.where("doc_id % 2 = 0 and n_bytes % 2 = 0").withColumn("old_tokens", none)
+    batches = {
+        "insert-1": exact.withColumns({"kind": F.lit("insert"), "n_tokens": guess, "old_tokens": none}),
+        "revise-1": exact.withColumns({"kind": F.lit("revise"), "old_tokens": guess}),
+        "delete-1": some.withColumn("kind", F.lit("delete")),
+        "insert-2": some.withColumn("kind", F.lit("insert")),
+    }
     rollup = token_counts.Rollup(spark, work_dir(spark, "rollup"))
-    for _ in range(2):
-        rollup.commit("insert-1", exact.withColumns({"kind": F.lit("insert"), "n_tokens": guess, "old_tokens": F.lit(None).cast("long")}))
-        rollup.commit("revise-1", exact.withColumns({"kind": F.lit("revise"), "old_tokens": guess}))
+    for batch, changes in [*batches.items(), *batches.items()]:
+        rollup.commit(batch, changes)
     return rollup.totals()
 
 

@@ -1,18 +1,20 @@
 """Token totals by source, language and tokenizer version, kept up by deltas.
 
 A batch of changes (insert, delete, revise) becomes signed totals: an insert adds a document and its tokens, a delete takes them away, a revision adds the
-difference of the counts. Batches are committed under their id as small Parquet tables in a folder; a batch that is already committed is left alone, and one whose writer died before its _SUCCESS mark
-is written anew, so replays and retries change nothing. Totals are sums over committed deltas; `compact` folds them into one.
+difference of the counts. A batch is written as a small Parquet table under its writer's own name and committed by creating a file of the batch's id, which names that table and which only one writer
+can create; a batch that is already committed is left alone, and what a writer that died or came second has left is never read, so replays, retries and races change nothing. Totals are sums over committed deltas; `compact` folds them into one.
 
 Defined results: null sources, languages or versions are keys of their own; null counts are 0; an unknown kind of change is an error; an empty
-batch commits nothing but its id; groups whose totals are all zero are left out; repeated change rows count each; other columns are ignored.
+batch commits nothing but its id; groups whose totals are all zero are left out; repeated change rows count each; very long texts are counted whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,9 +65,34 @@ class Rollup:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def _writer(self, batch: str) -> str:
+        """The name of the table that was committed as this batch; empty if none."""
+        fs, p = self._fs(f"{self.root}/commits/{batch}")
+        if not fs.exists(p):
+            return ""
+        stream = fs.open(p)
+        try:
+            return bytes(stream.readNBytes(100)).decode()
+        finally:
+            stream.close()
+
     def committed(self, batch: str) -> bool:
-        fs, p = self._fs(f"{self.root}/{batch}/_SUCCESS")
-        return fs.exists(p)
+        return bool(self._writer(batch))
+
+    def _claim(self, batch: str, name: str) -> bool:
+        """Creates the batch's commit file; False if another writer has. A file without a name is of a writer that died while creating it."""
+        fs, p = self._fs(f"{self.root}/commits/{batch}")
+        if fs.exists(p) and not self._writer(batch):
+            fs.delete(p, False)
+        try:
+            stream = fs.create(p, False)
+        except Py4JJavaError:
+            if self.committed(batch):
+                return False
+            raise
+        stream.write(bytearray(name.encode()))
+        stream.close()
+        return True
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """False if that batch was committed before."""
@@ -73,16 +100,17 @@ class Rollup:
             raise ValueError("a batch id has letters, digits and - only")
         if self.committed(batch):
             return False
-        delta(changes).write.mode("overwrite").parquet(f"{self.root}/{batch}")
-        return True
+        name = f"{batch}-{uuid.uuid4().hex}"
+        delta(changes).write.parquet(f"{self.root}/deltas/{name}")
+        return self._claim(batch, name)
 
     def batches(self) -> list[str]:
-        fs, p = self._fs(self.root)
+        fs, p = self._fs(f"{self.root}/commits")
         found = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-        return sorted(b for b in found if self.committed(b))
+        return sorted(b for b in found if not b.startswith(".") and self.committed(b))
 
     def totals(self) -> DataFrame:
-        paths = [f"{self.root}/{b}" for b in self.batches()]
+        paths = sorted({f"{self.root}/deltas/{self._writer(b)}" for b in self.batches()})
         rows = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
         sums = rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
         return sums.where(" or ".join(f"{c} <> 0" for c in SUMS))
@@ -92,7 +120,8 @@ class Rollup:
         new = Rollup(self.spark, root)
         ids = self.batches()
         if ids:
-            self.totals().write.mode("overwrite").parquet(f"{new.root}/{ids[0]}")
-        for b in ids[1:]:
-            self.spark.createDataFrame([], SCHEMA).write.mode("overwrite").parquet(f"{new.root}/{b}")
+            name = f"compact-{uuid.uuid4().hex}"
+            self.totals().write.parquet(f"{new.root}/deltas/{name}")
+            for b in ids:
+                new._claim(b, name)
         return new

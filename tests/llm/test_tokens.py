@@ -138,7 +138,7 @@ def test_rollup_is_idempotent(docs, spark, tmp_path):
     r.commit("b3", kind("delete"))
     r.commit("b4", kind("revise", None).withColumn("old_tokens", F.col("n_tokens") * 2))
     assert r.totals().count() == 0
-    (tmp_path / "a" / "b5").mkdir()  # a writer that died
+    (tmp_path / "a" / "commits" / "b5").touch()  # a writer that died
     assert r.commit("b5", kind("insert")) and r.totals().count() > 0
     with pytest.raises(Exception, match="unknown change"):
         r.commit("b6", kind("other"))
@@ -146,3 +146,41 @@ def test_rollup_is_idempotent(docs, spark, tmp_path):
 
 def test_token_counts_of_nothing(empty):
     assert token_counts.counted(empty).count() == 0
+
+
+def test_one_of_two_writers_of_a_batch_counts(docs, spark, tmp_path, monkeypatch):
+    """The second has written its delta before it sees that the first has committed."""
+    from pyspark.sql import functions as F
+
+    d = token_counts.counted(docs).withColumns({"kind": F.lit("insert"), "old_tokens": F.lit(None).cast("long")})
+    r = token_counts.Rollup(spark, f"file://{tmp_path}/race")
+    assert r.commit("b1", d)
+    once = sorted(map(tuple, r.totals().collect()), key=repr)
+    monkeypatch.setattr(token_counts.Rollup, "committed", lambda self, b, real=token_counts.Rollup.committed, seen=[]: real(self, b) if seen else seen.append(b))  # noqa: B006
+    assert not r.commit("b1", d)
+    assert sorted(map(tuple, r.totals().collect()), key=repr) == once
+
+
+def test_totals_of_the_query_equal_a_recount(spark):
+    """Over the whole table, by the libraries, without deltas."""
+    import pyarrow.parquet as pq
+
+    from mapweave.llm import queries
+
+    sf, want = "/root/testdata/sf0.001", defaultdict(lambda: [0, 0, 0])
+    for r in pq.read_table(f"{sf}/documents.parquet").to_pylist():
+        for version, library in (("byte_bpe_50k", BYTE), ("word_bpe_49k", WORD)):
+            text = r["text"] or ""
+            for k, v in enumerate((1, len(library.encode(text, add_special_tokens=False).ids), len(text.encode()))):
+                want[r["source"], r["lang"], version][k] += v
+    got = {tuple(r)[:3]: [*tuple(r)[3:]] for r in queries.op7_token_counts(spark, sf).collect()}
+    assert got == dict(want)
+
+
+def test_counts_of_null_keys(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([(1, None, None, "a b"), (2, "s", None, None)], "doc_id long, source string, lang string, text string")
+    r = token_counts.Rollup(spark, f"file://{tmp_path}/nulls")
+    r.commit("b1", token_counts.counted(d).withColumns({"kind": F.lit("insert"), "old_tokens": F.lit(None).cast("long")}))
+    assert {(x["source"], x["lang"], x["n_docs"]) for x in r.totals().collect()} == {(None, None, 1), ("s", None, 1)}
