@@ -1,12 +1,13 @@
 """BPE encoding with content-defined chunks that documents share, and decoding.
 
 Texts are cut where a rolling hash of the last 32 bytes hits a mask, so a shared passage gives the same chunks in every document. Chunks are dealt by a
-128-bit digest to the task that encodes them once; a task sends a chunk's text with its first occurrence only. A chunk that is hot within a
-task goes to a few salted owners instead of one. Each occurrence gets the chunk's ids back; documents are put together in order. A cut may
-fall inside a word: a chunk's ids cover what lies between its first and last white space, and at each join the two loose ends
-(over as many chunks as have no white space) are re-encoded as one, from where both neighbours agree with the whole text's encoding.
+128-bit digest to the task that encodes them once; a task sends a chunk's text with its first occurrence only. Occurrences of a chunk beyond a task's share of HOT_ROWS
+go to salted owners, each for the tasks of one salt, so an owner's rows stay bounded however many tasks there are. Each occurrence gets the chunk's ids back; documents are put together in order. A cut may
+fall inside a word: a chunk's ids cover what lies between its first and last white space. At each join the loose ends (over as many chunks as have no white space) are
+re-encoded by the library together with the nearest part of either neighbour, and the join stands when the result begins with the left part's known ids and ends with the right part's;
+if not, it is done again with GUARDS parts of either side, and a join that does not agree then is an error, not a result.
 
-Defined results: null texts are empty (no ids); repeated ids and rows are answered each; an empty table gives no rows; texts of any length are cut and joined
+Defined results: null texts are empty (no ids); repeated ids and rows are answered each; an empty table gives no rows; very long texts are cut and joined
 the same way; other columns are ignored.
 """
 
@@ -30,11 +31,13 @@ from .common import text_of
 
 #: Bytes of a chunk: at least, about 2 ** MASK_BITS more, at most.
 LEAST, MASK_BITS, MOST = 512, 12, 16384
-#: Occurrences in one task from which a chunk counts as hot there, and the owners that hot chunks are salted over.
-HOT, SALTS = 64, 64
-#: One pseudo-random 32-bit number per byte, by a rule.
+#: Rows of a chunk that all tasks together may send to its first owner, tasks that share a salted owner beyond that, and salts at least.
+HOT_ROWS, TASKS_A_SALT, SALTS = 4096, 64, 64
+#: Parts of a chunk on either side that a join may look at.
+GUARDS = 4
 #: Documents, and characters of each, that the dictionaries for what is shuffled are trained on; they affect its size only.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 500, 20_000, 110 << 10, 9
+#: One pseudo-random 32-bit number per byte, by a rule.
 GEAR = np.array([(b + 1) * 2654435761 & 0xFFFFFFFF ^ (b + 7) * 40503 * 65537 & 0xFFFFFFFF for b in range(256)], np.uint32)
 EDGE = re.compile(rb"[ \n]")
 
@@ -65,30 +68,65 @@ def cuts(data: bytes) -> list[int]:
     return ends if ends[-1] == n else [*ends, n]
 
 
+_HEAD = struct.Struct("<10i")
+_PART = re.compile(rb"[^ \n]+")
+
+
 def encode_chunk(bpe: tokens.WordBpe, data: bytes) -> bytes:
-    """Length of the head, then of the tail, head, tail, ids between. A chunk without white space is all head, and its tail length -1."""
+    """Lengths, then head and tail (before the first and after the last white space), the first and last GUARDS parts between, and the ids of all between. A chunk without
+    white space is all head, and its tail's length -1. Lengths: of head and tail, and for either guard its bytes and ids with one part and with all."""
     found = EDGE.search(data)
     if not found:
-        return struct.pack("<ii", len(data), -1) + data
+        return _HEAD.pack(len(data), -1, *[0] * 8) + data
     a, z = found.start(), max(data.rfind(b" "), data.rfind(b"\n")) + 1
-    return struct.pack("<ii", a, len(data) - z) + data[:a] + data[z:] + bpe.encode(data[a:z].decode())
+    inner = data[a:z]
+    n = lambda part: len(bpe.encode(part.decode())) // 2
+    left = [m.end() for m, _ in zip(_PART.finditer(inner), range(GUARDS), strict=False)] or [len(inner)]
+    right, at = [], len(inner)
+    while len(right) < GUARDS and at:
+        end = len(inner[:at].rstrip(b" \n"))
+        if not end:
+            break
+        at = max(inner.rfind(b" ", 0, end), inner.rfind(b"\n", 0, end)) + 1
+        right.append(at)
+    right = right or [0]
+    first, last = inner[: left[-1]], inner[right[-1] :]
+    guards = [left[0], n(inner[: left[0]]), left[-1], n(first), len(inner) - right[0], n(inner[right[0] :]), len(last), n(last)]
+    return _HEAD.pack(a, len(data) - z, *guards) + data[:a] + data[z:] + first + last + bpe.encode(inner.decode())
 
 
 class Joiner:
-    """Puts a document's chunks together; loose ends are re-encoded where they meet."""
+    """Puts a document's chunks together; loose ends are re-encoded where they meet, until both sides agree."""
 
     def __init__(self, bpe: tokens.WordBpe) -> None:
         self.bpe, self.out, self.loose = bpe, [], b""
+        self.left = [(b"", b""), (b"", b"")]  # the text and ids just before the loose end, with one part and with all
+
+    def _join(self, right: list[tuple[bytes, bytes]]) -> None:
+        for (a, before), (z, after) in zip(self.left, right, strict=True):
+            found = self.bpe.plain((a + self.loose + z).decode())
+            if len(found) >= len(before) + len(after) and found.startswith(before) and found.endswith(after):
+                self.out.append(found[len(before) : len(found) - len(after)])
+                return
+        raise ValueError("the chunks at a join do not agree with its encoding")
 
     def add(self, chunk: bytes) -> None:
-        head, tail = struct.unpack_from("<ii", chunk)
-        self.loose += chunk[8 : 8 + head]
-        if tail >= 0:
-            self.out += [self.bpe.encode(self.loose.decode()), chunk[8 + head + tail :]]
-            self.loose = chunk[8 + head : 8 + head + tail]
+        head, tail, *sizes = _HEAD.unpack_from(chunk)
+        at = _HEAD.size
+        self.loose += chunk[at : at + head]
+        if tail < 0:
+            return
+        text = at + head + tail
+        first, last = chunk[text : text + sizes[2]], chunk[text + sizes[2] : text + sizes[2] + sizes[6]]
+        ids = chunk[text + sizes[2] + sizes[6] :]
+        self._join([(first[:b], ids[: 2 * n]) for b, n in (sizes[0:2], sizes[2:4])])
+        self.out.append(ids)
+        self.left = [(last[len(last) - b :], ids[len(ids) - 2 * n :]) for b, n in (sizes[4:6], sizes[6:8])]
+        self.loose = chunk[at + head : text]
 
     def ids(self) -> np.ndarray:
-        return np.frombuffer(b"".join([*self.out, self.bpe.encode(self.loose.decode())]), "<u2")
+        self._join([(b"", b""), (b"", b"")])
+        return np.frombuffer(b"".join(self.out), "<u2")
 
 
 def _codec(trained: bytes | None) -> tuple:
@@ -120,11 +158,13 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = False) -> DataF
     """doc_id, n_tokens, ids_sha256, decoded_sha256 per document; ids: also the ids and the decoded text."""
     rows = docs.select(F.col("doc_id").cast("long"), text_of().cast("binary").alias("text"), F.monotonically_increasing_id().alias("uid"))
     for_text, for_ids = _dictionaries(docs, path)
+    tasks = rows.rdd.getNumPartitions()
+    hot, salts = max(1, HOT_ROWS // max(1, tasks)), max(SALTS, tasks // TASKS_A_SALT)
     sent = "key binary, salt int, uid long, doc_id long, pos int, z binary"
     kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt, seen, (pack, _) = 1 + TaskContext.get().partitionId() % SALTS, {}, _codec(for_text)
+        salt, seen, (pack, _) = 1 + TaskContext.get().partitionId() % salts, {}, _codec(for_text)
         for b in batches:
             out: list[list] = [[] for _ in kinds]
             for doc_id, data, uid in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -133,7 +173,7 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = False) -> DataF
                     chunk = data[at:end]
                     key, at = xxhash.xxh3_128_digest(chunk), end
                     n = seen[key] = seen.get(key, 0) + 1
-                    for to, v in zip(out, (key, salt if n > HOT else 0, uid, doc_id if pos == 0 else None, pos, pack(chunk) if n in (1, HOT + 1) else None), strict=True):
+                    for to, v in zip(out, (key, salt if n > hot else 0, uid, doc_id if pos == 0 else None, pos, pack(chunk) if n in (1, hot + 1) else None), strict=True):
                         to.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["key", "salt", "uid", "doc_id", "pos", "z"])
 

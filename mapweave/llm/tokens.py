@@ -103,6 +103,10 @@ class WordBpe(_Memo):
     def encode(self, text: str) -> bytes:
         return b"".join(self.fill(text.replace("\n", " ").split(" ")))
 
+    def plain(self, text: str) -> bytes:
+        """By the library, without the memo."""
+        return _u16(self.library.encode(text, add_special_tokens=False).ids)
+
     def decode(self, ids: np.ndarray) -> str:
         """As the library's decode(ids, skip_special_tokens=False): it has no decoder, so tokens are joined by spaces."""
         return " ".join(map(self.pieces.__getitem__, ids.tolist()))
