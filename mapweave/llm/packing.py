@@ -1,13 +1,14 @@
 """Best-fit packing of tokenized documents into sequences, in bulk-synchronous rounds.
 
-Map: each task encodes its documents, cuts those longer than a sequence (the first piece takes the remainder) and writes its pieces, numbered within
-(task, length), in the shared folder. Pieces of one length are interchangeable, so documents and gaps are range-sorted as
-size classes: at most SEQUENCE classes on either side, however many documents there are. A superstep takes the longest length not yet
-placed, sweeps the gap classes upward from its successor (the smallest gap that fits), hands each gap as many pieces as fit, resolves conflicts by rank (the pieces with
-the lowest ranks get the first gaps), and updates the gaps; what finds no gap opens sequences. The table of these moves has runs
-of ranks, not documents. Ranks come from per-task counts, summed per length, so no task ever holds a whole length class. Last, each piece looks its run up.
-
-This equals best-fit decreasing over single pieces. Defined results: null texts are empty and have one piece, the end id alone; repeated rows and ids are packed each;
+Map: each task encodes its documents, cuts those longer than a sequence (the first piece takes the remainder) and writes its pieces under numbers of their own in the shared folder.
+
+Pieces are placed by falling length, a band of lengths at a time (`bands`); those of the first band, over half a sequence, open a sequence each. In a superstep the band's pieces and
+the gaps (open sequences; one that could take several pieces of the band offers as many slots) are range-sorted together by falling size. Each task sweeps its range: a
+gap waits on a stack, a piece takes its successor, the smallest gap that still waits. Pieces that find none in their range take, in order of their rank, the nearest gaps left in
+earlier ranges (`carry`, over two counts a range). So no two pieces want one slot, as if one task had swept all. Then gaps shrink by what they got, and the superstep is repeated until no gap can take
+a piece of the band; what is left opens sequences.
+
+Defined results: null texts are empty and have one piece, the end id alone; very long texts are cut; repeated rows and ids are packed each;
 an empty table gives no rows; other columns are ignored.
 """
 
@@ -15,7 +16,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,11 @@ from . import tokens
 from .common import materialize, text_of
 
 SEQUENCE, END_ID = 2048, 0
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
+#: Pieces and slots that a range task sweeps on average.
+RANGE_ROWS = 200_000
+#: Bands of lengths of which a new sequence holds exactly k pieces, k up to this; below, lengths halve from band to band down to SMALLEST.
+EXACT, SMALLEST = 8, 28
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, pid long"
 
 
 def cut(n: int, most: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -41,83 +45,202 @@ def pieces(docs: DataFrame, path: str | None = None, ranks: str | None = None, m
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokens.shared(tokens.ByteBpe, path, ranks)
-        part, nth, end = TaskContext.get().partitionId(), [0] * (most + 1), np.array([END_ID], "<u4").tobytes()
+        pid, end = TaskContext.get().partitionId() << 40, np.array([END_ID], "<u4").tobytes()
         for b in batches:
-            rows: list[list] = [[] for _ in range(7 + ids)]
+            rows: list[list] = [[] for _ in range(6 + ids)]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = np.frombuffer(bpe.encode(text), "<u2").astype("<u4").tobytes() + end
                 for k, (s, n) in enumerate(cut(len(raw) // 4, most)):
                     own = raw[4 * s : 4 * (s + n)]
-                    for to, v in zip(rows, (doc_id, k, s, n, zlib.crc32(own), part, nth[n], np.frombuffer(own, "<u4").astype(np.int32) if ids else None), strict=False):
+                    for to, v in zip(rows, (doc_id, k, s, n, zlib.crc32(own), pid, np.frombuffer(own, "<u4").astype(np.int32) if ids else None), strict=False):
                         to.append(v)
-                    nth[n] += 1
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, kinds, strict=False)], names[: 7 + ids])
+                    pid += 1
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "pid", "ids"]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, kinds, strict=False)], names[: 6 + ids])
 
     return materialize(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(encode, PIECES + ", ids array<int>" * ids), "pieces")
 
 
-@dataclass
-class Moves:
-    """Runs of ranks: pieces of `length` with rank first .. go to sequences from `to` on, `each` to a sequence, from `offset` on. Sorted by (length, first)."""
-
-    length: np.ndarray
-    first: np.ndarray
-    each: np.ndarray
-    to: np.ndarray
-    offset: np.ndarray
-    sequences: int
-
-    def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted((self.length << 44) + self.first, (length << 44) + rank, "right") - 1
-        i = rank - self.first[at]
-        return self.to[at] + i // self.each[at], self.offset[at] + i % self.each[at] * length
-
-
-def sweep(counts: dict[int, int], most: int = SEQUENCE) -> Moves:
-    """counts: pieces by length."""
-    gaps: list[list[tuple[int, int]]] = [[] for _ in range(most + 1)]  # by size: runs (first sequence, how many)
-    moves, opened = [], 0
-    for length in sorted(counts, reverse=True):
-        left, rank, g = counts[length], 0, length
-        while left:
-            while g <= most and not gaps[g]:
-                g += 1
-            if g > most:
-                each = most // length
-                to, have, g = opened, -(-left // each), most
-                opened += have
-            else:
-                to, have = gaps[g].pop()
-                each = g // length
-            full = min(have, left // each)
-            if full:
-                moves.append((length, rank, each, to, most - g))
-                gaps[g - each * length].append((to, full))
-                left, rank = left - full * each, rank + full * each
-            if full < have and left:  # fewer pieces than one more gap could take
-                moves.append((length, rank, each, to + full, most - g))
-                gaps[g - left * length].append((to + full, 1))
-                left, rank, full = 0, rank + left, full + 1
-            if full < have:
-                gaps[g].append((to + full, have - full))
-    a = np.array(sorted(moves), np.int64).reshape(-1, 5).T
-    return Moves(*a, opened)
+def bands(most: int) -> list[tuple[int, int]]:
+    """(lo, hi]: the lengths of each band, falling."""
+    ends = [most // k for k in range(1, EXACT + 2)]
+    while ends[-1] // 2 > SMALLEST:
+        ends.append(ends[-1] // 2)
+    return [(lo, hi) for hi, lo in zip(ends, [*ends[1:], 0], strict=True) if lo < hi]
+
+
+def brackets(is_piece: np.ndarray) -> np.ndarray:
+    """For rows by falling size, gaps before pieces: the row that each is matched with, -1 for none."""
+    mate, stack = np.full(len(is_piece), -1), []
+    for i, piece in enumerate(is_piece.tolist()):
+        if not piece:
+            stack.append(i)
+        elif stack:
+            j = stack.pop()
+            mate[i], mate[j] = j, i
+    return mate
+
+
+def carry(counts: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """counts: pieces and gaps left in each range, in order. Runs (r, i, q, j, n): pieces i .. i + n - 1 left in range r take gaps j, j - 1 .. left in range q."""
+    stack: list[list[int]] = []
+    runs = []
+    for r, (left, gaps) in enumerate(counts):
+        i = 0
+        while i < left and stack:
+            q, have = stack[-1]
+            n = min(have, left - i)
+            runs.append((r, i, q, have - 1, n))
+            i, stack[-1][1] = i + n, have - n
+            if have == n:
+                stack.pop()
+        if gaps:
+            stack.append([r, gaps])
+    return runs
+
+
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matched pairs, and what is left of either kind with its place (nth) among those of the range."""
+    t = pa.Table.from_batches([*batches]) if (batches := [*batches]) else None
+    if t is None or not t.num_rows:
+        return
+    size, kind, a, slot, free = (t.column(c).to_numpy() for c in ("size", "kind", "a", "slot", "free"))
+    piece = kind == 1
+    mate = brackets(piece)
+    pair, gap, alone = (np.flatnonzero(x) for x in (piece & (mate >= 0), ~piece & (mate < 0), piece & (mate < 0)))
+    to = mate[pair]
+    n = len(pair) + len(gap) + len(alone)
+    none, r = lambda k: pa.nulls(k, pa.int64()), TaskContext.get().partitionId()
+    cols = [
+        pa.array(np.full(n, r, np.int32)),
+        pa.concat_arrays([pa.array(a[pair]), none(len(gap)), pa.array(a[alone])]),
+        pa.concat_arrays([pa.array(size[pair]), none(len(gap)), pa.array(size[alone])]),
+        pa.concat_arrays([pa.array(a[to]), pa.array(a[gap]), none(len(alone))]),
+        pa.concat_arrays([pa.array(slot[to]), pa.array(slot[gap]), none(len(alone))]),
+        pa.concat_arrays([pa.array(free[to]), pa.array(free[gap]), none(len(alone))]),
+        pa.concat_arrays([none(len(pair)), pa.array(np.arange(len(gap))), pa.array(np.arange(len(alone)))]),
+    ]
+    yield from pa.Table.from_arrays(cols, ["r", "pid", "length", "seq", "slot", "free", "nth"]).to_batches(100_000)
+
+
+class _Left:
+    """What the runs of `carry` say of the rows left: the number of the pair that a row belongs to, and the rank of pieces that have none."""
+
+    def __init__(self, counts: list[tuple[int, int]]) -> None:
+        runs = carry(counts)
+        n = np.array([x[4] for x in runs], np.int64)
+        base = np.cumsum(n) - n
+        self.pairs = int(n.sum())
+        by = lambda r, i: (np.array(r, np.int64) << 40) + np.array(i, np.int64)
+        self.piece = (by([x[0] for x in runs], [x[1] for x in runs]), n, base)
+        order = np.argsort(low := by([x[2] for x in runs], [x[3] - x[4] + 1 for x in runs]))
+        self.gap = (low[order], n[order], base[order])
+        taken = np.zeros(len(counts), np.int64)
+        for r, *_, k in runs:
+            taken[r] += k
+        left = np.array([x[0] for x in counts], np.int64) - taken
+        self.before, self.left = np.cumsum(left) - left - taken, int(left.sum())
+
+    def pair(self, r: np.ndarray, nth: np.ndarray, gaps: bool) -> np.ndarray:
+        low, n, base = self.gap if gaps else self.piece
+        if not len(low):
+            return np.full(len(r), -1)
+        x = (r.astype(np.int64) << 40) + nth
+        k = np.maximum(np.searchsorted(low, x, "right") - 1, 0)
+        i = x - low[k]
+        return np.where((i >= 0) & (i < n[k]), base[k] + (n[k] - 1 - i if gaps else i), -1)
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            r, nth = (b.column(c).to_numpy(zero_copy_only=False) for c in ("r", "nth"))
+            gaps = ~b.column("pid").is_valid().to_numpy(zero_copy_only=False)
+            pair = np.where(gaps, self.pair(r, nth, True), self.pair(r, nth, False))
+            rank = np.where(gaps | (pair >= 0), -1, self.before[r] + nth)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("pid", "length", "seq", "slot", "free")), pa.array(pair), pa.array(rank)], ["pid", "length", "seq", "slot", "free", "pair", "rank"])
+
+
+def _match(todo: DataFrame, gaps: DataFrame, top: int, ranges: int) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
+    """A superstep: matched rows (pid, length, seq, slot, free), gaps left (seq, free), pieces left (pid, length, rank), how many those are, and their tokens (about)."""
+    slots = gaps.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.expr(f"size div {top}"), F.lit(1)) - 1)))
+    slots = slots.select(F.when(F.col("size") < 2 * top, F.col("size")).otherwise(top).cast("long").alias("size"), F.lit(0).alias("kind"), F.col("seq").alias("a"), "slot", F.col("size").alias("free"))
+    both = slots.unionByName(todo.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("pid").alias("a"), F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("free")))
+    order = [F.desc("size"), F.asc("kind"), F.asc("a"), F.asc("slot")]
+    dealt = both.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    swept = materialize(dealt.mapInArrow(_swept, "r int, pid long, length long, seq long, slot long, free long, nth long"), "swept")
+    alone = swept.where("nth is not null")
+    found = {r[0]: r[1:] for r in alone.groupBy("r").agg(F.count("pid"), F.count("seq"), F.sum("length")).collect()}  # a row per range
+    counts = [tuple(found.get(r, (0, 0, 0))[:2]) for r in range(max(found, default=-1) + 1)]
+    left = _Left(counts)
+    rows = alone.mapInArrow(left, "pid long, length long, seq long, slot long, free long, pair long, rank long")
+    matched = swept.where("nth is null").select("pid", "length", "seq", "slot", "free")
+    if left.pairs:
+        carried = rows.where("pair >= 0 and seq is null").select("pid", "length", "pair").join(rows.where("pair >= 0 and pid is null").select("seq", "slot", "free", "pair"), "pair")
+        matched = matched.unionByName(materialize(carried.drop("pair"), "carried"))
+    tokens_left = sum(x[2] or 0 for x in found.values()) * left.left // max(1, sum(x[0] for x in found.values()))
+    return matched, rows.where("pair < 0 and pid is null").select("seq", "free"), rows.where("rank >= 0").select("pid", "length", "rank"), left.left, tokens_left
+
+
+def places(found: DataFrame, most: int = SEQUENCE) -> DataFrame:
+    """pid, sequence_id (the pid of a sequence's first piece) and offset of each piece (pid, length)."""
+    spark = found.sparkSession
+    all_pieces = found.select("pid", "length")
+    have = {r[0]: r[1] for r in all_pieces.groupBy("length").count().collect()}  # at most `most` rows
+    if any(n < 1 or n > most for n in have):
+        raise ValueError(f"pieces have 1 to {most} tokens")
+    gaps = spark.createDataFrame([], "seq long, size long")
+    n_gaps, free, placed = 0, 0, []
+    for lo, hi in bands(most):
+        n = sum(v for k, v in have.items() if lo < k <= hi)
+        total = sum(k * v for k, v in have.items() if lo < k <= hi)
+        if not n:
+            continue
+        todo = all_pieces.where((F.col("length") > lo) & (F.col("length") <= hi))
+        fits = most // hi if most // (lo + 1) == most // hi else 0  # pieces of the band that a sequence holds, if that is one number
+        if 2 * lo >= most - 1:
+            placed.append(todo.select("pid", F.col("pid").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
+            gaps = materialize(todo.select(F.col("pid").alias("seq"), (most - F.col("length")).alias("size")).where("size > 0"), "gaps")
+            n_gaps, free = n_gaps + n, free + n * most - total
+            continue
+        while n:
+            usable = gaps.where(F.col("size") > lo)
+            ranges = max(1, (n + n_gaps + free // hi) // RANGE_ROWS)
+            matched, unused, todo, n_left, left = _match(todo, usable, hi, ranges)
+            by = Window.partitionBy("seq").orderBy("slot")
+            placed.append(matched.select("pid", F.col("seq").alias("sequence_id"), (most - F.col("free") + F.sum("length").over(by) - F.col("length")).alias("offset")))
+            rows = matched.select("seq", "free", "length").unionByName(unused.withColumn("length", F.lit(0).cast("long")))
+            after = [gaps.where(F.col("size") <= lo), rows.groupBy("seq").agg((F.first("free") - F.sum("length")).alias("size"))]
+            progress, n, free = n - n_left, n_left, free - (total - left)
+            total = left
+            if n:
+                kept = materialize(after[1].where("size > 0"), "gaps")
+                after[1] = kept
+                if not progress or kept.where(F.col("size") > lo).isEmpty():
+                    # pieces by rank: so many in a row to a new sequence if it is known how many one holds, else the longest open one each
+                    new = -(-n // fits) if fits else max(1, -(-total // most))
+                    first = todo if fits else todo.where(F.col("rank") < new)
+                    opened = materialize(first.withColumn("turn", F.expr(f"rank div {max(fits, 1)}")), "opened")
+                    heads = opened.where(F.col("rank") % max(fits, 1) == 0).select("turn", F.col("pid").alias("seq"))
+                    own = Window.partitionBy("seq").orderBy("rank")
+                    dealt = opened.join(heads, "turn").withColumn("end", F.sum("length").over(own))
+                    placed.append(dealt.select("pid", F.col("seq").alias("sequence_id"), (F.col("end") - F.col("length")).alias("offset")))
+                    after.append(dealt.groupBy("seq").agg((most - F.sum("length")).alias("size")).where("size > 0"))
+                    n_gaps, free = n_gaps + new, free + new * most - (total if fits else 0)
+                    n = 0 if fits else max(0, n - new)
+                    todo = todo.where(F.col("rank") >= new)
+            gaps = after[0]
+            for part in after[1:]:
+                gaps = gaps.unionByName(part)
+            gaps = materialize(gaps.where("size > 0"), "gaps")
+            todo = todo.select("pid", "length")
+    if not placed:
+        return all_pieces.select("pid", F.col("pid").alias("sequence_id"), F.col("pid").alias("offset"))
+    out = placed[0]
+    for part in placed[1:]:
+        out = out.unionByName(part)
+    return materialize(out, "places")
 
 
 def pack(found: DataFrame, most: int = SEQUENCE) -> DataFrame:
     """Adds sequence_id and offset to a table of pieces."""
-    counts = materialize(found.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
-    moves = sweep({r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}, most)  # at most `most` rows
-    before = counts.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    ranked = found.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth")).drop("before", "part", "nth")
-    names = [c for c in ranked.columns if c != "rank"]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            to, offset = moves.place(b.column("length").to_numpy(zero_copy_only=False), b.column("rank").to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(to, pa.int64()), pa.array(offset, pa.int64())], [*names, "sequence_id", "offset"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return found.join(places(found, most), "pid").select(*[found[f"`{c}`"] for c in found.columns if c != "pid"], "sequence_id", "offset")
