@@ -3,10 +3,10 @@
 Map: each task encodes its documents, cuts those longer than a sequence (the first piece takes the remainder) and writes its pieces under numbers of their own in the shared folder.
 
 Pieces are placed by falling length, a band of lengths at a time (`bands`); those of the first band, over half a sequence, open a sequence each. In a superstep the band's pieces and
-the gaps (open sequences; one that could take several pieces of the band offers as many slots) are range-sorted together by falling size. Each task sweeps its range: a
+the gaps (open sequences; one that could take several pieces of the band's mean length offers as many slots) are range-sorted together by falling size. Each task sweeps its range: a
 gap waits on a stack, a piece takes its successor, the smallest gap that still waits. Pieces that find none in their range take, in order of their rank, the nearest gaps left in
-earlier ranges (`carry`, over two counts a range). So no two pieces want one slot, as if one task had swept all. Then gaps shrink by what they got, and the superstep is repeated until no gap can take
-a piece of the band; what is left opens sequences.
+earlier ranges (`carry`, over two counts a range). So no two pieces want one slot, as if one task had swept all. Where the pieces at a gap's slots are too long together, those of the lowest ranks stay and
+the others go back. Then gaps shrink by what they got, and the superstep is repeated until hardly a piece finds a gap; what is left opens sequences.
 
 Defined results: null texts are empty and have one piece, the end id alone; very long texts are cut; repeated rows and ids are packed each;
 an empty table gives no rows; other columns are ignored.
@@ -29,8 +29,10 @@ from .common import materialize, text_of
 SEQUENCE, END_ID = 2048, 0
 #: Pieces and slots that a range task sweeps on average.
 RANGE_ROWS = 200_000
-#: Bands of lengths of which a new sequence holds exactly k pieces, k up to this; below, lengths halve from band to band down to SMALLEST.
-EXACT, SMALLEST = 8, 28
+#: Bands of lengths of which a new sequence holds exactly k pieces, k up to this; below, lengths halve from band to band down to a SMALLEST-th of a sequence.
+EXACT, SMALLEST = 4, 64
+#: Sequences are opened when fewer than one in so many of the pieces left found a gap, or gaps are as few; in the band of the shortest pieces when none did.
+FEW = 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, pid long"
 
 
@@ -65,7 +67,7 @@ def pieces(docs: DataFrame, path: str | None = None, ranks: str | None = None, m
 def bands(most: int) -> list[tuple[int, int]]:
     """(lo, hi]: the lengths of each band, falling."""
     ends = [most // k for k in range(1, EXACT + 2)]
-    while ends[-1] // 2 > SMALLEST:
+    while ends[-1] // 2 > most // SMALLEST:
         ends.append(ends[-1] // 2)
     return [(lo, hi) for hi, lo in zip(ends, [*ends[1:], 0], strict=True) if lo < hi]
 
@@ -160,12 +162,12 @@ class _Left:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("pid", "length", "seq", "slot", "free")), pa.array(pair), pa.array(rank)], ["pid", "length", "seq", "slot", "free", "pair", "rank"])
 
 
-def _match(todo: DataFrame, gaps: DataFrame, top: int, ranges: int) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
-    """A superstep: matched rows (pid, length, seq, slot, free), gaps left (seq, free), pieces left (pid, length, rank), how many those are, and their tokens (about)."""
-    slots = gaps.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.expr(f"size div {top}"), F.lit(1)) - 1)))
-    slots = slots.select(F.when(F.col("size") < 2 * top, F.col("size")).otherwise(top).cast("long").alias("size"), F.lit(0).alias("kind"), F.col("seq").alias("a"), "slot", F.col("size").alias("free"))
+def _match(todo: DataFrame, gaps: DataFrame, hi: int, mean: int, ranges: int) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
+    """The sweep of a superstep: matched rows (pid, length, seq, free), gaps left (seq, free), pieces left (pid, length, rank), how many those are, and their tokens (about)."""
+    slots = gaps.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.expr(f"size div {mean}"), F.lit(1)) - 1)))
+    slots = slots.select(F.least("size", F.lit(hi)).cast("long").alias("size"), F.lit(0).alias("kind"), F.col("seq").alias("a"), "slot", F.col("size").alias("free"))
     both = slots.unionByName(todo.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("pid").alias("a"), F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("free")))
-    order = [F.desc("size"), F.asc("kind"), F.asc("a"), F.asc("slot")]
+    order = [F.desc("size"), F.asc("kind"), F.desc("free"), F.asc("a"), F.asc("slot")]
     dealt = both.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     swept = materialize(dealt.mapInArrow(_swept, "r int, pid long, length long, seq long, slot long, free long, nth long"), "swept")
     alone = swept.where("nth is not null")
@@ -173,10 +175,10 @@ def _match(todo: DataFrame, gaps: DataFrame, top: int, ranges: int) -> tuple[Dat
     counts = [tuple(found.get(r, (0, 0, 0))[:2]) for r in range(max(found, default=-1) + 1)]
     left = _Left(counts)
     rows = alone.mapInArrow(left, "pid long, length long, seq long, slot long, free long, pair long, rank long")
-    matched = swept.where("nth is null").select("pid", "length", "seq", "slot", "free")
+    matched = swept.where("nth is null").select("pid", "length", "seq", "free")
     if left.pairs:
-        carried = rows.where("pair >= 0 and seq is null").select("pid", "length", "pair").join(rows.where("pair >= 0 and pid is null").select("seq", "slot", "free", "pair"), "pair")
-        matched = matched.unionByName(materialize(carried.drop("pair"), "carried"))
+        carried = rows.where("pair >= 0 and seq is null").select("pid", "length", "pair").join(rows.where("pair >= 0 and pid is null").select("seq", "free", "pair"), "pair")
+        matched = matched.unionByName(carried.drop("pair"))
     tokens_left = sum(x[2] or 0 for x in found.values()) * left.left // max(1, sum(x[0] for x in found.values()))
     return matched, rows.where("pair < 0 and pid is null").select("seq", "free"), rows.where("rank >= 0").select("pid", "length", "rank"), left.left, tokens_left
 
@@ -193,52 +195,49 @@ def places(found: DataFrame, most: int = SEQUENCE) -> DataFrame:
     for lo, hi in bands(most):
         n = sum(v for k, v in have.items() if lo < k <= hi)
         total = sum(k * v for k, v in have.items() if lo < k <= hi)
-        if not n:
-            continue
         todo = all_pieces.where((F.col("length") > lo) & (F.col("length") <= hi))
-        fits = most // hi if most // (lo + 1) == most // hi else 0  # pieces of the band that a sequence holds, if that is one number
-        if 2 * lo >= most - 1:
+        if n and 2 * lo >= most - 1:
             placed.append(todo.select("pid", F.col("pid").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
             gaps = materialize(todo.select(F.col("pid").alias("seq"), (most - F.col("length")).alias("size")).where("size > 0"), "gaps")
-            n_gaps, free = n_gaps + n, free + n * most - total
-            continue
+            n_gaps, free, n = n, n * most - total, 0
+        fits = most // hi if most // (lo + 1) == most // hi else 0  # pieces of the band that a sequence holds, if that is one number
         while n:
-            usable = gaps.where(F.col("size") > lo)
-            ranges = max(1, (n + n_gaps + free // hi) // RANGE_ROWS)
-            matched, unused, todo, n_left, left = _match(todo, usable, hi, ranges)
-            by = Window.partitionBy("seq").orderBy("slot")
-            placed.append(matched.select("pid", F.col("seq").alias("sequence_id"), (most - F.col("free") + F.sum("length").over(by) - F.col("length")).alias("offset")))
-            rows = matched.select("seq", "free", "length").unionByName(unused.withColumn("length", F.lit(0).cast("long")))
-            after = [gaps.where(F.col("size") <= lo), rows.groupBy("seq").agg((F.first("free") - F.sum("length")).alias("size"))]
-            progress, n, free = n - n_left, n_left, free - (total - left)
-            total = left
-            if n:
-                kept = materialize(after[1].where("size > 0"), "gaps")
-                after[1] = kept
-                if not progress or kept.where(F.col("size") > lo).isEmpty():
-                    # pieces by rank: so many in a row to a new sequence if it is known how many one holds, else the longest open one each
-                    new = -(-n // fits) if fits else max(1, -(-total // most))
-                    first = todo if fits else todo.where(F.col("rank") < new)
-                    opened = materialize(first.withColumn("turn", F.expr(f"rank div {max(fits, 1)}")), "opened")
-                    heads = opened.where(F.col("rank") % max(fits, 1) == 0).select("turn", F.col("pid").alias("seq"))
-                    own = Window.partitionBy("seq").orderBy("rank")
-                    dealt = opened.join(heads, "turn").withColumn("end", F.sum("length").over(own))
-                    placed.append(dealt.select("pid", F.col("seq").alias("sequence_id"), (F.col("end") - F.col("length")).alias("offset")))
-                    after.append(dealt.groupBy("seq").agg((most - F.sum("length")).alias("size")).where("size > 0"))
-                    n_gaps, free = n_gaps + new, free + new * most - (total if fits else 0)
-                    n = 0 if fits else max(0, n - new)
-                    todo = todo.where(F.col("rank") >= new)
-            gaps = after[0]
-            for part in after[1:]:
-                gaps = gaps.unionByName(part)
-            gaps = materialize(gaps.where("size > 0"), "gaps")
-            todo = todo.select("pid", "length")
+            mean = max(lo + 1, total // n)
+            ranges = max(1, (n + n_gaps + free // mean) // RANGE_ROWS)
+            matched, unused, alone, n_alone, alone_tokens = _match(todo, gaps.where(F.col("size") > lo), hi, mean, ranges)
+            # of the pieces that met at a gap, those of the lowest ranks stay, as many as it holds
+            end = F.sum("length").over(Window.partitionBy("seq").orderBy(F.desc("length"), "pid").rowsBetween(Window.unboundedPreceding, 0))
+            matched = materialize(matched.withColumn("end", end), "matched")
+            stays = F.col("end") <= F.col("free")
+            placed.append(matched.where(stays).select("pid", F.col("seq").alias("sequence_id"), (most - F.col("free") + F.col("end") - F.col("length")).alias("offset")))
+            got, got_tokens = matched.where(stays).agg(F.count("*"), F.sum("length")).first()
+            back = matched.where(~stays).select("pid", "length")
+            n, total, free = n - got, total - (got_tokens or 0), free - (got_tokens or 0)
+            taken = matched.where(stays).select("seq", "free", "length").unionByName(unused.withColumn("length", F.lit(0).cast("long")))
+            size = (F.first("free") - F.sum("length")).alias("size")
+            gaps = materialize(gaps.where(F.col("size") <= lo).unionByName(taken.groupBy("seq").agg(size).where("size > 0")), "gaps")
+            todo = back.unionByName(alone.select("pid", "length"))
+            few = min(got, gaps.where(F.col("size") > lo).count()) if n_alone else 0
+            if n_alone and (FEW * few < n_alone if any(k <= lo for k in have) else not few):
+                # by rank: so many in a row to a new sequence if it is known how many one holds, else the longest open one each
+                new = -(-n_alone // fits) if fits else max(1, -(-alone_tokens // most))
+                each = max(fits, 1)
+                opened = materialize((alone if fits else alone.where(F.col("rank") < new)).withColumn("turn", F.expr(f"rank div {each}")), "opened")
+                heads = opened.where(F.col("rank") % each == 0).select("turn", F.col("pid").alias("seq"))
+                dealt = opened.join(heads, "turn").withColumn("end", F.sum("length").over(Window.partitionBy("seq").orderBy("rank")))
+                dealt = materialize(dealt.select("pid", "length", "seq", "end"), "dealt")
+                placed.append(dealt.select("pid", F.col("seq").alias("sequence_id"), (F.col("end") - F.col("length")).alias("offset")))
+                got, got_tokens = dealt.agg(F.count("*"), F.sum("length")).first()
+                n, total = n - got, total - got_tokens
+                n_gaps, free = n_gaps + new, free + new * most - got_tokens
+                gaps = gaps.unionByName(dealt.groupBy("seq").agg((most - F.sum("length")).alias("size")).where("size > 0"))
+                todo = back if fits else back.unionByName(alone.where(F.col("rank") >= new).select("pid", "length"))
     if not placed:
         return all_pieces.select("pid", F.col("pid").alias("sequence_id"), F.col("pid").alias("offset"))
     out = placed[0]
     for part in placed[1:]:
         out = out.unionByName(part)
-    return materialize(out, "places")
+    return out
 
 
 def pack(found: DataFrame, most: int = SEQUENCE) -> DataFrame:
