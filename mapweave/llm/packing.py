@@ -162,9 +162,9 @@ class _Left:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("pid", "length", "seq", "slot", "free")), pa.array(pair), pa.array(rank)], ["pid", "length", "seq", "slot", "free", "pair", "rank"])
 
 
-def _match(todo: DataFrame, gaps: DataFrame, hi: int, mean: int, ranges: int) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
-    """The sweep of a superstep: matched rows (pid, length, seq, free), gaps left (seq, free), pieces left (pid, length, rank), how many those are, and their tokens (about)."""
-    slots = gaps.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.expr(f"size div {mean}"), F.lit(1)) - 1)))
+def _match(todo: DataFrame, gaps: DataFrame, hi: int, mean: int, each: int, ranges: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """The sweep of a superstep, a gap offering up to `each` slots: matched rows (pid, length, seq, free), pieces left (pid, length, rank), how many those are, and their tokens (about)."""
+    slots = gaps.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.least(F.expr(f"size div {mean}"), F.lit(each)), F.lit(1)) - 1)))
     slots = slots.select(F.least("size", F.lit(hi)).cast("long").alias("size"), F.lit(0).alias("kind"), F.col("seq").alias("a"), "slot", F.col("size").alias("free"))
     both = slots.unionByName(todo.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("pid").alias("a"), F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("free")))
     order = [F.desc("size"), F.asc("kind"), F.desc("free"), F.asc("a"), F.asc("slot")]
@@ -174,13 +174,15 @@ def _match(todo: DataFrame, gaps: DataFrame, hi: int, mean: int, ranges: int) ->
     found = {r[0]: r[1:] for r in alone.groupBy("r").agg(F.count("pid"), F.count("seq"), F.sum("length")).collect()}  # a row per range
     counts = [tuple(found.get(r, (0, 0, 0))[:2]) for r in range(max(found, default=-1) + 1)]
     left = _Left(counts)
-    rows = alone.mapInArrow(left, "pid long, length long, seq long, slot long, free long, pair long, rank long")
+    schema = "pid long, length long, seq long, slot long, free long, pair long, rank long"
+    rows = alone.where("pid is not null").mapInArrow(left, schema)
     matched = swept.where("nth is null").select("pid", "length", "seq", "free")
     if left.pairs:
-        carried = rows.where("pair >= 0 and seq is null").select("pid", "length", "pair").join(rows.where("pair >= 0 and pid is null").select("seq", "free", "pair"), "pair")
+        slots_left = alone.where("pid is null").mapInArrow(left, schema).where("pair >= 0").select("seq", "free", "pair")
+        carried = rows.where("pair >= 0").select("pid", "length", "pair").join(slots_left, "pair")
         matched = matched.unionByName(carried.drop("pair"))
     tokens_left = sum(x[2] or 0 for x in found.values()) * left.left // max(1, sum(x[0] for x in found.values()))
-    return matched, rows.where("pair < 0 and pid is null").select("seq", "free"), rows.where("rank >= 0").select("pid", "length", "rank"), left.left, tokens_left
+    return matched, rows.where("rank >= 0").select("pid", "length", "rank"), left.left, tokens_left
 
 
 def places(found: DataFrame, most: int = SEQUENCE) -> DataFrame:
@@ -191,7 +193,7 @@ def places(found: DataFrame, most: int = SEQUENCE) -> DataFrame:
     if any(n < 1 or n > most for n in have):
         raise ValueError(f"pieces have 1 to {most} tokens")
     gaps = spark.createDataFrame([], "seq long, size long")
-    n_gaps, free, placed = 0, 0, []
+    placed = []
     for lo, hi in bands(most):
         n = sum(v for k, v in have.items() if lo < k <= hi)
         total = sum(k * v for k, v in have.items() if lo < k <= hi)
@@ -199,12 +201,14 @@ def places(found: DataFrame, most: int = SEQUENCE) -> DataFrame:
         if n and 2 * lo >= most - 1:
             placed.append(todo.select("pid", F.col("pid").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
             gaps = materialize(todo.select(F.col("pid").alias("seq"), (most - F.col("length")).alias("size")).where("size > 0"), "gaps")
-            n_gaps, free, n = n, n * most - total, 0
+            n = 0
+        usable = gaps.where(F.col("size") > lo).count() if n else 0
         fits = most // hi if most // (lo + 1) == most // hi else 0  # pieces of the band that a sequence holds, if that is one number
         while n:
             mean = max(lo + 1, total // n)
-            ranges = max(1, (n + n_gaps + free // mean) // RANGE_ROWS)
-            matched, unused, alone, n_alone, alone_tokens = _match(todo, gaps.where(F.col("size") > lo), hi, mean, ranges)
+            each = -(-2 * n // max(1, usable))  # about two slots for each piece
+            ranges = max(1, (n + usable * each) // RANGE_ROWS)
+            matched, alone, n_alone, alone_tokens = _match(todo, gaps.where(F.col("size") > lo), hi, mean, each, ranges)
             # of the pieces that met at a gap, those of the lowest ranks stay, as many as it holds
             end = F.sum("length").over(Window.partitionBy("seq").orderBy(F.desc("length"), "pid").rowsBetween(Window.unboundedPreceding, 0))
             matched = materialize(matched.withColumn("end", end), "matched")
@@ -212,24 +216,25 @@ def places(found: DataFrame, most: int = SEQUENCE) -> DataFrame:
             placed.append(matched.where(stays).select("pid", F.col("seq").alias("sequence_id"), (most - F.col("free") + F.col("end") - F.col("length")).alias("offset")))
             got, got_tokens = matched.where(stays).agg(F.count("*"), F.sum("length")).first()
             back = matched.where(~stays).select("pid", "length")
-            n, total, free = n - got, total - (got_tokens or 0), free - (got_tokens or 0)
-            taken = matched.where(stays).select("seq", "free", "length").unionByName(unused.withColumn("length", F.lit(0).cast("long")))
-            size = (F.first("free") - F.sum("length")).alias("size")
-            gaps = materialize(gaps.where(F.col("size") <= lo).unionByName(taken.groupBy("seq").agg(size).where("size > 0")), "gaps")
+            n, total = n - got, total - (got_tokens or 0)
+            taken = matched.where(stays).groupBy("seq").agg(F.sum("length").alias("taken"))
+            size = (F.col("size") - F.coalesce("taken", F.lit(0))).alias("size")
+            gaps = materialize(gaps.join(taken, "seq", "left").select("seq", size).where("size > 0"), "gaps")
             todo = back.unionByName(alone.select("pid", "length"))
-            few = min(got, gaps.where(F.col("size") > lo).count()) if n_alone else 0
+            usable = gaps.where(F.col("size") > lo).count() if n else 0
+            few = min(got, usable)
             if n_alone and (FEW * few < n_alone if any(k <= lo for k in have) else not few):
                 # by rank: so many in a row to a new sequence if it is known how many one holds, else the longest open one each
                 new = -(-n_alone // fits) if fits else max(1, -(-alone_tokens // most))
-                each = max(fits, 1)
-                opened = materialize((alone if fits else alone.where(F.col("rank") < new)).withColumn("turn", F.expr(f"rank div {each}")), "opened")
-                heads = opened.where(F.col("rank") % each == 0).select("turn", F.col("pid").alias("seq"))
+                row = max(fits, 1)
+                opened = materialize((alone if fits else alone.where(F.col("rank") < new)).withColumn("turn", F.expr(f"rank div {row}")), "opened")
+                heads = opened.where(F.col("rank") % row == 0).select("turn", F.col("pid").alias("seq"))
                 dealt = opened.join(heads, "turn").withColumn("end", F.sum("length").over(Window.partitionBy("seq").orderBy("rank")))
                 dealt = materialize(dealt.select("pid", "length", "seq", "end"), "dealt")
                 placed.append(dealt.select("pid", F.col("seq").alias("sequence_id"), (F.col("end") - F.col("length")).alias("offset")))
                 got, got_tokens = dealt.agg(F.count("*"), F.sum("length")).first()
                 n, total = n - got, total - got_tokens
-                n_gaps, free = n_gaps + new, free + new * most - got_tokens
+                usable += new
                 gaps = gaps.unionByName(dealt.groupBy("seq").agg((most - F.sum("length")).alias("size")).where("size > 0"))
                 todo = back if fits else back.unionByName(alone.where(F.col("rank") >= new).select("pid", "length"))
     if not placed:
