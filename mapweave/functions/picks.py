@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .work import written
+
 
 def ranked(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
-    """Adds a global rank from 0. Rows are dealt by range and numbered within their task; counts of earlier tasks are added."""
-    dealt = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    """Adds a global rank from 0. Rows are dealt by range and written with the number of their range, so that ranks within a range and counts of earlier ranges see the same rows."""
+    dealt = written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranked")
     own = Window.partitionBy("__part").orderBy(*order)
     numbered = dealt.withColumn("__nth", F.row_number().over(own) - 1)
     counts = numbered.groupBy("__part").agg(F.count("*").alias("__n"))

@@ -6,19 +6,28 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """spark.checkpoint.dir, or, in local mode only, a folder of our own where it is unset."""
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = os.path.join(tempfile.gettempdir(), "mapweave-checkpoints")
     os.makedirs(own, exist_ok=True)
     spark.sparkContext.setCheckpointDir(f"file://{own}")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as Parquet in the shared folder, read again: rows and their task numbers are then the same for whoever reads them."""
+    path = work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mapweave.functions.work import written
+
 
 def newest(rows: DataFrame, by: list[str], order: list[str], values: list[str]) -> DataFrame:
     """The last row per key by order, as one aggregate (combined before the shuffle)."""
@@ -70,14 +72,20 @@ def replayed(log: DataFrame, target: str, order: list[str], removes: Column, res
     return newest(d, [target], order, ["__gone"]).select(target, (~F.col("__gone")).alias("visible"))
 
 
-def ancestors(edges: DataFrame, most: int = 100) -> DataFrame:
-    """(node, root, depth) of a forest of child -> parent edges, by pointer doubling; `most` bounds the depth."""
-    e = edges.select(F.col("child").alias("node"), F.col("parent"))
-    d = e.select("node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"))
-    hops = 1
-    while hops < most:
-        far = d.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        d = d.join(far, "up", "left").select("node", F.coalesce("next", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-        hops *= 2
-    roots = e.select(F.col("parent").alias("node")).distinct().join(e.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"))
-    return d.withColumnRenamed("up", "root").unionByName(roots)
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(node, root, depth) of a forest of child -> parent edges of any depth, by pointer doubling. Nodes that have reached their root only carry others over it; rounds are written, so plans do not grow."""
+    top = edges.select(F.col("parent").alias("node")).distinct().join(edges.select(F.col("child").alias("node")), "node", "left_anti")
+    roots = written(top.select(F.col("node").alias("up")), "roots")
+    todo = written(edges.select(F.col("child").alias("node"), F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth")), "steps")
+    there, hops, most = todo.limit(0), 1, todo.count()
+    while True:
+        there = there.unionByName(written(todo.join(roots, "up", "left_semi").select("node", "up", "depth"), "reached"))
+        left = written(todo.join(roots, "up", "left_anti").select("node", "up", "depth"), "open")
+        if left.isEmpty():
+            break
+        if hops > most:
+            raise ValueError("the edges have a cycle")
+        far = left.unionByName(there).select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        moved = left.join(far, "up").select("node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+        todo, hops = written(moved, "steps"), 2 * hops
+    return there.withColumnRenamed("up", "root").unionByName(roots.select(F.col("up").alias("node"), F.col("up").alias("root"), F.lit(0).cast("long").alias("depth")))

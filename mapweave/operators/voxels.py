@@ -83,11 +83,11 @@ def wall_points(points: DataFrame, heights: list[float], least: float) -> DataFr
 
 
 def wall_angles(points: DataFrame) -> DataFrame:
-    """Weighted histogram of wall directions by degree, modulo 90: bin, n, weight."""
+    """Weighted histogram of wall directions by degree, modulo 90: bin, n, weight. Normals with a flat part of at most 0.5 do not vote."""
     flat = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny"))
     degree = F.degrees(F.atan2("ny", "nx"))
     turned = degree - 90 * F.floor(degree / 90)
-    d = points.where((F.abs("nz") < 0.3) & (flat > 0))
+    d = points.where((F.abs("nz") < 0.3) & (flat > 0.5))
     return d.groupBy(F.least(F.floor(turned), F.lit(89)).cast("long").alias("bin")).agg(F.count("*").alias("n"), F.sum(flat).alias("weight"))
 
 

@@ -268,12 +268,12 @@ _TREE = f"WITH RECURSIVE e AS (SELECT * FROM {_EDGES}), t AS (SELECT DISTINCT pa
 
 @query(f"{_TREE} SELECT root, count(*) AS frames, CAST(max(depth) AS BIGINT) AS deepest FROM t GROUP BY root")
 def frame_tree(spark, sf_dir):
-    return C.ancestors(_edges(spark, sf_dir), 8).groupBy("root").agg(F.count("*").alias("frames"), F.max("depth").alias("deepest"))
+    return C.ancestors(_edges(spark, sf_dir)).groupBy("root").agg(F.count("*").alias("frames"), F.max("depth").alias("deepest"))
 
 
 @query(f"{_TREE} SELECT node, CAST(depth AS BIGINT) AS depth FROM t")
 def frame_depth(spark, sf_dir):
-    return C.ancestors(_edges(spark, sf_dir), 8).select("node", "depth")
+    return C.ancestors(_edges(spark, sf_dir)).select("node", "depth")
 
 
 @query("SELECT o_orderkey, 'r' || n_regionkey || '>n' || n_nationkey || '>c' || c_custkey || '>o' || o_orderkey AS path FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")

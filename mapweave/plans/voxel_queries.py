@@ -114,13 +114,14 @@ def level_peaks(spark, sf_dir):
     return V.levels(points(spark, sf_dir).drop("z").withColumnRenamed("h", "z"), 3.0, 0.03, F.abs("nz") > 0.4)
 
 
-_WALL = f"(SELECT x AS nx, y AS ny, z AS nz FROM {EMB})"
+_WALL = f"(SELECT x / r AS nx, y / r AS ny, z / r AS nz FROM (SELECT *, sqrt(x * x + y * y + z * z) AS r FROM {EMB}) WHERE r > 0)"
 
 
 @query(f"""SELECT CAST(least(floor(d - 90 * floor(d / 90)), 89) AS BIGINT) AS bin, count(*) AS n, round(sum(sqrt(nx * nx + ny * ny)), 6) AS weight
-FROM (SELECT *, degrees(atan2(ny, nx)) AS d FROM {_WALL}) WHERE abs(nz) < 0.3 AND sqrt(nx * nx + ny * ny) > 0 GROUP BY 1""")
+FROM (SELECT *, degrees(atan2(ny, nx)) AS d FROM {_WALL}) WHERE abs(nz) < 0.3 AND sqrt(nx * nx + ny * ny) > 0.5 GROUP BY 1""")
 def wall_angle_histogram(spark, sf_dir):
-    d = vectors(spark, sf_dir).select(F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("z").alias("nz"))
+    d = vectors(spark, sf_dir).withColumn("r", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))).where("r > 0")
+    d = d.select(*[(F.col(a) / F.col("r")).alias(f"n{a}") for a in "xyz"])
     return V.wall_angles(d).select("bin", "n", F.round("weight", 6).alias("weight"))
 
 

@@ -222,3 +222,37 @@ def test_broadcast_tells_what_was_lost():
     for i in range(5):
         b.emit(i)
     assert take() == ([2, 3, 4], 2) and take() == ([], 0)
+
+
+def test_ranks_of_wide_rows_have_no_gaps(spark):
+    """Small partitions to coalesce, and columns besides the sort keys."""
+    from pyspark.sql import functions as F
+
+    n, old = 100_000, {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+        d = spark.range(n, numPartitions=9).select(((F.col("id") * 7919) % n).alias("v"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 3).alias("wide"))
+        r = picks.ranked(d, "v")
+        assert r.where("rank <> v").count() == 0 and r.count() == n
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_forests_of_any_depth(spark):
+    from mapweave.operators import catalog
+
+    chain = [(i + 1, i) for i in range(300)] + [(1000 + i, 5) for i in range(20)] + [(2001, 2000)]
+    got = {r["node"]: (r["root"], r["depth"]) for r in catalog.ancestors(frame(spark, chain, "child long, parent long")).collect()}
+    want = {i: (0, i) for i in range(301)} | {1000 + i: (0, 6) for i in range(20)} | {2000: (2000, 0), 2001: (2000, 1)}
+    assert got == want
+    with pytest.raises(ValueError, match="cycle"):
+        catalog.ancestors(frame(spark, [(1, 2), (2, 3), (3, 1), (9, 8)], "child long, parent long"))
+
+
+def test_only_flat_normals_vote_for_wall_directions(spark):
+    from mapweave.operators import voxels
+
+    d = frame(spark, [(0.6, 0.0, 0.1), (0.3, 0.3, 0.0), (0.0, 0.9, 0.2), (0.9, 0.0, 0.4)], "nx double, ny double, nz double")
+    assert [(r["bin"], r["n"]) for r in voxels.wall_angles(d).collect()] == [(0, 2)]
