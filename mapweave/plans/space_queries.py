@@ -98,7 +98,7 @@ def nearest_component(spark, sf_dir):
     return best.select(F.col("label.cx").alias("lx"), F.col("label.cy").alias("ly"), F.col("label.cz").alias("lz"), "points", F.round("distance", 6).alias("distance"))
 
 
-_VOX = f"(SELECT DISTINCT CAST(floor(x / 2.0) AS BIGINT) AS cx, CAST(floor(y / 4.0) AS BIGINT) AS cy, CAST(floor(z) AS BIGINT) AS layer FROM {PTS} WHERE p % 3 = 0)"
+_VOX = f"(SELECT DISTINCT CAST(floor(x / 2.0) AS BIGINT) AS cx, CAST(floor(y / 4.0) AS BIGINT) AS cy, CAST(floor(z) AS BIGINT) AS layer FROM {PTS})"
 _NEAR = f"(SELECT a.cx, a.cy, a.layer, count(*) AS near FROM {_VOX} a JOIN {_VOX} b ON a.layer = b.layer AND abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1 GROUP BY 1, 2, 3)"
 
 
@@ -108,7 +108,7 @@ def _in_cells(d):
 
 
 def _voxels(spark, sf_dir):
-    return _in_cells(points(spark, sf_dir).where("p % 3 = 0"))  # a third of the parts, so that some columns have gaps
+    return _in_cells(points(spark, sf_dir))
 
 
 @query(f"SELECT cx, cy, max(layer) AS layer FROM (SELECT *, row_number() OVER (PARTITION BY cx, cy ORDER BY layer DESC) - 1 AS over_n FROM {_NEAR}) WHERE near >= 7 AND over_n <= 3 GROUP BY cx, cy")
@@ -123,7 +123,7 @@ def column_floor(spark, sf_dir):
 
 _HEIGHT = f"""(SELECT cx, cy, arg_min(ss / nn, layer) AS height FROM (
   SELECT cx, cy, layer, n + CASE WHEN lead(layer) OVER w = layer + 1 THEN lead(n) OVER w ELSE 0 END AS nn, s + CASE WHEN lead(layer) OVER w = layer + 1 THEN lead(s) OVER w ELSE 0 END AS ss
-  FROM (SELECT CAST(floor(x / 2.0) AS BIGINT) AS cx, CAST(floor(y / 4.0) AS BIGINT) AS cy, CAST(floor(z) AS BIGINT) AS layer, count(*) AS n, sum(z::DOUBLE) AS s FROM {PTS} WHERE p % 3 = 0 GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY cx, cy ORDER BY layer))
+  FROM (SELECT CAST(floor(x / 2.0) AS BIGINT) AS cx, CAST(floor(y / 4.0) AS BIGINT) AS cy, CAST(floor(z) AS BIGINT) AS layer, count(*) AS n, sum(z::DOUBLE) AS s FROM {PTS} GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY cx, cy ORDER BY layer))
   WHERE nn >= 3 GROUP BY cx, cy)"""
 
 
