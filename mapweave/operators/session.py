@@ -67,10 +67,11 @@ def preview(points: DataFrame, selection: DataFrame) -> DataFrame:
     return points.join(selection, "idx", "left_semi").select("x", "y", "z").limit(PREVIEW)
 
 
-def visible(points: DataFrame, log: DataFrame, cursor: int) -> DataFrame:
-    """Voxels whose last action among edits up to the cursor is not a removal. log: edit, idx, action ('remove' or 'add'); voxels that an edit added are invisible before it."""
-    last = log.where(F.col("edit") <= cursor).groupBy("idx").agg(F.max(F.struct("edit", "action")).alias("v")).select("idx", F.col("v.action").alias("__a"))
-    later = log.where((F.col("edit") > cursor) & (F.col("action") == "add")).select("idx").distinct()
+def visible(points: DataFrame, log: DataFrame, cursor: int | tuple[int, ...]) -> DataFrame:
+    """Voxels whose last action among the edits that count is not a removal. cursor: those edits (`History.cursor`), or the last of them where none was undone. log: edit, idx, action ('remove' or 'add'); voxels that only other edits added are invisible."""
+    counts = F.col("edit") <= cursor if isinstance(cursor, int) else F.col("edit").isin([*cursor])
+    last = log.where(counts).groupBy("idx").agg(F.max(F.struct("edit", "action")).alias("v")).select("idx", F.col("v.action").alias("__a"))
+    later = log.where(~counts & (F.col("action") == "add")).select("idx").distinct()
     d = points.join(last, "idx", "left").where("__a is null or __a = 'add'").drop("__a")
     return d.join(later.join(last.where("__a is not null").select("idx"), "idx", "left_anti"), "idx", "left_anti")
 
@@ -82,7 +83,7 @@ def erased_again(points: DataFrame, erased_keys: DataFrame, voxel: float) -> Dat
 
 @dataclass
 class History:
-    """Which edits count: a cursor over a list, with an undo limit."""
+    """Which edits count, with an undo limit. An edit that was undone never counts again once another is recorded, though its rows stay in the log."""
 
     edits: list[int] = field(default_factory=list)
     undone: list[int] = field(default_factory=list)
@@ -107,8 +108,8 @@ class History:
         return self.edits[-1]
 
     @property
-    def cursor(self) -> int:
-        return self.edits[-1] if self.edits else 0
+    def cursor(self) -> tuple[int, ...]:
+        return tuple(self.edits)
 
 
 @dataclass

@@ -108,3 +108,17 @@ def test_annotations_and_names():
     assert session.merged({"a": 1, "b": {"c": 1}}, {"a": None, "b": {"d": 2}}) == {"b": {"c": 1, "d": 2}}
     with pytest.raises(ValueError):
         session.checked_name("No")
+
+
+def test_an_undone_edit_stays_undone_after_another(spark, room):
+    h, log = session.History(), []
+    for idx in (0, 1):
+        log.append((h.record(), idx, "remove"))
+    h.undo()
+    log.append((h.record(), 2, "remove"))
+    d = spark.createDataFrame(log, "edit int, idx long, action string")
+    gone = {0, 1, 2, 3} - {r["idx"] for r in session.visible(room, d, h.cursor).collect()}
+    assert gone == {0, 2} and h.redo() is None
+    h.undo()
+    h.undo()
+    assert session.visible(room, d, h.cursor).count() == room.count()
