@@ -61,6 +61,14 @@ def records(b: bytes, at: int = 0) -> Iterator[tuple[int, int, bytes]]:
         at += 9 + n
 
 
+#: In place of a chunk's channels: a run of messages outside chunks.
+LOOSE = frozenset({-1})
+
+
+class Unreadable(ValueError):
+    """A chunk whose bytes are damaged or cut short."""
+
+
 def _learn(index: Index, schemas: dict[int, str], op: int, c: bytes) -> None:
     if op == SCHEMA:
         schemas[struct.unpack_from("<H", c)[0]] = _text(c, 2)[0]
@@ -100,12 +108,14 @@ def index(f, size: int) -> Index:
                 _learn(found, schemas, op, c)
                 if op == CHUNK_INDEX:
                     _, _, start, length, n = struct.unpack_from("<QQQQI", c)
-                    found.chunks.append((start, length, frozenset(struct.unpack_from("<HQ", c, 36 + i)[0] for i in range(0, n, 10))))
+                    inside = frozenset(struct.unpack_from("<HQ", c, 36 + i)[0] for i in range(0, n, 10))
+                    found.chunks.append((start, length, inside or None))  # without message index offsets anything may be inside
                 elif op == STATISTICS:
-                    n = struct.unpack_from("<I", c, 42)[0]
+                    total, of_chunks, n = *struct.unpack_from("<Q", c), *struct.unpack_from("<I", c, 22), *struct.unpack_from("<I", c, 42)
                     found.counts = {k: v for k, v in (struct.unpack_from("<HQ", c, 46 + i) for i in range(0, n, 10))}
                     found.complete = True
-            if found.complete:
+            # a summary counts if it lists every chunk, and if messages outside chunks cannot be missing from it
+            if found.complete and len(found.chunks) == of_chunks and (found.chunks or not total):
                 return found
     found, schemas, at = Index(), {}, 8
     while at + 9 <= size:
@@ -113,6 +123,12 @@ def index(f, size: int) -> Index:
         op, n = struct.unpack("<BQ", f.read(9))
         if op == 0 or op > 0x80 or at + 9 + n > size:
             break
+        if op == MESSAGE:
+            if found.chunks and found.chunks[-1][2] == LOOSE and sum(found.chunks[-1][:2]) == at:
+                start, length, _ = found.chunks.pop()
+                found.chunks.append((start, length + 9 + n, LOOSE))
+            else:
+                found.chunks.append((at, 9 + n, LOOSE))
         if op in (SCHEMA, CHANNEL, CHUNK):
             c = f.read(n)
             _learn(found, schemas, op, c)
@@ -129,10 +145,15 @@ def index(f, size: int) -> Index:
 
 
 def messages(f, start: int, length: int, want: frozenset[int] | None) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(channel, sequence, log time, publish time, data) of one chunk."""
+    """(channel, sequence, log time, publish time, data) of one chunk, or of a run of messages outside chunks. A chunk that cannot be read ends the read there."""
     f.seek(start)
-    chunk = f.read(length)[9:]
-    for op, _, c in records(unpacked(chunk)):
+    data = f.read(length)
+    if data[0] == CHUNK:
+        try:
+            data = unpacked(data[9:])
+        except (zstandard.ZstdError, struct.error) as e:
+            raise Unreadable(str(e)) from e
+    for op, _, c in records(data):
         if op == MESSAGE:
             channel, seq, log, published = struct.unpack_from("<HIQQ", c)
             if want is None or channel in want:

@@ -91,7 +91,7 @@ class Reader(DataSourceReader):
         ids = {c[0] for c in channels}
         parts, group, held = [], [], 0
         for start, length, inside in found.chunks:
-            if inside is not None and not inside & ids:
+            if inside is not None and inside != mcap.LOOSE and not inside & ids:
                 continue
             group.append((start, length))
             held += length
@@ -108,11 +108,15 @@ class Reader(DataSourceReader):
                 return
             by = {c[0]: c for c in partition.channels}
             f, _ = opened(self.path)
-            for start, length in partition.chunks:
-                for channel, seq, log, _, data in mcap.messages(f, start, length, frozenset(by)):
-                    _, topic, encoding, kind = by[channel]
-                    yield topic, seq, log / 1e9, encoding, kind, data, None, None
-            f.close()
+            try:
+                for start, length in partition.chunks:
+                    for channel, seq, log, _, data in mcap.messages(f, start, length, frozenset(by)):
+                        _, topic, encoding, kind = by[channel]
+                        yield topic, seq, log / 1e9, encoding, kind, data, None, None
+            except mcap.Unreadable:  # what stands before it was read
+                return
+            finally:
+                f.close()
         elif partition.stream is not None:
             kind, codec = partition.channels
             if codec not in ("lcm", "jpeg"):

@@ -124,3 +124,64 @@ def test_db(spark, tmp_path):
 def test_other_suffixes_are_refused():
     with pytest.raises(ValueError):
         recordings.kind_of("a.bag")
+
+
+def rewritten(path, change):
+    """The file with its records changed: change(op, content) gives the contents to write, one or more of (op, content), before which the old summary is forgotten."""
+    import struct
+
+    raw, out, at = path.read_bytes(), bytearray(mcap.MAGIC), 8
+    summary = 0
+    while at + 9 <= len(raw) - 8:
+        op, n = struct.unpack_from("<BQ", raw, at)
+        content = raw[at + 9 : at + 9 + n]
+        for o, c in change(op, content):
+            if op == mcap.DATA_END:
+                summary = len(out) + 9 + len(c)
+            if o == mcap.FOOTER:
+                c = struct.pack("<QQI", summary, 0, 0)
+            out += struct.pack("<BQ", o, len(c)) + c
+        at += 9 + n
+    path.write_bytes(bytes(out) + mcap.MAGIC)
+
+
+def total(spark, path):
+    return {r["stream"]: r["count"] for r in recordings.counted(recordings.messages(spark, str(path))).collect()}
+
+
+def test_chunks_without_message_index_offsets_are_read(spark, tmp_path):
+    import struct
+
+    write_mcap(path := tmp_path / "a.mcap")
+
+    def without(op, c):
+        if op == mcap.CHUNK_INDEX:
+            (n,) = struct.unpack_from("<I", c, 32)
+            c = c[:32] + struct.pack("<I", 0) + c[36 + n :]
+        return [(op, c)]
+
+    rewritten(path, without)
+    assert total(spark, path) == {"/lidar": 40, "/note": 10}
+
+
+def test_a_summary_that_lists_some_chunks_only_is_not_believed(spark, tmp_path):
+    write_mcap(path := tmp_path / "a.mcap")
+    seen = []
+    rewritten(path, lambda op, c: [] if op == mcap.CHUNK_INDEX and (seen.append(1) or len(seen) > 1) else [(op, c)])
+    assert len(seen) > 2 and total(spark, path) == {"/lidar": 40, "/note": 10}
+
+
+def test_messages_outside_chunks_are_read(spark, tmp_path):
+    write_mcap(path := tmp_path / "a.mcap")
+    drop = (mcap.MESSAGE_INDEX, mcap.CHUNK_INDEX, mcap.STATISTICS)
+    rewritten(path, lambda op, c: [(o, x) for o, _, x in mcap.records(mcap.unpacked(c))] if op == mcap.CHUNK else [] if op in drop else [(op, c)])
+    assert total(spark, path) == {"/lidar": 40, "/note": 10}
+    assert recordings.messages(spark, str(path)).where("stream = '/note'").count() == 10
+
+
+def test_a_damaged_chunk_ends_the_read_there(spark, tmp_path):
+    write_mcap(path := tmp_path / "a.mcap")
+    seen = []
+    rewritten(path, lambda op, c: [(op, c[:60] + b"\xff" * 40 + c[100:])] if op == mcap.CHUNK and (seen.append(1) or len(seen) == 3) else [(op, c)])
+    got = total(spark, path)
+    assert 0 < sum(got.values()) < 50
