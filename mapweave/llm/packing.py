@@ -31,7 +31,7 @@ SEQUENCE, END_ID = 2048, 0
 RANGE_ROWS = 200_000
 #: Bands of lengths of which a new sequence holds exactly k pieces, k up to this; below, lengths halve from band to band down to a SMALLEST-th of a sequence.
 EXACT, SMALLEST = 4, 64
-#: Sequences are opened when fewer than one in so many of the pieces left found a gap, or gaps are as few; in the band of the shortest pieces when none did.
+#: Sequences are opened when fewer than one in so many of the pieces left found a gap, or gaps are as few; in the band of the shortest pieces one in the square of that.
 FEW = 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, pid long"
 
@@ -206,8 +206,9 @@ def places(found: DataFrame, most: int = SEQUENCE) -> DataFrame:
         fits = most // hi if most // (lo + 1) == most // hi else 0  # pieces of the band that a sequence holds, if that is one number
         while n:
             mean = max(lo + 1, total // n)
-            each = -(-2 * n // max(1, usable))  # about two slots for each piece
-            ranges = max(1, (n + usable * each) // RANGE_ROWS)
+            offer = gaps.where(F.col("size") > lo).agg(F.sum(F.greatest(F.expr(f"size div {mean}"), F.lit(1)))).first()[0] or 0
+            each = most if offer <= 2 * (n + usable) else -(-2 * n // usable)  # else about two slots for each piece
+            ranges = max(1, (n + min(offer, usable * each)) // RANGE_ROWS)
             matched, alone, n_alone, alone_tokens = _match(todo, gaps.where(F.col("size") > lo), hi, mean, each, ranges)
             # of the pieces that met at a gap, those of the lowest ranks stay, as many as it holds
             end = F.sum("length").over(Window.partitionBy("seq").orderBy(F.desc("length"), "pid").rowsBetween(Window.unboundedPreceding, 0))
@@ -223,7 +224,7 @@ def places(found: DataFrame, most: int = SEQUENCE) -> DataFrame:
             todo = back.unionByName(alone.select("pid", "length"))
             usable = gaps.where(F.col("size") > lo).count() if n else 0
             few = min(got, usable)
-            if n_alone and (FEW * few < n_alone if any(k <= lo for k in have) else not few):
+            if n_alone and (FEW if any(k <= lo for k in have) else FEW * FEW) * few < n_alone:
                 # by rank: so many in a row to a new sequence if it is known how many one holds, else the longest open one each
                 new = -(-n_alone // fits) if fits else max(1, -(-alone_tokens // most))
                 row = max(fits, 1)
