@@ -5,8 +5,9 @@ Map: each task encodes its documents, cuts those longer than a sequence (the fir
 Pieces are placed by falling length, a band of lengths at a time (`bands`); those of the first band, over half a sequence, open a sequence each. In a superstep the band's pieces and
 the gaps (open sequences; one that could take several pieces of the band's mean length offers as many slots) are range-sorted together by falling size. Each task sweeps its range: a
 gap waits on a stack, a piece takes its successor, the smallest gap that still waits. Pieces that find none in their range take, in order of their rank, the nearest gaps left in
-earlier ranges (`carry`, over two counts a range). So no two pieces want one slot, as if one task had swept all. Where the pieces at a gap's slots are too long together, those of the lowest ranks stay and
-the others go back. Then gaps shrink by what they got, and the superstep is repeated until hardly a piece finds a gap; what is left opens sequences.
+earlier ranges (`carry`, over two counts a range). So no two pieces want one slot, as if one task had swept all. A gap's slots lie in one range; where the pieces at them are too long together,
+those of the lowest ranks stay and the others go back. Then gaps shrink by what they got, and the superstep is repeated until hardly a piece finds a gap; what is left opens sequences. When less
+than an eighth of a band is left, it goes on with the next band, ahead of its shorter pieces.
 
 Defined results: null texts are empty and have one piece, the end id alone; very long texts are cut; repeated rows and ids are packed each;
 an empty table gives no rows; other columns are ignored.
@@ -102,28 +103,48 @@ def carry(counts: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]
     return runs
 
 
-def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matched pairs, and what is left of either kind with its place (nth) among those of the range."""
+#: What a row of a sweep's result is; place: a placed piece's offset, the room left in a slot's gap or in a gap.
+PLACED, BACK, ALONE, SLOT, GAP = range(5)
+SWEPT = "r int, what int, pid long, length long, seq long, place long, nth long"
+
+
+def _sweep(most: int, lo: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One range. All slots of a gap are here, so pieces that meet at one are resolved here too."""
     t = pa.Table.from_batches([*batches]) if (batches := [*batches]) else None
     if t is None or not t.num_rows:
         return
     size, kind, a, slot, free = (t.column(c).to_numpy() for c in ("size", "kind", "a", "slot", "free"))
-    piece = kind == 1
-    mate = brackets(piece)
-    pair, gap, alone = (np.flatnonzero(x) for x in (piece & (mate >= 0), ~piece & (mate < 0), piece & (mate < 0)))
-    to = mate[pair]
-    n = len(pair) + len(gap) + len(alone)
-    none, r = lambda k: pa.nulls(k, pa.int64()), TaskContext.get().partitionId()
-    cols = [
-        pa.array(np.full(n, r, np.int32)),
-        pa.concat_arrays([pa.array(a[pair]), none(len(gap)), pa.array(a[alone])]),
-        pa.concat_arrays([pa.array(size[pair]), none(len(gap)), pa.array(size[alone])]),
-        pa.concat_arrays([pa.array(a[to]), pa.array(a[gap]), none(len(alone))]),
-        pa.concat_arrays([pa.array(slot[to]), pa.array(slot[gap]), none(len(alone))]),
-        pa.concat_arrays([pa.array(free[to]), pa.array(free[gap]), none(len(alone))]),
-        pa.concat_arrays([none(len(pair)), pa.array(np.arange(len(gap))), pa.array(np.arange(len(alone)))]),
+    live = np.flatnonzero(kind < 2)
+    mate = np.full(len(kind), -1)
+    found = brackets(kind[live] == 1)
+    mate[live] = np.where(found >= 0, live[found], -1)
+    met, alone = (np.flatnonzero((kind == 1) & x) for x in (mate >= 0, mate < 0))
+    # of the pieces that met at a gap, those of the lowest ranks stay, as many as it holds
+    met = met[np.lexsort((a[met], -size[met], a[mate[met]]))]
+    seq, length, room = a[mate[met]], size[met], free[mate[met]]
+    end = np.cumsum(length)
+    first = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]]) if len(met) else met
+    end = end - np.repeat(end[first] - length[first], np.diff(np.r_[first, len(met)]))
+    stays = end <= room
+    gap = np.flatnonzero(((kind == 0) & (slot == 0)) | (kind == 2))
+    gap = gap[np.argsort(a[gap], kind="stable")]
+    used = np.bincount(np.searchsorted(a[gap], seq[stays]), length[stays], len(gap)).astype(np.int64)
+    rest = free[gap] - used
+    idle = np.flatnonzero((kind == 0) & (mate < 0))
+    open_ = rest[np.searchsorted(a[gap], a[idle])] if len(idle) else idle
+    idle, open_ = idle[open_ > lo], open_[open_ > lo]
+    none = np.full(len(kind), -1)
+    parts = [  # what, pid, length, seq, place, nth
+        (PLACED, a[met[stays]], length[stays], seq[stays], (most - room + end - length)[stays], none),
+        (BACK, a[met[~stays]], length[~stays], none, none, none),
+        (ALONE, a[alone], size[alone], none, none, np.arange(len(alone))),
+        (SLOT, none[: len(idle)], none, a[idle], open_, np.arange(len(idle))),
+        (GAP, none[: len(gap)], none, a[gap], rest, none),
     ]
-    yield from pa.Table.from_arrays(cols, ["r", "pid", "length", "seq", "slot", "free", "nth"]).to_batches(100_000)
+    sizes = [len(x[1]) for x in parts]
+    cols = [np.full(sum(sizes), TaskContext.get().partitionId(), np.int32), np.repeat(np.arange(5, dtype=np.int32), sizes)]
+    cols += [np.concatenate([x[i][:n] for x, n in zip(parts, sizes, strict=True)]).astype(np.int64) for i in range(1, 6)]
+    yield from pa.Table.from_arrays([pa.array(x) for x in cols], ["r", "what", "pid", "length", "seq", "place", "nth"]).to_batches(100_000)
 
 
 class _Left:
@@ -156,33 +177,56 @@ class _Left:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             r, nth = (b.column(c).to_numpy(zero_copy_only=False) for c in ("r", "nth"))
-            gaps = ~b.column("pid").is_valid().to_numpy(zero_copy_only=False)
+            gaps = b.column("what").to_numpy(zero_copy_only=False) == SLOT
             pair = np.where(gaps, self.pair(r, nth, True), self.pair(r, nth, False))
             rank = np.where(gaps | (pair >= 0), -1, self.before[r] + nth)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("pid", "length", "seq", "slot", "free")), pa.array(pair), pa.array(rank)], ["pid", "length", "seq", "slot", "free", "pair", "rank"])
-
-
-def _match(todo: DataFrame, gaps: DataFrame, hi: int, mean: int, each: int, ranges: int) -> tuple[DataFrame, DataFrame, int, int]:
-    """The sweep of a superstep, a gap offering up to `each` slots: matched rows (pid, length, seq, free), pieces left (pid, length, rank), how many those are, and their tokens (about)."""
-    slots = gaps.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.least(F.expr(f"size div {mean}"), F.lit(each)), F.lit(1)) - 1)))
-    slots = slots.select(F.least("size", F.lit(hi)).cast("long").alias("size"), F.lit(0).alias("kind"), F.col("seq").alias("a"), "slot", F.col("size").alias("free"))
-    both = slots.unionByName(todo.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("pid").alias("a"), F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("free")))
-    order = [F.desc("size"), F.asc("kind"), F.desc("free"), F.asc("a"), F.asc("slot")]
-    dealt = both.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    swept = materialize(dealt.mapInArrow(_swept, "r int, pid long, length long, seq long, slot long, free long, nth long"), "swept")
-    alone = swept.where("nth is not null")
-    found = {r[0]: r[1:] for r in alone.groupBy("r").agg(F.count("pid"), F.count("seq"), F.sum("length")).collect()}  # a row per range
-    counts = [tuple(found.get(r, (0, 0, 0))[:2]) for r in range(max(found, default=-1) + 1)]
-    left = _Left(counts)
-    schema = "pid long, length long, seq long, slot long, free long, pair long, rank long"
-    rows = alone.where("pid is not null").mapInArrow(left, schema)
-    matched = swept.where("nth is null").select("pid", "length", "seq", "free")
-    if left.pairs:
-        slots_left = alone.where("pid is null").mapInArrow(left, schema).where("pair >= 0").select("seq", "free", "pair")
-        carried = rows.where("pair >= 0").select("pid", "length", "pair").join(slots_left, "pair")
-        matched = matched.unionByName(carried.drop("pair"))
-    tokens_left = sum(x[2] or 0 for x in found.values()) * left.left // max(1, sum(x[0] for x in found.values()))
-    return matched, rows.where("rank >= 0").select("pid", "length", "rank"), left.left, tokens_left
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("pid", "length", "seq", "place")), pa.array(pair), pa.array(rank)], ["pid", "length", "seq", "place", "pair", "rank"])
+
+
+def _few(df: DataFrame, label: str, n: int) -> DataFrame:
+    """Written by as many tasks as n rows need."""
+    return materialize(df.coalesce(max(1, n // RANGE_ROWS)), label)
+
+
+class _Step:
+    """A superstep over one band: pieces placed, gaps after it, pieces left with and without a gap tried."""
+
+    def __init__(self, todo: DataFrame, gaps: DataFrame, band: tuple[int, int], mean: int, each: int, ranges: int, most: int) -> None:
+        lo, hi = band
+        zero = F.lit(0).cast("long")
+        many = F.greatest(F.least(F.expr(f"size div {mean}"), F.lit(each)), F.lit(1))
+        usable = F.col("size") > lo
+        slots = gaps.select(F.explode(F.sequence(zero, F.when(usable, many - 1).otherwise(zero))).alias("slot"), F.when(usable, F.least("size", F.lit(hi))).otherwise(F.col("size")).cast("long").alias("size"), F.when(usable, 0).otherwise(2).alias("kind"), F.col("seq").alias("a"), F.col("size").alias("free"))
+        both = slots.unionByName(todo.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("pid").alias("a"), zero.alias("slot"), zero.alias("free")))
+        order = [F.desc("size"), F.asc("kind"), F.desc("free"), F.asc("a")]  # without the slot: a gap's slots stay together
+        dealt = both.repartitionByRange(ranges, *order).sortWithinPartitions(*order, "slot")
+        swept = materialize(dealt.mapInArrow(lambda batches: _sweep(most, lo, batches), SWEPT), "swept")
+        found: dict[tuple[int, int], tuple[int, int, int]] = {}  # five rows a range
+        for r, what, n, length, fit in swept.groupBy("r", "what").agg(F.count("*"), F.sum("length"), F.count_if(F.col("place") > lo)).collect():
+            found[r, what] = (n, length, fit)
+        last = max((r for r, _ in found), default=-1)
+        total = lambda what, i: sum(v[i] for (_, w), v in found.items() if w == what)
+        self.got, self.got_tokens, self.usable = total(PLACED, 0), total(PLACED, 1), total(GAP, 2)
+        left = _Left([(found.get((r, ALONE), (0,))[0], found.get((r, SLOT), (0,))[0]) for r in range(last + 1)])
+        self.placed = [swept.where(F.col("what") == PLACED).select("pid", F.col("seq").alias("sequence_id"), F.col("place").alias("offset"))]
+        self.gaps = swept.where((F.col("what") == GAP) & (F.col("place") > 0)).select("seq", F.col("place").alias("size"))
+        self.back = swept.where(F.col("what") == BACK).select("pid", "length")
+        schema = "pid long, length long, seq long, place long, pair long, rank long"
+        rows = swept.where(F.col("what") == ALONE).mapInArrow(left, schema)
+        self.alone, self.n_alone = rows.where("rank >= 0").select("pid", "length", "rank"), left.left
+        self.alone_tokens = total(ALONE, 1) * left.left // max(1, total(ALONE, 0))
+        if left.pairs:  # these pieces are shorter than those that their gaps got in their own range, so they come after them
+            free = swept.where(F.col("what") == SLOT).mapInArrow(left, schema).where("pair >= 0").select("seq", "place", "pair")
+            end = F.sum("length").over(Window.partitionBy("seq").orderBy(F.desc("length"), "pid").rowsBetween(Window.unboundedPreceding, 0))
+            met = _few(rows.where("pair >= 0").select("pid", "length", "pair").join(free, "pair").withColumn("end", end), "carried", left.pairs)
+            stays = F.col("end") <= F.col("place")
+            self.placed.append(met.where(stays).select("pid", F.col("seq").alias("sequence_id"), (most - F.col("place") + F.col("end") - F.col("length")).alias("offset")))
+            n, length = met.where(stays).agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+            self.got, self.got_tokens = self.got + n, self.got_tokens + length
+            self.back = self.back.unionByName(met.where(~stays).select("pid", "length"))
+            taken = met.where(stays).groupBy("seq").agg(F.sum("length").alias("taken"))
+            size = (F.col("size") - F.coalesce("taken", F.lit(0))).alias("size")
+            self.gaps = _few(self.gaps.join(taken, "seq", "left").select("seq", size).where("size > 0"), "gaps", total(GAP, 0))
 
 
 def places(found: DataFrame, most: int = SEQUENCE) -> DataFrame:
@@ -192,52 +236,44 @@ def places(found: DataFrame, most: int = SEQUENCE) -> DataFrame:
     have = {r[0]: r[1] for r in all_pieces.groupBy("length").count().collect()}  # at most `most` rows
     if any(n < 1 or n > most for n in have):
         raise ValueError(f"pieces have 1 to {most} tokens")
-    gaps = spark.createDataFrame([], "seq long, size long")
-    placed = []
+    gaps, n_gaps = spark.createDataFrame([], "seq long, size long"), 0
+    placed, n, total, todo, top = [], 0, 0, None, 0
     for lo, hi in bands(most):
-        n = sum(v for k, v in have.items() if lo < k <= hi)
-        total = sum(k * v for k, v in have.items() if lo < k <= hi)
-        todo = all_pieces.where((F.col("length") > lo) & (F.col("length") <= hi))
+        own = all_pieces.where((F.col("length") > lo) & (F.col("length") <= hi))
+        todo, top = (todo.unionByName(own), top) if n else (own, hi)
+        n += sum(v for k, v in have.items() if lo < k <= hi)
+        total += sum(k * v for k, v in have.items() if lo < k <= hi)
+        start, shorter = n, any(k <= lo for k in have)
         if n and 2 * lo >= most - 1:
             placed.append(todo.select("pid", F.col("pid").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
-            gaps = materialize(todo.select(F.col("pid").alias("seq"), (most - F.col("length")).alias("size")).where("size > 0"), "gaps")
-            n = 0
-        usable = gaps.where(F.col("size") > lo).count() if n else 0
-        fits = most // hi if most // (lo + 1) == most // hi else 0  # pieces of the band that a sequence holds, if that is one number
-        while n:
+            gaps, n_gaps = todo.select(F.col("pid").alias("seq"), (most - F.col("length")).alias("size")).where("size > 0"), n
+            n = total = 0
+        fits = most // top if most // (lo + 1) == most // top else 0  # pieces of the band that a sequence holds, if that is one number
+        while n and (n == start or n * FEW > start or not shorter):  # a few that are left go on with the next band
             mean = max(lo + 1, total // n)
-            offer = gaps.where(F.col("size") > lo).agg(F.sum(F.greatest(F.expr(f"size div {mean}"), F.lit(1)))).first()[0] or 0
+            usable, offer = gaps.where(F.col("size") > lo).agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.expr(f"size div {mean}"), F.lit(1))), F.lit(0))).first()
             each = most if offer <= 2 * (n + usable) else -(-2 * n // usable)  # else about two slots for each piece
-            ranges = max(1, (n + min(offer, usable * each)) // RANGE_ROWS)
-            matched, alone, n_alone, alone_tokens = _match(todo, gaps.where(F.col("size") > lo), hi, mean, each, ranges)
-            # of the pieces that met at a gap, those of the lowest ranks stay, as many as it holds
-            end = F.sum("length").over(Window.partitionBy("seq").orderBy(F.desc("length"), "pid").rowsBetween(Window.unboundedPreceding, 0))
-            matched = materialize(matched.withColumn("end", end), "matched")
-            stays = F.col("end") <= F.col("free")
-            placed.append(matched.where(stays).select("pid", F.col("seq").alias("sequence_id"), (most - F.col("free") + F.col("end") - F.col("length")).alias("offset")))
-            got, got_tokens = matched.where(stays).agg(F.count("*"), F.sum("length")).first()
-            back = matched.where(~stays).select("pid", "length")
-            n, total = n - got, total - (got_tokens or 0)
-            taken = matched.where(stays).groupBy("seq").agg(F.sum("length").alias("taken"))
-            size = (F.col("size") - F.coalesce("taken", F.lit(0))).alias("size")
-            gaps = materialize(gaps.join(taken, "seq", "left").select("seq", size).where("size > 0"), "gaps")
-            todo = back.unionByName(alone.select("pid", "length"))
-            usable = gaps.where(F.col("size") > lo).count() if n else 0
-            few = min(got, usable)
-            if n_alone and (FEW if any(k <= lo for k in have) else FEW * FEW) * few < n_alone:
+            step = _Step(todo, gaps, (lo, top), mean, each, max(1, (n + n_gaps + min(offer, usable * each)) // RANGE_ROWS), most)
+            placed += step.placed
+            n, total = n - step.got, total - step.got_tokens
+            gaps, alone, todo = step.gaps, step.alone, step.back
+            if step.n_alone and (FEW if shorter else FEW * FEW) * min(step.got, step.usable) < step.n_alone:
                 # by rank: so many in a row to a new sequence if it is known how many one holds, else the longest open one each
-                new = -(-n_alone // fits) if fits else max(1, -(-alone_tokens // most))
-                row = max(fits, 1)
-                opened = materialize((alone if fits else alone.where(F.col("rank") < new)).withColumn("turn", F.expr(f"rank div {row}")), "opened")
-                heads = opened.where(F.col("rank") % row == 0).select("turn", F.col("pid").alias("seq"))
-                dealt = opened.join(heads, "turn").withColumn("end", F.sum("length").over(Window.partitionBy("seq").orderBy("rank")))
-                dealt = materialize(dealt.select("pid", "length", "seq", "end"), "dealt")
-                placed.append(dealt.select("pid", F.col("seq").alias("sequence_id"), (F.col("end") - F.col("length")).alias("offset")))
-                got, got_tokens = dealt.agg(F.count("*"), F.sum("length")).first()
-                n, total = n - got, total - got_tokens
-                usable += new
-                gaps = gaps.unionByName(dealt.groupBy("seq").agg((most - F.sum("length")).alias("size")).where("size > 0"))
-                todo = back if fits else back.unionByName(alone.where(F.col("rank") >= new).select("pid", "length"))
+                row, new = max(fits, 1), -(-step.n_alone // fits) if fits else max(1, -(-step.alone_tokens // most))
+                if fits > 1:
+                    turn = Window.partitionBy(F.expr(f"rank div {row}")).orderBy("rank")
+                    opened = alone.select("pid", "length", "rank", F.first("pid").over(turn).alias("seq"), F.sum("length").over(turn).alias("end"))
+                else:
+                    opened = alone.where(F.col("rank") < new).select("pid", "length", "rank", F.col("pid").alias("seq"), F.col("length").alias("end"))
+                opened = _few(opened, "opened", step.n_alone)
+                placed.append(opened.select("pid", F.col("seq").alias("sequence_id"), (F.col("end") - F.col("length")).alias("offset")))
+                got, got_tokens = opened.agg(F.count("*"), F.sum("length")).first()
+                n, total, n_gaps = n - got, total - got_tokens, n_gaps + new
+                final = (F.col("rank") % row == row - 1) | (F.col("rank") == step.n_alone - 1)
+                gaps = gaps.unionByName(opened.where(final).select("seq", (most - F.col("end")).alias("size")).where("size > 0"))
+                alone = alone.where(F.col("rank") >= row * new)
+            if n:
+                todo = todo.unionByName(alone.select("pid", "length"))
     if not placed:
         return all_pieces.select("pid", F.col("pid").alias("sequence_id"), F.col("pid").alias("offset"))
     out = placed[0]
