@@ -6,8 +6,8 @@ Pieces are placed by falling length, a band of lengths at a time (`bands`); thos
 the gaps (open sequences; one that could take several pieces of the band's mean length offers as many slots) are range-sorted together by falling size. Each task sweeps its range: a
 gap waits on a stack, a piece takes its successor, the smallest gap that still waits. Pieces that find none in their range take, in order of their rank, the nearest gaps left in
 earlier ranges (`carry`, over two counts a range). So no two pieces want one slot, as if one task had swept all. A gap's slots lie in one range; where the pieces at them are too long together,
-those of the lowest ranks stay and the others go back. Then gaps shrink by what they got, and the superstep is repeated until hardly a piece finds a gap; what is left opens sequences. When less
-than an eighth of a band is left, it goes on with the next band, ahead of its shorter pieces.
+those of the lowest ranks stay and the others go back. Then gaps shrink by what they got; a range sweeps its own pieces and gaps again at once, and the superstep over all ranges is repeated until
+hardly a piece finds a gap; what is left opens sequences. When less than an eighth of a band is left, it goes on with the next band, ahead of its shorter pieces.
 
 Defined results: null texts are empty and have one piece, the end id alone; very long texts are cut; repeated rows and ids are packed each;
 an empty table gives no rows; other columns are ignored.
@@ -29,7 +29,7 @@ from .common import materialize, text_of
 
 SEQUENCE, END_ID = 2048, 0
 #: Pieces and slots that a range task sweeps on average.
-RANGE_ROWS = 200_000
+RANGE_ROWS = 50_000
 #: Bands of lengths of which a new sequence holds exactly k pieces, k up to this; below, lengths halve from band to band down to a SMALLEST-th of a sequence.
 EXACT, SMALLEST = 4, 64
 #: Sequences are opened when fewer than one in so many of the pieces left found a gap, or gaps are as few; in the band of the shortest pieces one in the square of that.
@@ -108,42 +108,73 @@ PLACED, BACK, ALONE, SLOT, GAP = range(5)
 SWEPT = "r int, what int, pid long, length long, seq long, place long, nth long"
 
 
-def _sweep(most: int, lo: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range. All slots of a gap are here, so pieces that meet at one are resolved here too."""
+def offered(room: np.ndarray, n: int, mean: int, lo: int, most: int) -> np.ndarray:
+    """How many slots each gap offers to n pieces of that mean length: as many as could fit, or, where those are many, about two for each piece."""
+    fit = np.where(room > lo, np.maximum(room // mean, 1), 0)
+    usable = np.count_nonzero(fit)
+    return fit if fit.sum() <= 2 * (n + usable) else np.minimum(fit, -(-2 * n // usable))
+
+
+def _sweep(most: int, lo: int, hi: int, mean: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One range. All slots of a gap are here, so pieces that meet at one are resolved here too, and the range is swept again with the rooms left while pieces find gaps."""
     t = pa.Table.from_batches([*batches]) if (batches := [*batches]) else None
     if t is None or not t.num_rows:
         return
     size, kind, a, slot, free = (t.column(c).to_numpy() for c in ("size", "kind", "a", "slot", "free"))
-    live = np.flatnonzero(kind < 2)
-    mate = np.full(len(kind), -1)
-    found = brackets(kind[live] == 1)
-    mate[live] = np.where(found >= 0, live[found], -1)
-    met, alone = (np.flatnonzero((kind == 1) & x) for x in (mate >= 0, mate < 0))
-    # of the pieces that met at a gap, those of the lowest ranks stay, as many as it holds
-    met = met[np.lexsort((a[met], -size[met], a[mate[met]]))]
-    seq, length, room = a[mate[met]], size[met], free[mate[met]]
-    end = np.cumsum(length)
-    first = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]]) if len(met) else met
-    end = end - np.repeat(end[first] - length[first], np.diff(np.r_[first, len(met)]))
-    stays = end <= room
-    gap = np.flatnonzero(((kind == 0) & (slot == 0)) | (kind == 2))
-    gap = gap[np.argsort(a[gap], kind="stable")]
-    used = np.bincount(np.searchsorted(a[gap], seq[stays]), length[stays], len(gap)).astype(np.int64)
-    rest = free[gap] - used
-    idle = np.flatnonzero((kind == 0) & (mate < 0))
-    open_ = rest[np.searchsorted(a[gap], a[idle])] if len(idle) else idle
-    idle, open_ = idle[open_ > lo], open_[open_ > lo]
-    none = np.full(len(kind), -1)
-    parts = [  # what, pid, length, seq, place, nth
-        (PLACED, a[met[stays]], length[stays], seq[stays], (most - room + end - length)[stays], none),
-        (BACK, a[met[~stays]], length[~stays], none, none, none),
-        (ALONE, a[alone], size[alone], none, none, np.arange(len(alone))),
-        (SLOT, none[: len(idle)], none, a[idle], open_, np.arange(len(idle))),
-        (GAP, none[: len(gap)], none, a[gap], rest, none),
+    is_gap = ((kind == 0) & (slot == 0)) | (kind == 2)
+    order = np.argsort(a[is_gap], kind="stable")
+    seq, room = a[is_gap][order], free[is_gap][order].astype(np.int64)
+    pid, length = a[kind == 1], size[kind == 1].astype(np.int64)
+    least = size[kind < 2].min() if (kind < 2).any() else most + 1
+    at = np.searchsorted(seq, a[kind == 0])  # the gap of each slot
+    placed = []
+    while True:
+        back = np.zeros(len(pid), bool)
+        # slots, then pieces, by falling size: gaps before pieces, the rows' own order among equals
+        key = np.r_[np.minimum(room[at], hi), length]
+        by = np.lexsort((np.r_[seq[at], pid], -np.r_[room[at], np.zeros(len(pid), np.int64)], np.arange(len(key)) >= len(at), -key))
+        found = brackets(by >= len(at))
+        mate = np.full(len(key), -1)
+        mate[by] = np.where(found >= 0, by[found], -1)
+        own = mate[len(at) :]
+        met = np.flatnonzero(own >= 0)
+        if not len(met):
+            break
+        # of the pieces that met at a gap, those of the lowest ranks stay, as many as it holds
+        g = at[own[met]]
+        met = met[np.lexsort((pid[met], -length[met], g))]
+        g = at[own[met]]
+        end = np.cumsum(length[met])
+        first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        end -= np.repeat(end[first] - length[met][first], np.diff(np.r_[first, len(met)]))
+        stays = end <= room[g]
+        took, to = met[stays], g[stays]
+        placed.append((pid[took], length[took], seq[to], (most - room[to] + end[stays] - length[took])))
+        room = room - np.bincount(to, length[took], len(room)).astype(np.int64)
+        left = np.ones(len(pid), bool)
+        left[took] = False
+        back[met[~stays]] = True
+        pid, length, back = pid[left], length[left], back[left]
+        at = np.repeat(np.arange(len(seq)), offered(room, len(pid), mean, lo, most))
+        if len(took) * FEW * FEW < len(pid):  # the rest waits for the next superstep
+            break
+    # slots that hold any piece of later ranges go on offer there
+    rest = np.minimum(room[at], hi)
+    idle = at[rest >= least]
+    idle = idle[np.lexsort((seq[idle], -room[idle], -np.minimum(room[idle], hi)))]
+    one = lambda n: np.full(n, -1)
+    alone = np.flatnonzero(~back)
+    alone = alone[np.lexsort((pid[alone], -length[alone]))]
+    parts = [(PLACED, *(np.concatenate(x) for x in zip(*placed, strict=True)), one(sum(len(x[0]) for x in placed)))] if placed else []
+    parts += [  # what, pid, length, seq, place, nth
+        (BACK, pid[back], length[back], one(back.sum()), one(back.sum()), one(back.sum())),
+        (ALONE, pid[alone], length[alone], one(len(alone)), one(len(alone)), np.arange(len(alone))),
+        (SLOT, one(len(idle)), one(len(idle)), seq[idle], room[idle], np.arange(len(idle))),
+        (GAP, one(len(seq)), one(len(seq)), seq, room, one(len(seq))),
     ]
     sizes = [len(x[1]) for x in parts]
-    cols = [np.full(sum(sizes), TaskContext.get().partitionId(), np.int32), np.repeat(np.arange(5, dtype=np.int32), sizes)]
-    cols += [np.concatenate([x[i][:n] for x, n in zip(parts, sizes, strict=True)]).astype(np.int64) for i in range(1, 6)]
+    cols = [np.full(sum(sizes), TaskContext.get().partitionId(), np.int32), np.repeat(np.array([x[0] for x in parts], np.int32), sizes)]
+    cols += [np.concatenate([x[i] for x in parts]).astype(np.int64) for i in range(1, 6)]
     yield from pa.Table.from_arrays([pa.array(x) for x in cols], ["r", "what", "pid", "length", "seq", "place", "nth"]).to_batches(100_000)
 
 
@@ -200,13 +231,13 @@ class _Step:
         both = slots.unionByName(todo.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("pid").alias("a"), zero.alias("slot"), zero.alias("free")))
         order = [F.desc("size"), F.asc("kind"), F.desc("free"), F.asc("a")]  # without the slot: a gap's slots stay together
         dealt = both.repartitionByRange(ranges, *order).sortWithinPartitions(*order, "slot")
-        swept = materialize(dealt.mapInArrow(lambda batches: _sweep(most, lo, batches), SWEPT), "swept")
+        swept = materialize(dealt.mapInArrow(lambda batches: _sweep(most, lo, hi, mean, batches), SWEPT), "swept", ["what"])  # a folder for each kind of row, so readers of one do not read the others
         found: dict[tuple[int, int], tuple[int, int, int]] = {}  # five rows a range
-        for r, what, n, length, fit in swept.groupBy("r", "what").agg(F.count("*"), F.sum("length"), F.count_if(F.col("place") > lo)).collect():
-            found[r, what] = (n, length, fit)
+        for r, what, n, length, least in swept.groupBy("r", "what").agg(F.count("*"), F.sum("length"), F.min("length")).collect():
+            found[r, what] = (n, length, least)
         last = max((r for r, _ in found), default=-1)
         total = lambda what, i: sum(v[i] for (_, w), v in found.items() if w == what)
-        self.got, self.got_tokens, self.usable = total(PLACED, 0), total(PLACED, 1), total(GAP, 2)
+        self.got, self.got_tokens = total(PLACED, 0), total(PLACED, 1)
         left = _Left([(found.get((r, ALONE), (0,))[0], found.get((r, SLOT), (0,))[0]) for r in range(last + 1)])
         self.placed = [swept.where(F.col("what") == PLACED).select("pid", F.col("seq").alias("sequence_id"), F.col("place").alias("offset"))]
         self.gaps = swept.where((F.col("what") == GAP) & (F.col("place") > 0)).select("seq", F.col("place").alias("size"))
@@ -214,6 +245,8 @@ class _Step:
         schema = "pid long, length long, seq long, place long, pair long, rank long"
         rows = swept.where(F.col("what") == ALONE).mapInArrow(left, schema)
         self.alone, self.n_alone = rows.where("rank >= 0").select("pid", "length", "rank"), left.left
+        least = min((v[2] for (_, w), v in found.items() if w == ALONE), default=most)
+        self.usable = swept.where((F.col("what") == GAP) & (F.col("place") >= least)).count() if left.left else 0  # gaps that another superstep could fill
         self.alone_tokens = total(ALONE, 1) * left.left // max(1, total(ALONE, 0))
         if left.pairs:  # these pieces are shorter than those that their gaps got in their own range, so they come after them
             free = swept.where(F.col("what") == SLOT).mapInArrow(left, schema).where("pair >= 0").select("seq", "place", "pair")
