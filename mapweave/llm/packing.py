@@ -231,13 +231,14 @@ class _Step:
         both = slots.unionByName(todo.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("pid").alias("a"), zero.alias("slot"), zero.alias("free")))
         order = [F.desc("size"), F.asc("kind"), F.desc("free"), F.asc("a")]  # without the slot: a gap's slots stay together
         dealt = both.repartitionByRange(ranges, *order).sortWithinPartitions(*order, "slot")
-        swept = materialize(dealt.mapInArrow(lambda batches: _sweep(most, lo, hi, mean, batches), SWEPT), "swept", ["what"])  # a folder for each kind of row, so readers of one do not read the others
+        swept = materialize(dealt.mapInArrow(lambda batches: _sweep(most, lo, hi, mean, batches), SWEPT), "swept")
         found: dict[tuple[int, int], tuple[int, int, int]] = {}  # five rows a range
         for r, what, n, length, least in swept.groupBy("r", "what").agg(F.count("*"), F.sum("length"), F.min("length")).collect():
             found[r, what] = (n, length, least)
         last = max((r for r, _ in found), default=-1)
         total = lambda what, i: sum(v[i] for (_, w), v in found.items() if w == what)
         self.got, self.got_tokens = total(PLACED, 0), total(PLACED, 1)
+        self.rows = sum(v[0] for v in found.values())
         left = _Left([(found.get((r, ALONE), (0,))[0], found.get((r, SLOT), (0,))[0]) for r in range(last + 1)])
         self.placed = [swept.where(F.col("what") == PLACED).select("pid", F.col("seq").alias("sequence_id"), F.col("place").alias("offset"))]
         self.gaps = swept.where((F.col("what") == GAP) & (F.col("place") > 0)).select("seq", F.col("place").alias("size"))
@@ -298,7 +299,7 @@ def places(found: DataFrame, most: int = SEQUENCE) -> DataFrame:
                     opened = alone.select("pid", "length", "rank", F.first("pid").over(turn).alias("seq"), F.sum("length").over(turn).alias("end"))
                 else:
                     opened = alone.where(F.col("rank") < new).select("pid", "length", "rank", F.col("pid").alias("seq"), F.col("length").alias("end"))
-                opened = _few(opened, "opened", step.n_alone)
+                opened = _few(opened, "opened", step.n_alone if fits > 1 else step.rows)  # without a shuffle its tasks read the whole sweep
                 placed.append(opened.select("pid", F.col("seq").alias("sequence_id"), (F.col("end") - F.col("length")).alias("offset")))
                 got, got_tokens = opened.agg(F.count("*"), F.sum("length")).first()
                 n, total, n_gaps = n - got, total - got_tokens, n_gaps + new
