@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, chat, exact_dedup, jpeg, near_dedup, packing, quality, sharding, token_counts, warc
+from . import alignment, bpe_chunks, chat, collocations, exact_dedup, id_files, jpeg, near_dedup, packing, quality, sharding, token_counts, warc
 from .common import materialize, table, text_of, work_dir
 
+#: Entries of byte_bpe_50k.json.
+VOCABULARY = 50_257
+
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
@@ -120,9 +123,47 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.score(table(spark, sf_dir, "documents"))
+
+
+def op12_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = id_files.read(id_files.write(id_files.encoded(table(spark, sf_dir, "documents")), VOCABULARY))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = f"""
+WITH d AS (
+  SELECT coalesce(lang, '{collocations.UNKNOWN}') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, unnest(flatten(list_transform([1, 2, 3, 4], lambda k: list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])))) AS words FROM w),
+f AS (SELECT lang, words, len(words) AS k, count(*) AS n FROM g GROUP BY lang, words),
+total AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, words, k, n AS a FROM f WHERE k > 1 AND n >= {collocations.LEAST}),
+cuts AS (SELECT *, unnest(range(1, k)) AS j FROM c),
+s AS (
+  SELECT u.lang, u.words, u.a, u.j, x.n AS l, y.n AS r, CAST(2000000::HUGEINT * u.a // (x.n + y.n) AS BIGINT) AS score
+  FROM cuts u JOIN f x ON x.lang = u.lang AND x.words = u.words[1:u.j] JOIN f y ON y.lang = u.lang AND y.words = u.words[u.j + 1:u.k]),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, j) = 1),
+inside AS (
+  SELECT lang, a, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda i: words[i:i + m - 1])))) AS words FROM c WHERE k > 2),
+around AS (SELECT lang, words, max(a) AS most FROM inside GROUP BY lang, words),
+kept AS (
+  SELECT b.lang, array_to_string(b.words, ' ') AS phrase, b.a, b.l, b.r, b.score
+  FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.words = b.words WHERE o.most IS NULL OR 100 * o.most < {collocations.COVERED} * b.a)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, t.n, score
+FROM kept k JOIN total t ON t.lang = k.lang QUALIFY rank <= {collocations.TOP}
+"""
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit() and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op8_chat_format": OP8_SQL, "op9_warc": OP9_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op8_chat_format": OP8_SQL, "op9_warc": OP9_SQL, "op13_collocations": OP13_SQL}

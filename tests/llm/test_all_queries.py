@@ -16,6 +16,9 @@ WANT = {
     "op8_chat_format": (None, "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars"),
     "op9_warc": ("pages", "page_id payload_bytes payload_digest record_type refers_to"),
     "op10_sharding": ("documents", "doc_id size text_crc32 law shard slot grown_shard"),
+    "op11_alignment": ("documents", "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256"),
+    "op12_id_files": ("documents", "doc_id start n_tokens ids_crc32"),
+    "op13_collocations": (None, "lang rank phrase a l r n score"),
 }
 
 

@@ -27,5 +27,5 @@ def test_no_documents(spark, docs):
 def test_queries_are_registered(spark):
     import __spark_entry__ as entry
 
-    assert {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in entry.queries()} and "pipeline" in entry.queries()
+    assert {f"op{n}" for n in range(1, 14)} <= {q.split("_")[0] for q in entry.queries()} and "pipeline" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
