@@ -7,11 +7,11 @@ An id takes as many bits as the largest id of the vocabulary needs. Eight ids ta
     index       offsets of the blocks and the file's end of blocks (u64), crc32 of the blocks (u32), ids before the end of each document (u64), doc ids (i64), whether the doc id is null (u8)
     footer      blocks, documents, ids and the index's place (four u64), crc32 of the index (u32), MAGIC
 
-all little-endian. Any run of ids is read from the blocks that hold it and nothing else. Documents are encoded where they are read, range-sorted by id, and written in that order: every task rolls
+all little-endian. Any run of ids is read from the blocks that hold it and nothing else. Documents are range-sorted by id, encoded by the task of their range and written in that order: every task rolls
 files at FILE_IDS ids, under an attempt's own name, renamed when complete; only files named by the manifest of the successful attempts are read. Where a file's ids start in the whole follows from
 sums over the manifest.
 
-Defined results: null texts are empty and have the end id alone; null doc ids come first; rows that repeat an id are in the order of a hash of their ids; equal ones are interchangeable;
+Defined results: null texts are empty and have the end id alone; null doc ids come first; rows that repeat an id are in the order of a hash of their texts, equal rows in that in which they are read (so any number of them is spread over ranges);
 very long texts are one document of one file; an empty table gives no file; other columns are ignored.
 """
 
@@ -34,8 +34,8 @@ from .common import materialize, text_of, work_dir
 
 MAGIC = b"BITIDS01"
 END_ID = 0
-#: Ids of a block (a multiple of eight) and, but for a longer document, of a file; rows of the manifest that one task adds up.
-BLOCK_IDS, FILE_IDS, SUM_ROWS = 1 << 16, 1 << 25, 1000
+#: Ids of a block (a multiple of eight) and, but for a longer document, of a file; bytes of text that a task encodes on average; parts whose files one task adds up.
+BLOCK_IDS, FILE_IDS, TASK_BYTES, SUM_ROWS = 1 << 16, 1 << 25, 64 << 20, 1000
 HEADER, FOOTER = struct.Struct("<8sII"), struct.Struct("<QQQQI8s")
 MANIFEST = "part int, nth int, path string, n_docs long, n_ids long, n_bytes long"
 
@@ -156,28 +156,16 @@ class Reader:
         return self.ids(start, int(self.ends[k]) - start)
 
 
-def encoded(docs: DataFrame, path: str | None = None, ranks: str | None = None) -> DataFrame:
-    """doc_id, ids (16-bit little-endian, with the end id), n and a number of the row's own, as written in the shared folder."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end, row = tokens.shared(tokens.ByteBpe, path, ranks), np.array([END_ID], "<u2").tobytes(), TaskContext.get().partitionId() << 40
-        for b in batches:
-            ids = [bpe.encode(t) + end for t in b.column("text").to_pylist()]
-            n = pa.array([len(x) // 2 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), n, pa.array(range(row, row + len(ids)), pa.int64())], ["doc_id", "ids", "n", "row"])
-            row += len(ids)
-
-    return materialize(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, ids binary, n long, row long"), "encoded")
-
-
-def write(found: DataFrame, vocabulary: int, root: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
-    """Writes rows of `encoded` in ascending order of doc_id and returns the manifest of the files: part, nth, path, n_docs, n_ids, n_bytes, start (ids in all files before it) and root."""
-    root, width = root or work_dir(found.sparkSession, "ids"), width_of(vocabulary)
-    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+def write(docs: DataFrame, vocabulary: int, root: str | None = None, file_ids: int = FILE_IDS, task_bytes: int = TASK_BYTES, path: str | None = None, ranks: str | None = None) -> DataFrame:
+    """Encodes the documents and writes their ids in ascending order of doc_id; returns the manifest of the files: part, nth, path, n_docs, n_ids, n_bytes, start (ids in all files before it) and root."""
+    root, width = root or work_dir(docs.sparkSession, "ids"), width_of(vocabulary)
+    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = pafs.FileSystem.from_uri(root)
         store.create_dir(top, recursive=True)
+        bpe, end = tokens.shared(tokens.ByteBpe, path, ranks), np.array([END_ID], "<u2").tobytes()
         part, done, out, name = TaskContext.get().partitionId(), [], None, ""
 
         def close() -> None:
@@ -187,8 +175,8 @@ def write(found: DataFrame, vocabulary: int, root: str | None = None, file_ids:
             done.append((part, len(done), name, len(out.ends), out.n_ids, size))
 
         for b in batches:
-            for doc_id, raw in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
-                ids = np.frombuffer(raw.as_buffer(), "<u2")
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                ids = np.frombuffer(bpe.encode(text.as_py()) + end, "<u2")
                 if out is not None and out.n_ids + len(ids) > file_ids:
                     close()
                     out = None
@@ -202,8 +190,8 @@ def write(found: DataFrame, vocabulary: int, root: str | None = None, file_ids:
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate(kinds)], ["part", "nth", "path", "n_docs", "n_ids", "n_bytes"])
 
     order = [F.asc_nulls_first("doc_id"), F.asc("hash"), F.asc("row")]
-    rows = found.select("doc_id", "ids", F.xxhash64("ids").alias("hash"), "row").repartitionByRange(max(1, -(-total // file_ids)), *order).sortWithinPartitions(*order)
-    made = materialize(rows.select("doc_id", "ids").mapInArrow(run, MANIFEST), "manifest")
+    dealt = rows.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(max(1, -(-total // task_bytes)), *order).sortWithinPartitions(*order)
+    made = materialize(dealt.select("doc_id", "text").mapInArrow(run, MANIFEST), "manifest")
     # ids before a file: those of whole groups of parts before it, and those before it in its own group
     group = F.expr(f"part div {SUM_ROWS}").alias("group")
     before = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)

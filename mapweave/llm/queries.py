@@ -128,7 +128,7 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = id_files.read(id_files.write(id_files.encoded(table(spark, sf_dir, "documents")), VOCABULARY))
+    found = id_files.read(id_files.write(table(spark, sf_dir, "documents"), VOCABULARY))
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

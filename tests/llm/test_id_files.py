@@ -73,7 +73,7 @@ def test_damage_is_seen():
 @pytest.mark.parametrize("file_ids", [id_files.FILE_IDS, 3000])
 def test_files_equal_the_library(spark, docs, file_ids):
     rows = docs.collect()
-    made = id_files.write(id_files.encoded(docs), VOCABULARY, file_ids=file_ids)
+    made = id_files.write(docs, VOCABULARY, file_ids=file_ids, task_bytes=id_files.TASK_BYTES if file_ids > 3000 else 100_000)
     files = made.orderBy("part", "nth").collect()
     assert [f.start for f in files] == [sum(x.n_ids for x in files[:k]) for k in range(len(files))] and (len(files) > 2) == (file_ids == 3000)
     got = sorted(id_files.read(made).collect(), key=lambda r: r.start)
@@ -87,5 +87,13 @@ def test_files_equal_the_library(spark, docs, file_ids):
 
 
 def test_no_documents(spark, empty):
-    made = id_files.write(id_files.encoded(empty), VOCABULARY)
+    made = id_files.write(empty, VOCABULARY)
     assert made.count() == 0 and id_files.read(made).count() == 0
+
+
+def test_equal_rows_are_spread(spark):
+    d = spark.range(3000).selectExpr("7 as doc_id", "'the same text again' as text").repartition(4)
+    made = id_files.write(d, VOCABULARY, task_bytes=6000)
+    parts = [f.n_docs for f in made.collect()]
+    assert sum(parts) == 3000 and max(parts) < 1500
+    assert sorted(r.start for r in id_files.read(made).collect()) == list(range(0, 15_000, 5))
