@@ -18,7 +18,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
@@ -34,7 +34,7 @@ PIECES = "piece_bpe_32k.model"
 #: A block ends when its documents have so many bytes, or so many links of distinct ids.
 BLOCK_BYTES, BLOCK_LINKS = 8 << 20, 2 << 20
 #: Parts that a memo holds at most, and the longest part that it holds.
-MEMO_PARTS, MEMO_CHARS = 200_000, 40
+MEMO_PARTS, MEMO_CHARS = 400_000, 40
 #: The labels of a byte: none, A ends, B ends, both; and a span of them.
 LABELS, SPAN = np.frombuffer(b".AB#", np.uint8), re.compile(rb"[^#]*#")
 PART, ODD = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
@@ -57,19 +57,13 @@ Part = tuple[str, bytes, bytes, int, int, int]
 ONE = np.array([1], "<i8").tobytes()
 
 
-def part(groups: list[tuple[list[int], list[int]]]) -> Part:
-    codes: list[int] = []
-    often: list[int] = []
-    for a, b in groups:
-        if len(a) * len(b) <= 64:
-            codes += [x << 16 | y for x in a for y in b]
-        else:  # by ids, not by occurrences
-            (x, n), (y, m) = (np.unique(v, return_counts=True) for v in (a, b))
-            often += [1] * (len(codes) - len(often)) + (n[:, None] * m).ravel().tolist()
-            codes += (x[:, None] << 16 | y).ravel().tolist()
-    counts = ONE * len(codes) if not often else array("q", often + [1] * (len(codes) - len(often))).tobytes()
-    written = ";".join([f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups])
-    return written, array("q", codes).tobytes(), counts, sum([len(a) for a, _ in groups]), sum([len(b) for _, b in groups]), len(groups)
+def links(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    """Codes of a group's links and how often each counts; large groups by ids, not by occurrences."""
+    if len(a) * len(b) <= 64:
+        codes = [x << 16 | y for x in a for y in b]
+        return codes, [1] * len(codes)
+    (x, n), (y, m) = (np.unique(v, return_counts=True) for v in (a, b))
+    return (x[:, None] << 16 | y).ravel().tolist(), (n[:, None] * m).ravel().tolist()
 
 
 class Aligner:
@@ -82,6 +76,8 @@ class Aligner:
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         self.a_len, self.b_len = (np.array([len(x) for x in v]) for v in (self.a_bytes, self.b_bytes))
+        self.a_lens, self.b_lens = self.a_len.tolist(), self.b_len.tolist()
+        self.a_name, self.b_name = [f"{i}" for i in range(len(self.a_bytes))], [f"|{i}" for i in range(len(names))]
         self.space = self.model.piece_to_id("▁")
         self.by_parts = not any("▁" in p.lstrip("▁") for p in names)
         self.known: dict[str, Part | None] = {}
@@ -103,26 +99,42 @@ class Aligner:
     def align(self, parts: list[str]) -> list[Part | None]:
         """None for a part whose tokens do not give its bytes."""
         out: list[Part | None] = [None] * len(parts)
-        good, size, a_ids, b_ids, ends = [], 0, [], [], []
-        for i, (p, b) in enumerate(zip(parts, self.model.encode(parts, num_threads=1), strict=True)):
-            data, a, b = b" " + p.encode(), self.bpe.plain(" " + p), b if p else [self.space]
-            if b"".join([self.a_bytes[x] for x in a]) == data == b"".join([self.b_bytes[x] for x in b]):
-                size += len(data)
-                good.append(i)
-                ends.append(size)
-                a_ids += a
-                b_ids += b
+        if not parts:
+            return out
+        of_a, of_b = [self.bpe.plain(" " + p) for p in parts], [b if p else [self.space] for p, b in zip(parts, self.model.encode(parts, num_threads=1), strict=True)]
+        sizes = [[sum([len_of[x] for x in ids]) for ids in of] for of, len_of in ((of_a, self.a_lens), (of_b, self.b_lens))]
+        good = range(len(parts))
+        a_ids, b_ids = (list(chain.from_iterable(of)) for of in (of_a, of_b))
+        if sizes[0] != sizes[1] or not (b"".join([self.a_bytes[x] for x in a_ids]) == b"".join([self.b_bytes[x] for x in b_ids]) == (" " + " ".join(parts)).encode()):
+            good = [i for i, p in enumerate(parts) if b"".join([self.a_bytes[x] for x in of_a[i]]) == b"".join([self.b_bytes[x] for x in of_b[i]]) == (" " + p).encode()]
+            a_ids, b_ids = (list(chain.from_iterable(of[i] for i in good)) for of in (of_a, of_b))
         if not good:
             return out
-        labels = np.zeros(size, np.uint8)
+        ends = np.cumsum([sizes[0][i] for i in good])
+        labels = np.zeros(ends[-1], np.uint8)
         labels[np.cumsum(self.a_len[a_ids]) - 1] |= 1
         labels[np.cumsum(self.b_len[b_ids]) - 1] |= 2
         spans = np.fromiter((m.end() for m in SPAN.finditer(LABELS[labels].tobytes())), np.int64)
-        to_a, to_b = (np.cumsum(labels & bit > 0)[spans - 1].tolist() for bit in (1, 2))  # labels up to each span's end
-        groups = [(a_ids[i:j], b_ids[k:m]) for i, j, k, m in zip([0, *to_a], to_a, [0, *to_b], to_b, strict=False)]
+        to_a, to_b = (np.cumsum(labels & bit > 0)[spans - 1] for bit in (1, 2))  # labels up to each span's end
+        n_a, n_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        # groups of one token each at once, the others one by one
+        codes = np.array(a_ids)[to_a - 1] << 16 | np.array(b_ids)[to_b - 1]
+        written = [x + y for x, y in zip(map(self.a_name.__getitem__, (codes >> 16).tolist()), map(self.b_name.__getitem__, (codes & 0xFFFF).tolist()), strict=True)]
+        more = {}
+        for g in np.flatnonzero((n_a > 1) | (n_b > 1)).tolist():
+            a, b = a_ids[to_a[g] - n_a[g] : to_a[g]], b_ids[to_b[g] - n_b[g] : to_b[g]]
+            written[g] = f"{','.join(map(str, a))}|{','.join(map(str, b))}"
+            more[g] = links(a, b)
+        raw, single = codes.astype("<i8").tobytes(), np.cumsum(np.r_[0, (n_a > 1) | (n_b > 1)]).tolist()
         last = (np.searchsorted(spans, ends) + 1).tolist()  # a part ends with a span
+        to_a, to_b = ([0, *x.tolist()] for x in (to_a, to_b))
         for i, lo, hi in zip(good, [0, *last], last, strict=False):
-            out[i] = part(groups[lo:hi])
+            if single[lo] == single[hi]:
+                mine, often = raw[8 * lo : 8 * hi], ONE * (hi - lo)
+            else:
+                of = [more.get(g) or ([int(codes[g])], [1]) for g in range(lo, hi)]
+                mine, often = (array("q", [x for v in of for x in v[k]]).tobytes() for k in (0, 1))
+            out[i] = ";".join(written[lo:hi]), mine, often, to_a[hi] - to_a[lo], to_b[hi] - to_b[lo], hi - lo
         return out
 
     def documents(self, texts: list[str]) -> list[list[Part] | None]:
