@@ -1,6 +1,6 @@
 """The transform tree: edge statistics, paths through the frame graph, timed lookups, and placing scans.
 
-The frame graph has as many edges as a recording has frames (tens), so it lives on the driver; samples and probes stay distributed, one as-of lookup per edge of a path.
+The frame graph has as many edges as a recording has frames (tens), so it lives on the driver; samples and probes stay distributed: all edges of a path are looked up at once over range-sorted runs, so no task sees a whole series.
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapweave.functions.geometry import compose, invert, let, place, quaternion, slerp
+from mapweave.functions.work import written
+
+from .temporal import ranged_bracket
 
 POSE = "struct<t: struct<x: double, y: double, z: double>, q: struct<x: double, y: double, z: double, w: double>>"
 _IDENTITY = "named_struct('t', named_struct('x', 0D, 'y', 0D, 'z', 0D), 'q', named_struct('x', 0D, 'y', 0D, 'z', 0D, 'w', 1D))"
@@ -58,46 +61,53 @@ def root_of(known: list[tuple[str, str]], frame: str) -> tuple[str, int]:
     return frame, depth
 
 
-def edge_at(probes: DataFrame, tf: DataFrame, parent: str, child: str, name: str, tolerance: int) -> DataFrame:
-    """Adds the pose of one edge at each probe's time t: interpolated, held up to `tolerance` past either end, else null. A constant edge always answers."""
-    s = distinct_samples(tf.where((F.col("parent") == parent) & (F.col("child") == child))).select("t", F.struct("t", "pose").alias("__s"), F.lit(0).alias("__k"))
-    p = probes.select("t", F.struct(*probes.columns).alias("__p"), F.lit(1).alias("__k"))
-    both = s.unionByName(p, allowMissingColumns=True).withColumn("__day", F.lit(0))
-    back = Window.partitionBy("__day").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("__day").orderBy("t").rangeBetween(0, Window.unboundedFollowing)
-    # an edge's samples and a trajectory's probes are a few per second of recording
-    d = both.withColumns({"__a": F.last("__s", True).over(back), "__b": F.first("__s", True).over(ahead)}).where("__p is not null")
-    fixed = edges(tf.where((F.col("parent") == parent) & (F.col("child") == child))).select(F.col("fixed").alias("__f"))
-    d = d.join(F.broadcast(fixed), how="left")  # one row
-    u = (F.col("__p.t") - F.col("__a.t")) / (F.col("__b.t") - F.col("__a.t"))
-    a, b = F.col("__a.pose"), F.col("__b.pose")
+def edge_poses(times: DataFrame, samples: DataFrame, tolerance: int) -> DataFrame:
+    """step, t and the pose of that step's edge: interpolated, held up to `tolerance` past either end, else null. A constant edge always answers. times: step, t. samples: step, t, seq, pose. No window holds a whole series."""
+    d = ranged_bracket(times, samples, ["step"], "t", "pose", "seq")
+    fixed = edges(samples.withColumns({"parent": F.col("step"), "child": F.col("step")})).select(F.col("parent").alias("step"), F.col("fixed").alias("__f"))
+    d = d.join(F.broadcast(fixed), "step", "left")  # a row per edge of a path
+    u = (F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0"))
+    a, b = F.col("v0"), F.col("v1")
     mid = F.struct(F.struct(*[(a["t"][c] + (b["t"][c] - a["t"][c]) * u).alias(c) for c in "xyz"]).alias("t"), slerp(quaternion(a["q"]), quaternion(b["q"]), u).alias("q")).cast(POSE)
-    end = lambda c: F.struct(F.col(f"{c}.pose.t").alias("t"), quaternion(F.col(f"{c}.pose.q")).alias("q")).cast(POSE)
+    end = lambda c: F.struct(c["t"].alias("t"), quaternion(c["q"]).alias("q")).cast(POSE)
     got = (
-        F.when(F.col("__f"), F.coalesce(F.when(F.col("__a").isNotNull(), end("__a")), F.when(F.col("__b").isNotNull(), end("__b"))))
-        .when(F.col("__a.t") == F.col("__b.t"), end("__a"))
-        .when(F.col("__a").isNotNull() & F.col("__b").isNotNull(), mid)
-        .when(F.col("__a").isNull() & (F.col("__b.t") - F.col("__p.t") <= tolerance), end("__b"))
-        .when(F.col("__b").isNull() & (F.col("__p.t") - F.col("__a.t") <= tolerance), end("__a"))
+        F.when(F.col("__f"), F.coalesce(F.when(a.isNotNull(), end(a)), F.when(b.isNotNull(), end(b))))
+        .when(F.col("t0") == F.col("t1"), end(a))
+        .when(a.isNotNull() & b.isNotNull(), mid)
+        .when(a.isNull() & (F.col("t1") - F.col("t") <= tolerance), end(b))
+        .when(b.isNull() & (F.col("t") - F.col("t0") <= tolerance), end(a))
     )
-    return d.select("__p.*", got.alias(name))
+    return d.select("step", "t", got.alias("pose"))
 
 
-def lookup(probes: DataFrame, tf: DataFrame, target: str, source: str, tolerance: int, name: str = "pose") -> DataFrame:
-    """Adds the pose of source in target at each probe's t; null where any edge does not answer or there is no way."""
-    known = [(r["parent"], r["child"]) for r in tf.select("parent", "child").distinct().collect()]  # the frame graph: tens of edges
+def poses_at(times: DataFrame, tf: DataFrame, target: str, source: str, tolerance: int, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """t and the pose of source in target at each distinct time; times where any edge does not answer are left out, and all of them where there is no way. All edges of the way are looked up at once."""
+    if known is None:
+        known = [(r["parent"], r["child"]) for r in tf.select("parent", "child").distinct().collect()]  # the frame graph: tens of edges
     steps = path(known, target, source)
+    times = times.select("t").where("t is not null").distinct()
     if steps is None:
-        return probes.withColumn(name, F.lit(None).cast(POSE))
-    d = probes.withColumn(name, F.expr(_IDENTITY))
-    for parent, child, inverted in steps:
-        # the pose so far travels through the next edge's windows as a plain column
-        d = edge_at(d, tf, parent, child, "__edge", tolerance)
-        e = F.col("__edge")
-        step = invert(e["t"], e["q"]) if inverted else e
-        so_far = F.col(name)
-        d = d.withColumn(name, F.when(e.isNotNull() & so_far.isNotNull(), let(F.struct(so_far.alias("a"), step.alias("b")), lambda s: compose(s["a"]["t"], s["a"]["q"], s["b"]["t"], s["b"]["q"])).cast(POSE))).drop("__edge")
-    return d
+        return times.limit(0).withColumn("pose", F.lit(None).cast(POSE))
+    if not steps:
+        return times.withColumn("pose", F.expr(_IDENTITY).cast(POSE))
+    number = F.lit(None).cast("int")
+    for i, (parent, child, _) in enumerate(steps):
+        number = F.when((F.col("parent") == parent) & (F.col("child") == child), F.lit(i)).otherwise(number)
+    samples = tf.withColumn("step", number).where("step is not null").select("step", "t", "seq", "pose")
+    asked = times.select(F.explode(F.array(*[F.lit(i) for i in range(len(steps))])).alias("step"), "t")
+    at = edge_poses(asked, samples, tolerance).where("pose is not null")
+    each = at.groupBy("t").agg(*[F.max(F.when(F.col("step") == i, F.col("pose"))).alias(f"s{i}") for i in range(len(steps))])
+    d = each.where(" and ".join(f"s{i} is not null" for i in range(len(steps))))
+    turned = [invert(F.col(f"s{i}.t"), F.col(f"s{i}.q")).cast(POSE) if inverted else F.col(f"s{i}") for i, (_, _, inverted) in enumerate(steps)]
+    pose = turned[0]
+    for step in turned[1:]:
+        pose = let(F.struct(pose.alias("a"), step.alias("b")), lambda s: compose(s["a"]["t"], s["a"]["q"], s["b"]["t"], s["b"]["q"])).cast(POSE)
+    return d.select("t", pose.alias("pose"))
+
+
+def lookup(probes: DataFrame, tf: DataFrame, target: str, source: str, tolerance: int, name: str = "pose") -> DataFrame:
+    """Adds the pose of source in target at each probe's t; null where any edge does not answer or there is no way. Probes of one time share its lookup."""
+    return probes.join(poses_at(probes, tf, target, source, tolerance).withColumnRenamed("pose", name), "t", "left").select(*probes.columns, name)
 
 
 def placed(points: DataFrame, pose: str = "pose") -> DataFrame:
@@ -113,10 +123,10 @@ def first_pose(*candidates: str) -> Column:
 
 
 def deskewed(points: DataFrame, motion: DataFrame, tolerance: int) -> DataFrame:
-    """Each point (t, end, x, y, z) as seen at its scan's end: through the motion's pose at t, back through its pose at `end`. motion: t, seq, pose."""
-    tf = motion.select(F.lit("w").alias("parent"), F.lit("s").alias("child"), "t", "seq", "pose")
-    d = edge_at(points, tf, "w", "s", "__at", tolerance)
-    d = edge_at(d.withColumnRenamed("t", "__own").withColumn("t", F.col("end")), tf, "w", "s", "__end", tolerance).drop("t").withColumnRenamed("__own", "t")
+    """Each point (t, end, x, y, z) as seen at its scan's end: through the motion's pose at t, back through its pose at `end`. motion: t, seq, pose. Times are looked up once each, all in one pass."""
+    times = points.select("t").unionByName(points.select(F.col("end").alias("t"))).where("t is not null").distinct()
+    at = edge_poses(times.withColumn("step", F.lit(0)), motion.select(F.lit(0).alias("step"), "t", "seq", "pose"), tolerance).where("pose is not null")
+    at = written(at.select("t", "pose"), "motion")
+    d = points.join(at.withColumnRenamed("pose", "__at"), "t").join(at.select(F.col("t").alias("end"), F.col("pose").alias("__end")), "end")
     back = let(invert(F.col("__end.t"), F.col("__end.q")), lambda b: compose(b["t"], b["q"], F.col("__at.t"), F.col("__at.q")))
-    pose = F.when(F.col("__at").isNotNull() & F.col("__end").isNotNull(), back.cast(POSE))
-    return placed(d.withColumn("__pose", pose), "__pose").drop("__at", "__end", "__pose")
+    return placed(d.withColumn("__pose", back.cast(POSE)), "__pose").select(*points.columns)

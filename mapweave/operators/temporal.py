@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mapweave.functions.work import written
+
 
 def micros(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
@@ -26,6 +28,22 @@ def bracket(probes: DataFrame, samples: DataFrame, by: list[str], t: str, value:
     return d.select("__p.*", F.col("__a.t").alias("t0"), F.col("__a.v").alias("v0"), F.col("__b.t").alias("t1"), F.col("__b.v").alias("v1"))
 
 
+def ranged_bracket(probes: DataFrame, samples: DataFrame, by: list[str], t: str, value: str, seq: str) -> DataFrame:
+    """As `bracket`, for a few series of any length: rows are range-sorted by (key, time) and written with the number of their range; windows stay inside a range, and what a range's first and last rows need from others
+    comes from one row a range and key. Keys are not null."""
+    s = samples.groupBy(*by, F.col(t).alias("__t")).agg(F.min_by(F.struct(F.col(t).alias("t"), F.col(value).alias("v")), seq).alias("__s"))
+    p = probes.select(*by, F.col(t).alias("__t"), F.struct(*[F.col(c) for c in probes.columns]).alias("__p"))
+    dealt = written(s.unionByName(p, allowMissingColumns=True).repartitionByRange(*by, "__t").withColumn("__part", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy("__part", *by).orderBy("__t")
+    d = dealt.withColumns({"__a": F.last("__s", True).over(own.rangeBetween(Window.unboundedPreceding, 0)), "__b": F.first("__s", True).over(own.rangeBetween(0, Window.unboundedFollowing))}).where("__p is not null")
+    edge = dealt.where("__s is not null").groupBy("__part", *by).agg(F.max_by("__s", "__t").alias("__last"), F.min_by("__s", "__t").alias("__first"))
+    edge = dealt.select("__part", *by).distinct().join(edge, ["__part", *by], "left")
+    order = Window.partitionBy(*by).orderBy("__part")
+    edge = edge.select("__part", *by, F.last("__last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.first("__first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
+    d = d.join(edge, ["__part", *by]).select("__p", F.coalesce("__a", "__before").alias("__a"), F.coalesce("__b", "__after").alias("__b"))
+    return d.select("__p.*", F.col("__a.t").alias("t0"), F.col("__a.v").alias("v0"), F.col("__b.t").alias("t1"), F.col("__b.v").alias("v1"))
+
+
 def interpolated(probes: DataFrame, samples: DataFrame, by: list[str], t: str, value: str, seq: str, tolerance: int) -> DataFrame:
     """Adds `at`: linear between the bracketing samples, the end sample up to `tolerance` outside, else null. A series whose samples are all equal (within 1e-6), or a single one, always answers."""
     d = bracket(probes, samples, by, t, value, seq)
