@@ -1,11 +1,12 @@
 """Phrases of two to four words that occur more often together than their parts suggest, per language.
 
 Words are counted first; those below LEAST are gone for good, since no phrase that holds one can be a candidate. The corpus is written once as sequences of word numbers with gaps where a word is rare or a
-piece ends. From then on all lengths go alike: the candidates of a length are the distinct neighbours in the sequences (two overlapping frequent phrases, so that every part of a candidate is
-frequent); a minimal perfect hash in shards is built over them, its slots holding the keys; tasks look their sequences up, count slots with bincount into one array a shard, and the arrays are added up in a tree. A phrase's number is
+piece ends. From then on all lengths go alike: neighbours in the sequences (two overlapping frequent phrases, so that every part of a candidate is frequent) are counted by hash first, and only those whose
+hash bucket reaches LEAST can be candidates, which loses none; a minimal perfect hash in shards is built over the distinct ones, its slots holding the keys; tasks look their sequences up, count slots with bincount into one array a shard, and the arrays are added up in a tree. A phrase's number is
 its slot, a key is the two numbers of the overlapping shorter phrases, so keys are exact and the phrases that candidates are cut into are read by number. Then each sequence of frequent phrases is written for the next length.
 
-Shards have about SHARD_KEYS keys, and a task holds tables of TABLE_BYTES at a time, so memory does not grow with the corpus; a corpus with more tables than that reads them again for every READ_IDS numbers.
+Shards have about SHARD_KEYS keys, and a task holds tables of TABLE_BYTES at a time, so memory does not grow with the corpus; a corpus with more tables than that reads them again for every READ_IDS numbers. Buckets number a quarter of all words,
+up to MOST_BUCKETS (a bitmap of 64 MB); beyond that more candidates pass that turn out rare.
 
 Defined results: null texts are empty, null languages are `und`; a piece's words are counted whole however long the text; repeated rows count each; ties are ordered by the phrase's bytes; an empty table gives no rows; other columns are
 ignored. More than 4 billion candidates of one length are an error.
@@ -27,17 +28,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, remove, text_of, work_dir
-from .perfect_hash import PerfectHash, shard_of
+from .perfect_hash import PerfectHash, hashed, shard_of
 
 LONGEST, LEAST, TOP, UNKNOWN = 4, 30, 2000, "und"
 #: A phrase goes if a longer candidate around it has so many hundredths of its count.
 COVERED = 80
-SHARD_KEYS, TABLE_BYTES = 1 << 20, 256 << 20
+SHARD_KEYS, TABLE_BYTES = 1 << 20, 128 << 20
 #: Bytes of text that are split at a time; entries of a task's counter or memo of words; numbers that a task looks up at a time; distinct keys that it holds.
-SPLIT_BYTES, WORDS_HELD, READ_IDS, KEYS_HELD = 1 << 20, 300_000, 2 << 20, 4 << 20
-#: Arrays that one task adds up.
-FAN = 32
-NONE = 0xFFFFFFFF
+SPLIT_BYTES, WORDS_HELD, READ_IDS, KEYS_HELD = 1 << 20, 300_000, 1 << 20, 2 << 20
+#: Arrays that one task adds up; buckets of a shard of hashed counts, and of all shards at most.
+FAN, BUCKETS, MOST_BUCKETS = 32, 1 << 20, 1 << 29
+NONE, BY_BUCKET = 0xFFFFFFFF, 77
 #: The marks that end a piece. All become dots, which no word holds; capitals A-Z become small, tabs spaces.
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 TABLE = bytes.maketrans((BREAKS + "\t" + string.ascii_uppercase).encode(), ("." * len(BREAKS) + " " + string.ascii_lowercase).encode())
@@ -261,15 +262,118 @@ def numbered(docs: DataFrame, table: tuple) -> DataFrame:
     return docs.mapInArrow(run, "ids binary")
 
 
-def candidates(sequences: DataFrame) -> DataFrame:
-    """The distinct keys of neighbours."""
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their summed counts, no more than `least`."""
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.minimum(np.bincount(at, np.concatenate(counts), len(found)), least).astype(np.uint8)
+
+
+def _sparse(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending keys below BUCKETS with counts below 256."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(keys, prepend=0).astype("<u4").tobytes() + counts.tobytes())
+
+
+def _dense(total: np.ndarray, raw: bytes) -> None:
+    """Adds what _sparse packed."""
+    data = zstandard.ZstdDecompressor().decompress(raw)
+    n = len(data) // 5
+    total[np.cumsum(np.frombuffer(data, "<u4", n), dtype=np.int64)] += np.frombuffer(data, np.uint8, n, 4 * n)
+
+
+SUMS = "shard long, task long, counts binary"
+
+
+def _sum_rows(shard: list[int], task: list[int], counts: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(task, pa.int64()), pa.array(counts, pa.binary())], ["shard", "task", "counts"])
+
+
+def _tree(sums: DataFrame, tasks: int, add) -> DataFrame:
+    """Arrays of tasks added up by shard, FAN at a time."""
+
+    def run(t: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_sum_rows([t.column("shard")[0].as_py()], [t.column("task")[0].as_py() // FAN], [add(x.as_py() for x in t.column("counts"))])])
+
+    while True:
+        sums = sums.groupBy("shard", F.expr(f"task div {FAN}").alias("of")).applyInArrow(run, SUMS)
+        if tasks <= FAN:
+            return sums
+        tasks = -(-tasks // FAN)
+
+
+def buckets(sequences: DataFrame, n: int, least: int) -> tuple[str, int]:
+    """Counts neighbours by hash; writes which buckets reach `least` and returns where, and the number of buckets (n: about how many neighbours there are)."""
+    size = BUCKETS
+    while size < min(n // 4, MOST_BUCKETS):
+        size *= 2
+    most = min(least, 255)  # counts are kept up to what matters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        n = 0
+        keys, counts, task = [], [], TaskContext.get().partitionId()
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            found, n = _merged(keys, counts, most)
+            shard = found // BUCKETS
+            which, first = np.unique(shard, return_index=True)
+            for s, k, c in zip(which.tolist(), np.split(found, first[1:]), np.split(n, first[1:]), strict=False):
+                yield _sum_rows([s], [task], [_sparse(k - s * BUCKETS, c)])
+            keys.clear()
+            counts.clear()
+
         for b in batches:
             for ids in _numbers(b):
-                held.append(np.unique(_pairs(ids)[1]))
+                k, c = np.unique(hashed(_pairs(ids)[1], BY_BUCKET) & np.uint64(size - 1), return_counts=True)
+                keys.append(k.astype(np.int64))
+                counts.append(np.minimum(c, most))
+                if sum(map(len, keys)) > KEYS_HELD:
+                    k, c = _merged(keys, counts, most)
+                    keys[:], counts[:] = [k], [c]
+                    if len(k) > KEYS_HELD // 2:
+                        yield from rows()
+        if keys:
+            yield from rows()
+
+    def add(blobs: Iterator[bytes]) -> bytes:
+        total = np.zeros(BUCKETS, np.int64)
+        for raw in blobs:
+            _dense(total, raw)
+        at = np.flatnonzero(total)
+        return _sparse(at, np.minimum(total[at], most).astype(np.uint8))
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for raw in b.column("counts").to_pylist():
+                total = np.zeros(BUCKETS, np.int64)
+                _dense(total, raw)
+                out.append(np.packbits(total >= most, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("shard"), pa.array(out, pa.binary())], ["shard", "bits"])
+
+    root = work_dir(sequences.sparkSession, "buckets")
+    _tree(sequences.mapInArrow(run, SUMS), sequences.rdd.getNumPartitions(), add).mapInArrow(bits, "shard long, bits binary").write.parquet(root)
+    return root, size
+
+
+def _bits(root: str, size: int) -> np.ndarray:
+    store, top = pafs.FileSystem.from_uri(root)
+    out = np.zeros(size // 8, np.uint8)
+    for f in store.get_file_info(pafs.FileSelector(top)):
+        if f.base_name.endswith(".parquet"):
+            for b in pq.ParquetFile(store.open_input_file(f.path)).iter_batches(100):
+                for s, bits in zip(*(b.column(c).to_pylist() for c in ("shard", "bits")), strict=True):
+                    out[s * BUCKETS // 8 : (s + 1) * BUCKETS // 8] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def candidates(sequences: DataFrame, root: str, size: int) -> DataFrame:
+    """The distinct keys of neighbours whose bucket is full enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, held, n = _bits(root, size), [], 0
+        for b in batches:
+            for ids in _numbers(b):
+                keys = _pairs(ids)[1]
+                at = (hashed(keys, BY_BUCKET) & np.uint64(size - 1)).astype(np.int64)
+                held.append(np.unique(keys[bits[at >> 3] >> (at & 7) & 1 > 0]))
                 n += len(held[-1])
                 if n > KEYS_HELD:
                     held = [np.unique(np.concatenate(held))]
@@ -287,11 +391,6 @@ def counted(sequences: DataFrame, table: tuple) -> DataFrame:
     """shard and its counts by slot: arrays of tasks, added up FAN at a time."""
     pack = lambda x: zstandard.ZstdCompressor(level=1).compress(x.astype("<i8").tobytes())
     unpack = lambda x: np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<i8")
-    schema = "shard long, task long, counts binary"
-
-    def rows(shard: list[int], task: list[int], counts: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(task, pa.int64()), pa.array(counts, pa.binary())], ["shard", "task", "counts"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_table, task, sums = _table(*table), TaskContext.get().partitionId(), OrderedDict()
         for b in batches:
@@ -304,23 +403,17 @@ def counted(sequences: DataFrame, table: tuple) -> DataFrame:
                         sums[s] = found
                     if sum(map(len, sums.values())) * 8 > TABLE_BYTES:  # the array held longest goes out early
                         old, values = sums.popitem(last=False)
-                        yield rows([old], [task], [pack(values)])
+                        yield _sum_rows([old], [task], [pack(values)])
         for s, values in sums.items():
-            yield rows([s], [task], [pack(values)])
+            yield _sum_rows([s], [task], [pack(values)])
 
-    def add(t: pa.Table) -> pa.Table:
-        total = None
-        for raw in t.column("counts"):
-            one = unpack(raw.as_py())
-            total = one.copy() if total is None else np.add(total, one, out=total)
-        return pa.Table.from_batches([rows([t.column("shard")[0].as_py()], [t.column("task")[0].as_py() // FAN], [pack(total)])])
+    def add(blobs: Iterator[bytes]) -> bytes:
+        total = unpack(next(blobs)).copy()
+        for raw in blobs:
+            total += unpack(raw)
+        return pack(total)
 
-    sums, tasks = sequences.mapInArrow(run, schema), sequences.rdd.getNumPartitions()
-    while True:
-        sums = sums.groupBy("shard", F.expr(f"task div {FAN}").alias("of")).applyInArrow(add, schema)
-        if tasks <= FAN:
-            break
-        tasks = -(-tasks // FAN)
+    sums = _tree(sequences.mapInArrow(run, SUMS), sequences.rdd.getNumPartitions(), add)
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -374,6 +467,7 @@ def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, shard_k
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), text_of().alias("text"))
     words = materialize(word_counts(rows).where((F.col("n") >= least) | F.col("word").isNull()), "words")
     totals = words.where("word is null").select("lang", "n")
+    words_in_all = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = words.where("word is not null")
     key = F.concat(F.col("word").cast("binary"), F.lit(b" "), F.col("lang").cast("binary")).alias("key")
     root, shards, stride = _build(frequent.select(key, "n"), frequent.count(), True, shard_keys)
@@ -383,7 +477,7 @@ def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, shard_k
     path, sequences = _write(numbered(rows, table), "sequences")
     found = []
     for size in range(2, longest + 1):
-        keys = materialize(candidates(sequences), "candidates")
+        keys = materialize(candidates(sequences, *buckets(sequences, words_in_all, least)), "candidates")
         root, shards, stride = _build(keys, keys.count(), False, shard_keys)
         sums = work_dir(spark, "sums")
         counted(sequences, (root, "", shards, stride, False, least)).write.partitionBy("shard").parquet(sums)
