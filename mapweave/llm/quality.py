@@ -125,7 +125,7 @@ def held_out(id_col: str | Column = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Learns from labels.quality of documents that are not held out."""
+    """Learns from labels.quality of documents that are not held out: of at most `rows` labels, and at most `rows` different texts of theirs, chosen by hash where there are more."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = docs.sparkSession.createDataFrame(known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows).collect(), known.schema)  # at most `rows` pairs of numbers
 
@@ -133,7 +133,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         for b in batches:
             yield pd.DataFrame({"x": [statistics(t) for t in b["text"]], "quality": b["quality"]})
 
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(known), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("h", F.xxhash64("text"))
+    pairs = texts.select("doc_id", "h").join(F.broadcast(known), "doc_id").distinct().orderBy(F.xxhash64("doc_id", "h"), "doc_id", "h", "quality").limit(rows)
+    chosen = docs.sparkSession.createDataFrame(pairs.collect(), "doc_id long, h long, quality int")  # at most `rows` triples of numbers
+    some = texts.join(F.broadcast(chosen), ["doc_id", "h"]).groupBy("doc_id", "h", "quality").agg(F.first("text").alias("text"))
     got = some.mapInPandas(run, "x array<double>, quality int").toPandas()
     if not len(got):
         return train(np.zeros((0, len(NAMES))), np.zeros(0))

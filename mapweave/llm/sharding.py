@@ -6,7 +6,7 @@ place in the whole order is the number of records in earlier buckets plus its pl
 
 Law `rows`: shard sizes differ by one row at most. The order follows from the seed and the records, not from how files are split, how many tasks read them or what
 spark.sql.shuffle.partitions says (but for null ids, which are told apart by where they are read).
-Defined results: null texts are empty; null or repeated ids and repeated rows are ordinary records (each row is placed once; rows that repeat both id and text share a bucket); an empty table gives
+Defined results: null texts are empty; null or repeated ids and repeated rows are ordinary records (each row is placed once; rows that repeat both id and text share a bucket up to half its size, more of them are told apart by where they are read and dealt over several); an empty table gives
 no rows; a record larger than bucket_bytes has its bucket to itself but for what the hash sends there. Other columns travel with the record.
 """
 
@@ -32,7 +32,12 @@ def shuffled(docs: DataFrame, seed: int = 17, bucket_bytes: int = BUCKET_BYTES)
     buckets = max(1, -(-total // bucket_bytes))
     scattered = docs.select(record).withColumn("uid", F.monotonically_increasing_id())
     own = F.coalesce(F.col("record.doc_id").cast("string"), F.concat(F.lit("row "), F.col("uid")))  # null ids spread as any others do
-    scattered = scattered.withColumn("h", F.xxhash64(text_of("record.text"))).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), own, "h"), F.lit(buckets)))
+    scattered = scattered.withColumns({"own": own, "h": F.xxhash64(text_of("record.text"))})
+    # rows that repeat id and text and would fill a bucket are dealt over as many as they need
+    size = F.sum(F.octet_length(text_of("record.text")) + ROW_BYTES)
+    often = materialize(scattered.groupBy("own", "h").agg(size.alias("size")).where(F.col("size") > bucket_bytes // 2).select("own", "h", F.expr(f"size div {max(1, bucket_bytes // 4)} + 1").alias("parts")), "repeated")
+    scattered = scattered.join(often, ["own", "h"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("uid"), "parts"), F.lit(0)))
+    scattered = scattered.withColumn("bucket", F.pmod(F.pmod(F.xxhash64(F.lit(seed), "own", "h"), F.lit(buckets)) + F.col("part"), F.lit(buckets)))
     dealt = scattered.repartition(min(buckets, MOST_PARTITIONS), "bucket")
     gathered = dealt.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("record.doc_id", "h", "uid", "record"))).alias("all")).sortWithinPartitions("bucket")
     mixed = gathered.select("bucket", F.posexplode(F.shuffle("all", F.lit(seed))).alias("place", "one"))

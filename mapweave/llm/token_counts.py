@@ -1,8 +1,8 @@
 """Token totals by source, language and tokenizer version, kept up by deltas.
 
 A batch of changes (insert, delete, revise) becomes signed totals: an insert adds a document and its tokens, a delete takes them away, a revision adds the
-difference of the counts. A batch is written as a small Parquet table under its writer's own name and committed by creating a file of the batch's id, which names that table and which only one writer
-can create; a batch that is already committed is left alone, and what a writer that died or came second has left is never read, so replays, retries and races change nothing. Totals are sums over committed deltas; `compact` folds them into one.
+difference of the counts. A batch is written as a small Parquet table under its writer's own name and committed by a file of the batch's id, which names that table and gets its name by a rename that fails where
+it is taken; a batch that is already committed is left alone, and what a writer that died or came second has left is never read, so replays, retries and races change nothing. Totals are sums over committed deltas; `compact` folds them into one.
 
 Defined results: null sources, languages or versions are keys of their own; null counts are 0; an unknown kind of change is an error; an empty
 batch commits nothing but its id; groups whose totals are all zero are left out; repeated change rows count each; very long texts are counted whole; other columns are ignored.
@@ -23,6 +23,8 @@ from .common import text_of
 
 KEYS = ["source", "lang", "tokenizer_version"]
 SUMS = ["n_docs", "n_tokens", "n_bytes"]
+#: The commit file of a compaction; no batch id has its first letter.
+COMPACTED = "_compacted"
 VERSIONS = {tokens.BYTE_BPE.removesuffix(".json"): tokens.ByteBpe, tokens.WORD_BPE.removesuffix(".json"): tokens.WordBpe}
 SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long, n_bytes long"
 
@@ -65,33 +67,52 @@ class Rollup:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _writer(self, batch: str) -> str:
-        """The name of the table that was committed as this batch; empty if none."""
-        fs, p = self._fs(f"{self.root}/commits/{batch}")
+    def _text(self, path: str) -> str:
+        """What a file holds; empty where there is none."""
+        fs, p = self._fs(path)
         if not fs.exists(p):
             return ""
         stream = fs.open(p)
         try:
-            return bytes(stream.readNBytes(100)).decode()
+            return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
 
+    def _compacted(self) -> tuple[str, list[str]]:
+        """The table that `compact` wrote, and the ids that it holds."""
+        name, *ids = self._text(f"{self.root}/commits/{COMPACTED}").split("\n")
+        return name, ids
+
+    def _writer(self, batch: str) -> str:
+        """The name of the table that was committed as this batch; empty if none."""
+        own = self._text(f"{self.root}/commits/{batch}")
+        if own:
+            return own
+        name, ids = self._compacted()
+        return name if batch in ids else ""
+
     def committed(self, batch: str) -> bool:
         return bool(self._writer(batch))
 
-    def _claim(self, batch: str, name: str) -> bool:
-        """Creates the batch's commit file; False if another writer has. A file without a name is of a writer that died while creating it."""
-        fs, p = self._fs(f"{self.root}/commits/{batch}")
-        if fs.exists(p) and not self._writer(batch):
+    def _claim(self, name: str, text: str) -> bool:
+        """Gives the text to a commit file of that name in one step: it is written elsewhere and renamed, which fails where the file is there already. An empty one is of a writer that died under an earlier version of this code."""
+        fs, p = self._fs(f"{self.root}/commits/{name}")
+        if fs.exists(p) and not self._text(f"{self.root}/commits/{name}"):
             fs.delete(p, False)
+        _, own = self._fs(f"{self.root}/commits/.{name}-{uuid.uuid4().hex}")
+        stream = fs.create(own, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        jvm = self.spark.sparkContext._jvm
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").NONE
         try:
-            stream = fs.create(p, False)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(own), fs.makeQualified(p), options)
         except Py4JJavaError:
-            if self.committed(batch):
+            fs.delete(own, False)
+            if self._text(f"{self.root}/commits/{name}"):
                 return False
             raise
-        stream.write(bytearray(name.encode()))
-        stream.close()
         return True
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
@@ -104,24 +125,36 @@ class Rollup:
         delta(changes).write.parquet(f"{self.root}/deltas/{name}")
         return self._claim(batch, name)
 
-    def batches(self) -> list[str]:
+    def _tables(self) -> dict[str, str]:
+        """Committed batches and their tables, as of now."""
         fs, p = self._fs(f"{self.root}/commits")
         found = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-        return sorted(b for b in found if not b.startswith(".") and self.committed(b))
+        name, ids = self._compacted()
+        out = dict.fromkeys(ids, name)
+        out.update((b, own) for b in found if not b.startswith((".", "_")) and (own := self._text(f"{self.root}/commits/{b}")))
+        return out
 
-    def totals(self) -> DataFrame:
-        paths = sorted({f"{self.root}/deltas/{self._writer(b)}" for b in self.batches()})
+    def batches(self) -> list[str]:
+        return sorted(self._tables())
+
+    def _sums(self, tables: dict[str, str]) -> DataFrame:
+        paths = sorted({f"{self.root}/deltas/{name}" for name in tables.values()})
         rows = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
         sums = rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
         return sums.where(" or ".join(f"{c} <> 0" for c in SUMS))
 
+    def totals(self) -> DataFrame:
+        return self._sums(self._tables())
+
     def compact(self, root: str) -> Rollup:
-        """The same totals as one delta in a new folder; the ids of its batches stay committed there."""
-        new = Rollup(self.spark, root)
-        ids = self.batches()
-        if ids:
+        """The totals of the batches committed by now, as one delta in a new folder, where their ids stay committed: one file names the delta and all ids, so either all of them are there or none. A batch that is committed here
+        later is neither in the sums nor among the ids, and can be committed there."""
+        new, tables = Rollup(self.spark, root), self._tables()
+        if new.batches():
+            raise ValueError("a rollup is compacted into a folder of its own")
+        if tables:
             name = f"compact-{uuid.uuid4().hex}"
-            self.totals().write.parquet(f"{new.root}/deltas/{name}")
-            for b in ids:
-                new._claim(b, name)
+            self._sums(tables).write.parquet(f"{new.root}/deltas/{name}")
+            if not new._claim(COMPACTED, "\n".join([name, *sorted(tables)])):
+                raise ValueError("a rollup is compacted into a folder of its own")
         return new

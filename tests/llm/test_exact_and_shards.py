@@ -114,3 +114,12 @@ def test_counts_before_a_bucket(spark):
 def test_a_record_larger_than_a_bucket(docs):
     got = sharding.shard(docs, shards=2, bucket_bytes=100)
     assert got.count() == docs.count()
+
+
+def test_rows_that_repeat_id_and_text_are_spread(spark):
+    d = spark.range(60_000).selectExpr("7 as doc_id", "'the same text of some forty characters' as text").repartition(6)
+    got = sharding.shuffled(d, bucket_bytes=200_000)
+    sizes = [r["count"] for r in got.groupBy("bucket").count().collect()]
+    assert sum(sizes) == 60_000 and max(sizes) * 55 < 2 * 200_000
+    placed = sharding.shard(d, shards=7, bucket_bytes=200_000).groupBy("shard").agg({"*": "count", "slot": "max"}).collect()
+    assert {r["count(1)"] for r in placed} <= {8571, 8572} and all(r["max(slot)"] == r["count(1)"] - 1 for r in placed)

@@ -253,3 +253,15 @@ def test_decisions(spark, docs):
     assert len(few) == len(got) and all(r["predicted"] == 1 for r in few)
     kept = quality.accepted(docs, quality.fit(d, labels))
     assert kept.columns == docs.columns
+
+
+def test_repeated_ids_do_not_grow_the_sample(spark, monkeypatch):
+    docs = spark.range(600).selectExpr("id % 3 as doc_id", "concat('text number ', id) as text")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda x, y: seen.append((len(x), len(y))))
+    quality.fit(docs, labels, rows=10)
+    monkeypatch.setattr(quality, "held_out", lambda *a: quality.F.lit(False))
+    quality.fit(docs, labels, rows=10)
+    quality.fit(docs.unionByName(docs), labels, rows=1000)
+    assert seen[0][0] <= 10 and seen[1:] == [(10, 10), (600, 600)]

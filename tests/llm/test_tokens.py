@@ -205,6 +205,48 @@ def test_rollup_is_idempotent(docs, spark, tmp_path):
         r.commit("b6", kind("other"))
 
 
+def test_a_batch_that_comes_while_compacting_is_not_counted_twice(docs, spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    d = token_counts.counted(docs).withColumns({"kind": F.lit("insert"), "old_tokens": F.lit(None).cast("long")}).cache()
+    r = token_counts.Rollup(spark, f"file://{tmp_path}/old")
+    r.commit("b1", d)
+    once = sorted(map(tuple, r.totals().collect()), key=repr)
+    real, late = token_counts.Rollup._sums, []
+    monkeypatch.setattr(token_counts.Rollup, "_sums", lambda self, tables: (late.append(self.commit("b2", d)) if not late else None, real(self, tables))[1])
+    new = r.compact(f"file://{tmp_path}/new")
+    monkeypatch.undo()
+    assert late == [True] and new.batches() == ["b1"] and sorted(map(tuple, new.totals().collect()), key=repr) == once
+    assert not new.commit("b1", d) and new.commit("b2", d) and not new.commit("b2", d)
+    assert sorted(map(tuple, new.totals().collect()), key=repr) == sorted(map(tuple, r.totals().collect()), key=repr)
+    with pytest.raises(ValueError, match="its own"):
+        r.compact(f"file://{tmp_path}/new")
+
+
+def test_a_compaction_that_dies_before_its_commit_leaves_nothing(docs, spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    d = token_counts.counted(docs).withColumns({"kind": F.lit("insert"), "old_tokens": F.lit(None).cast("long")})
+    r = token_counts.Rollup(spark, f"file://{tmp_path}/old")
+    r.commit("b1", d)
+
+    def die(self, name, text):
+        raise OSError("lost")
+
+    monkeypatch.setattr(token_counts.Rollup, "_claim", die)
+    with pytest.raises(OSError, match="lost"):
+        r.compact(f"file://{tmp_path}/new")
+    monkeypatch.undo()
+    assert token_counts.Rollup(spark, f"file://{tmp_path}/new").batches() == []
+    assert r.compact(f"file://{tmp_path}/new").batches() == ["b1"]
+
+
+def test_a_taken_name_stays_with_its_first_writer(spark, tmp_path):
+    r = token_counts.Rollup(spark, f"file://{tmp_path}/names")
+    assert r._claim("b1", "first") and not r._claim("b1", "second") and r._writer("b1") == "first"
+    assert [f.name for f in (tmp_path / "names" / "commits").iterdir() if not f.name.endswith(".crc")] == ["b1"]
+
+
 def test_token_counts_of_nothing(empty):
     assert token_counts.counted(empty).count() == 0
 
