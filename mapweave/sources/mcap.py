@@ -144,16 +144,31 @@ def index(f, size: int) -> Index:
     return found
 
 
-def messages(f, start: int, length: int, want: frozenset[int] | None) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(channel, sequence, log time, publish time, data) of one chunk, or of a run of messages outside chunks. A chunk that cannot be read ends the read there."""
+def _inside(f, start: int, length: int) -> bytes:
+    """The records of a chunk, or of a run of messages outside chunks."""
     f.seek(start)
     data = f.read(length)
-    if data[0] == CHUNK:
-        try:
-            data = unpacked(data[9:])
-        except (zstandard.ZstdError, struct.error) as e:
-            raise Unreadable(str(e)) from e
-    for op, _, c in records(data):
+    if len(data) < length:
+        raise Unreadable("cut short")
+    if data[0] != CHUNK:
+        return data
+    try:
+        return unpacked(data[9:])
+    except (zstandard.ZstdError, struct.error) as e:
+        raise Unreadable(str(e)) from e
+
+
+def readable(f, start: int, length: int) -> bool:
+    try:
+        _inside(f, start, length)
+    except Unreadable:
+        return False
+    return True
+
+
+def messages(f, start: int, length: int, want: frozenset[int] | None) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(channel, sequence, log time, publish time, data) of one chunk, or of a run of messages outside chunks. A chunk that cannot be read ends the read there."""
+    for op, _, c in records(_inside(f, start, length)):
         if op == MESSAGE:
             channel, seq, log, published = struct.unpack_from("<HIQQ", c)
             if want is None or channel in want:

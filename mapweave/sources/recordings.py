@@ -12,6 +12,7 @@ import sqlite3
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from . import mcap
 
 SCHEMA = "stream string, seq long, log_time double, encoding string, type_name string, payload binary, pose array<double>, tags string"
+POSE = "struct<t: struct<x: double, y: double, z: double>, q: struct<x: double, y: double, z: double, w: double>>"
 #: Bytes of chunks that one task reads.
 TASK_BYTES = 64 << 20
 
@@ -68,8 +70,8 @@ class Part(InputPartition):
 
 
 class Reader(DataSourceReader):
-    def __init__(self, path: str, streams: list[str] | None) -> None:
-        self.path, self.kind, self.streams = path, kind_of(path), None if streams is None else set(streams)
+    def __init__(self, path: str, streams: list[str] | None, until: int | None = None) -> None:
+        self.path, self.kind, self.streams, self.until = path, kind_of(path), None if streams is None else set(streams), until
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802  the API's name
         for f in filters:
@@ -90,7 +92,9 @@ class Reader(DataSourceReader):
         channels = tuple((c.id, c.topic, c.encoding, c.type) for c in found.channels.values() if wanted(c.topic))
         ids = {c[0] for c in channels}
         parts, group, held = [], [], 0
-        for start, length, inside in found.chunks:
+        for start, length, inside in sorted(found.chunks, key=lambda c: c[0]):
+            if self.until is not None and start >= self.until:
+                break
             if inside is not None and inside != mcap.LOOSE and not inside & ids:
                 continue
             group.append((start, length))
@@ -145,13 +149,41 @@ class Recording(DataSource):
 
     def reader(self, schema) -> Reader:  # noqa: ANN001
         streams = self.options.get("streams")
-        return Reader(self.options["path"], streams.split(",") if streams else None)
+        until = self.options.get("until")
+        return Reader(self.options["path"], streams.split(",") if streams else None, int(until) if until else None)
+
+
+def first_unreadable(spark: SparkSession, path: str) -> int | None:
+    """Where the first chunk of an .mcap that cannot be unpacked begins; None if all can. Chunks are tried by tasks of TASK_BYTES each, so a read can be cut there whatever task holds it."""
+    f, size = opened(path)
+    chunks = sorted((start, length) for start, length, _ in mcap.index(f, size).chunks)
+    f.close()
+    if not chunks:
+        return None
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        f, _ = opened(path)
+        try:
+            for b in batches:
+                starts, lengths = (b.column(c).to_pylist() for c in ("start", "length"))
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, n in zip(starts, lengths, strict=True) if not mcap.readable(f, s, n)], pa.int64())], ["start"])
+        finally:
+            f.close()
+
+    tasks = max(1, -(-sum(n for _, n in chunks) // TASK_BYTES))
+    d = spark.createDataFrame(chunks, "start long, length long").repartition(tasks)
+    return d.mapInArrow(run, "start long").agg(F.min("start")).first()[0]
 
 
 def messages(spark: SparkSession, path: str, streams: list[str] | None = None) -> DataFrame:
+    """The messages of a recording; those of an .mcap up to its first chunk that cannot be read, which a pass over all chunks looks for."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Recording)
     r = spark.read.format("recording").option("path", path)
+    if kind_of(path) == "mcap" and (until := first_unreadable(spark, path)) is not None:
+        r = r.option("until", until)
     return (r.option("streams", ",".join(streams)) if streams else r).load()
 
 
@@ -172,6 +204,96 @@ def counted(messages_: DataFrame) -> DataFrame:
     return messages_.groupBy("stream", "type_name").agg(F.count("*").alias("count"), F.min("log_time").alias("first"), F.max("log_time").alias("last"))
 
 
+def _of_type(messages_: DataFrame, *kinds: str) -> DataFrame:
+    kind = F.regexp_replace("type_name", "/(msg/)?", ".")
+    return messages_.where(kind.isin(*kinds)).withColumn("kind", kind)
+
+
+def _decoded(kind: str, encoding: str, payload: bytes) -> dict | None:
+    """None for what cannot be read as that kind."""
+    from . import messages as M
+
+    try:
+        return M.decode_cdr(payload, kind) if encoding == "cdr" else M.decode_lcm(payload, kind)
+    except (ValueError, KeyError):
+        return None
+
+
+def _micros(seconds: float) -> int:
+    return round(seconds * 1e6)
+
+
+def edges(messages_: DataFrame) -> DataFrame:
+    """parent, child, t (long microseconds: the header's stamp, else the log time), seq, pose of all edges in TFMessages; leading slashes go. Undecodable messages are skipped."""
+    from . import messages as M
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for kind, encoding, payload, log, seq in zip(b["kind"], b["encoding"], b["payload"], b["log_time"], b["seq"], strict=True):
+                for e in (_decoded(kind, encoding, payload) or {}).get("edges", []):
+                    stamp = M.seconds(e["header"])
+                    pose = {"t": dict(zip("xyz", e["translation"], strict=True)), "q": dict(zip("xyzw", e["rotation"], strict=True))}
+                    rows.append((e["header"]["frame"].lstrip("/"), e["child"].lstrip("/"), _micros(stamp if stamp > 0 else log), seq, pose))
+            yield pd.DataFrame(rows, columns=["parent", "child", "t", "seq", "pose"])
+
+    d = _of_type(messages_, "tf2_msgs.TFMessage").select("kind", "encoding", "payload", "log_time", "seq")
+    return d.mapInPandas(run, f"parent string, child string, t long, seq long, pose {POSE}")
+
+
+def trajectories(messages_: DataFrame) -> DataFrame:
+    """stream, seq, t (log time, long microseconds), frame, pose of all Odometry and PoseStamped messages."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for kind, encoding, payload, log, seq, stream in zip(b["kind"], b["encoding"], b["payload"], b["log_time"], b["seq"], b["stream"], strict=True):
+                m = _decoded(kind, encoding, payload)
+                if m is not None:
+                    pose = {"t": dict(zip("xyz", m["pose"]["position"], strict=True)), "q": dict(zip("xyzw", m["pose"]["orientation"], strict=True))}
+                    rows.append((stream, seq, _micros(log), m["header"]["frame"].lstrip("/"), pose))
+            yield pd.DataFrame(rows, columns=["stream", "seq", "t", "frame", "pose"])
+
+    d = _of_type(messages_, "nav_msgs.Odometry", "geometry_msgs.PoseStamped").select("kind", "encoding", "payload", "log_time", "seq", "stream")
+    return d.mapInPandas(run, f"stream string, seq long, t long, frame string, pose {POSE}")
+
+
+def scans(messages_: DataFrame) -> DataFrame:
+    """The points of all PointCloud2 messages: stream, seq, log and stamp (long microseconds; stamp 0: none), frame, stored (the pose kept with the message, or null), offset (a point's nanoseconds after the stamp, or null), x, y, z."""
+    import pyarrow as pa
+
+    from . import messages as M
+
+    kinds = [("stream", pa.string()), ("seq", pa.int64()), ("log", pa.int64()), ("stamp", pa.int64()), ("frame", pa.string()), ("stored", pa.list_(pa.float64())), ("offset", pa.int64()), ("x", pa.float32()), ("y", pa.float32()), ("z", pa.float32())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for stream, seq, log, kind, encoding, payload, pose in zip(*(b.column(c).to_pylist() for c in ("stream", "seq", "log_time", "kind", "encoding", "payload", "pose")), strict=True):
+                m = _decoded(kind, encoding, payload)
+                if m is None:
+                    continue
+                try:
+                    p, times = M.cloud(m, keep_all=True), M.point_times(m)
+                except (ValueError, KeyError):
+                    continue
+                good = np.isfinite(p[:, :3]).all(1)
+                n, p = int(good.sum()), p[good]
+                offset = pa.nulls(n, pa.int64()) if times is None else pa.array(times[good].astype(np.int64))
+                head = (stream, seq, _micros(log), _micros(M.seconds(m["header"])), m["header"]["frame"].lstrip("/"), pose)
+                cols = [pa.array([v] * n, t) for v, (_, t) in zip(head, kinds, strict=False)]
+                yield pa.RecordBatch.from_arrays([*cols, offset, *(pa.array(p[:, k]) for k in range(3))], [k for k, _ in kinds])
+
+    d = _of_type(messages_, "sensor_msgs.PointCloud2").select("stream", "seq", "log_time", "kind", "encoding", "payload", "pose")
+    d = d.mapInArrow(run, "stream string, seq long, log long, stamp long, frame string, stored array<double>, offset long, x float, y float, z float")
+    q = F.struct(*[F.col("stored")[i].alias(c) for i, c in enumerate("xyzw", 3)])
+    t = F.struct(*[F.col("stored")[i].alias(c) for i, c in enumerate("xyz")])
+    return d.withColumn("stored", F.when(F.size("stored") == 7, F.struct(t.alias("t"), q.alias("q"))).cast(POSE))
+
+
 def points(messages_: DataFrame) -> DataFrame:
     """stream, seq, ts, frame, x, y, z, intensity of all PointCloud2 messages; undecodable ones are skipped. A cloud's own time 0 is replaced by the log time."""
     from collections.abc import Iterator as It
