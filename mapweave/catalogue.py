@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapweave.plans import fit_queries, live_queries, registry, space_queries, time_queries, voxel_queries  # noqa: F401  registers its queries
+from mapweave.plans import fit_queries, live_queries, map_queries, registry, space_queries, time_queries, voxel_queries, wall_queries  # noqa: F401  registers its queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
