@@ -34,6 +34,8 @@ LONGEST, LEAST, TOP, UNKNOWN = 4, 30, 2000, "und"
 #: A phrase goes if a longer candidate around it has so many hundredths of its count.
 COVERED = 80
 SHARD_KEYS, TABLE_BYTES = 1 << 20, 128 << 20
+#: Words of the corpus for each candidate that a shard is made for: there are usually fewer.
+WORDS_A_KEY = 16
 #: Bytes of text that are split at a time; entries of a task's counter or memo of words; numbers that a task looks up at a time; distinct keys that it holds.
 SPLIT_BYTES, WORDS_HELD, READ_IDS, KEYS_HELD = 1 << 20, 300_000, 1 << 20, 2 << 20
 #: Arrays that one task adds up; buckets of a shard of hashed counts, and of all shards at most.
@@ -166,34 +168,69 @@ def _table(*args) -> Table:
     return _open[1]
 
 
-def _build(keys: DataFrame, n: int, words: bool, shard_keys: int) -> tuple[str, int, int]:
-    """Writes the shards of a perfect hash over the keys (key: binary, or long) with any counts n; returns root, shards and stride."""
-    spark, shards, stride = keys.sparkSession, max(1, -(-n // shard_keys)), 2 * shard_keys + 64
+def _shard_row(shard: int, made: PerfectHash, raw: bytes, counts: bytes) -> dict:
+    return {"shard": pa.array([shard], pa.int64()), "n": pa.array([len(made.keys)], pa.int64()), "hash": pa.array([made.dump()], pa.binary()), "keys": pa.array([raw], pa.binary()), "counts": pa.array([counts], pa.binary())}
+
+
+SHARD = "shard long, n long, hash binary, keys binary, counts binary"
+
+
+def _shards_written(rows: DataFrame) -> tuple[str, int]:
+    """Writes shards in files of their own; returns where, and how many numbers a shard has at most."""
+    root = work_dir(rows.sparkSession, "phrases")
+    rows.write.option("compression", "zstd").partitionBy("shard").parquet(root)
+    stride = rows.sparkSession.read.schema("n long").parquet(root).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    return root, max(1, stride)
+
+
+def _numbers_fit(shards: int, stride: int) -> None:
     if shards * stride > NONE:
         raise ValueError("more candidates than 32-bit numbers")
-    root = work_dir(spark, "phrases")
 
-    def values(column: pa.ChunkedArray | pa.Array):
-        return column.to_pylist() if words else column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
+
+def word_table(keys: DataFrame, n: int, shard_keys: int) -> tuple[str, int, int]:
+    """The perfect hash over n words (key, n) with their counts: root, shards and stride."""
+    shards = max(1, -(-n // shard_keys))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(shard_of(values(b.column("key")), shards), pa.int64()), *b.columns], ["shard", *b.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(shard_of(b.column("key").to_pylist(), shards), pa.int64()), *b.columns], ["shard", *b.schema.names])
 
     def build(t: pa.Table) -> pa.Table:
-        mine = values(t.column("key"))
-        made = PerfectHash.of(mine)
-        if len(mine) > stride:
-            raise ValueError("a shard has too many keys")
-        counts = np.zeros(len(mine), np.int64)
-        if words:
-            counts[made.find(mine)] = t.column("n").to_numpy()
-        raw = _pack_words(made.keys) if words else made.keys.astype("<i8").tobytes()
-        return pa.table({"shard": t.column("shard")[:1], "n": pa.array([len(mine)], pa.int64()), "hash": pa.array([made.dump()], pa.binary()), "keys": pa.array([raw], pa.binary()), "counts": pa.array([counts.astype("<i8").tobytes() if words else b""], pa.binary())})
-
-    dealt = keys.mapInArrow(deal, "shard long, key binary, n long" if words else "shard long, key long")
-    rows = dealt.groupBy("shard").applyInArrow(build, "shard long, n long, hash binary, keys binary, counts binary")
-    rows.write.option("compression", "zstd").partitionBy("shard").parquet(root)
+        mine = t.column("key").to_pylist()
+        made, counts = PerfectHash.of(mine), np.zeros(len(mine), "<i8")
+        counts[made.find(mine)] = t.column("n").to_numpy()
+        return pa.table(_shard_row(t.column("shard")[0].as_py(), made, _pack_words(made.keys), counts.tobytes()))
+
+    root, stride = _shards_written(keys.mapInArrow(deal, "shard long, key binary, n long").groupBy("shard").applyInArrow(build, SHARD))
+    _numbers_fit(shards, stride)
+    return root, shards, stride
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(keys, prepend=0).astype("<i8").tobytes())
+
+
+def _unpack_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "<i8"))
+
+
+def candidate_table(found: DataFrame, tasks: int, shards: int) -> tuple[str, int, int]:
+    """The perfect hash over the distinct keys that tasks found (shard, task, counts: their keys): root, shards and stride. Keys of a shard are united in a tree."""
+
+    def unite(blobs: Iterator[bytes]) -> bytes:
+        return _pack_keys(np.unique(np.concatenate([_unpack_keys(raw) for raw in blobs])))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, raw in zip(b.column("shard").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                made = PerfectHash.of(_unpack_keys(raw))
+                row = _shard_row(shard, made, made.keys.astype("<i8").tobytes(), b"")
+                yield pa.RecordBatch.from_arrays([*row.values()], [*row])
+
+    root, stride = _shards_written(_tree(found, tasks, unite).mapInArrow(build, SHARD))
+    _numbers_fit(shards, stride)
     return root, shards, stride
 
 
@@ -364,11 +401,19 @@ def _bits(root: str, size: int) -> np.ndarray:
     return out
 
 
-def candidates(sequences: DataFrame, root: str, size: int) -> DataFrame:
-    """The distinct keys of neighbours whose bucket is full enough."""
+def candidates(sequences: DataFrame, root: str, size: int, shards: int) -> DataFrame:
+    """The keys of neighbours whose bucket is full enough, as arrays of distinct ones by task and shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, held, n = _bits(root, size), [], 0
+        bits, held, n, task = _bits(root, size), [], 0, TaskContext.get().partitionId()
+
+        def rows(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+            shard = shard_of(keys, shards)
+            order = np.argsort(shard, kind="stable")
+            which, first = np.unique(shard[order], return_index=True)
+            for s, mine in zip(which.tolist(), np.split(keys[order], first[1:]), strict=False):
+                yield _sum_rows([s], [task], [_pack_keys(mine)])
+
         for b in batches:
             for ids in _numbers(b):
                 keys = _pairs(ids)[1]
@@ -379,12 +424,12 @@ def candidates(sequences: DataFrame, root: str, size: int) -> DataFrame:
                     held = [np.unique(np.concatenate(held))]
                     n = len(held[0])
                     if n > KEYS_HELD // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0])], ["key"])
+                        yield from rows(held[0])
                         held, n = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], ["key"])
+            yield from rows(np.unique(np.concatenate(held)))
 
-    return sequences.mapInArrow(run, "key long").distinct()
+    return sequences.mapInArrow(run, SUMS)
 
 
 def counted(sequences: DataFrame, table: tuple) -> DataFrame:
@@ -470,15 +515,15 @@ def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, shard_k
     words_in_all = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = words.where("word is not null")
     key = F.concat(F.col("word").cast("binary"), F.lit(b" "), F.col("lang").cast("binary")).alias("key")
-    root, shards, stride = _build(frequent.select(key, "n"), frequent.count(), True, shard_keys)
+    root, shards, stride = word_table(frequent.select(key, "n"), frequent.count(), shard_keys)
     table = (root, root, shards, stride, True, least)
     text = F.col("key").cast("string")
     level = _frequent(spark, table).select("id", F.expr("substring(cast(key as string), instr(cast(key as string), ' ') + 1)").alias("lang"), F.substring_index(text, " ", 1).alias("phrase"), "a", F.array("a").alias("heads"), F.array("a").alias("tails"))
     path, sequences = _write(numbered(rows, table), "sequences")
     found = []
     for size in range(2, longest + 1):
-        keys = materialize(candidates(sequences, *buckets(sequences, words_in_all, least)), "candidates")
-        root, shards, stride = _build(keys, keys.count(), False, shard_keys)
+        shards, tasks = max(1, words_in_all // (WORDS_A_KEY * shard_keys)), sequences.rdd.getNumPartitions()
+        root, shards, stride = candidate_table(candidates(sequences, *buckets(sequences, words_in_all, least), shards), tasks, shards)
         sums = work_dir(spark, "sums")
         counted(sequences, (root, "", shards, stride, False, least)).write.partitionBy("shard").parquet(sums)
         table = (root, sums, shards, stride, False, least)
