@@ -15,6 +15,8 @@ import zstandard
 #: Fixed values of the format.
 MAGIC = b"\x89MCAP0\r\n"
 HEADER, FOOTER, SCHEMA, CHANNEL, MESSAGE, CHUNK, MESSAGE_INDEX, CHUNK_INDEX, STATISTICS, DATA_END = 1, 2, 3, 4, 5, 6, 7, 8, 11, 15
+#: The private record that stands over bytes no longer used; readers skip it.
+FILLER = 0x80
 #: A chunk is closed at so many bytes, or when its messages span so many nanoseconds.
 CHUNK_BYTES, CHUNK_SPAN = 4 << 20, 5_000_000_000
 
@@ -175,6 +177,55 @@ def messages(f, start: int, length: int, want: frozenset[int] | None) -> Iterato
                 yield channel, seq, log, published, c[22:]
 
 
+def text(t: str) -> bytes:
+    return struct.pack("<I", len(t.encode())) + t.encode()
+
+
+def pairs(d: dict[str, str]) -> bytes:
+    raw = b"".join(text(k) + text(v) for k, v in d.items())
+    return struct.pack("<I", len(raw)) + raw
+
+
+def record(op: int, content: bytes) -> bytes:
+    return struct.pack("<BQ", op, len(content)) + content
+
+
+@dataclass
+class Packed:
+    """A chunk that may stand anywhere: its record, the message index records by channel, its times, sizes and messages by channel."""
+
+    chunk: bytes
+    marks: list[tuple[int, bytes]]
+    low: int
+    high: int
+    packed: int
+    raw: int
+    counts: dict[int, int]
+
+    def index(self, start: int) -> bytes:
+        """The content of its chunk index record when it starts there."""
+        at, offsets = start + len(self.chunk), b""
+        for channel, mark in self.marks:
+            offsets += struct.pack("<HQ", channel, at)
+            at += len(mark)
+        return struct.pack("<QQQQI", self.low, self.high, start, len(self.chunk), len(offsets)) + offsets + struct.pack("<Q", at - start - len(self.chunk)) + text("zstd") + struct.pack("<QQ", self.packed, self.raw)
+
+
+def pack_chunk(messages_: list[tuple[int, bytes, int]], declared: dict[int, tuple[bytes, bytes]]) -> Packed:
+    """messages_: (log time, content of the message record, channel), in order. declared: content of the schema record (empty: none) and of the channel record, by channel; those used are put into the chunk."""
+    used = sorted({m[2] for m in messages_})
+    body = bytearray(b"".join(record(op, x) for c in used for op, x in zip((SCHEMA, CHANNEL), declared[c], strict=True) if x))
+    marks: dict[int, list[bytes]] = {c: [] for c in used}
+    for log, content, channel in messages_:
+        marks[channel].append(struct.pack("<QQ", log, len(body)))
+        body += record(MESSAGE, content)
+    packed = zstandard.ZstdCompressor().compress(bytes(body))
+    low, high = min(m[0] for m in messages_), max(m[0] for m in messages_)
+    chunk = record(CHUNK, struct.pack("<QQQI", low, high, len(body), zlib.crc32(body)) + text("zstd") + struct.pack("<Q", len(packed)) + packed)
+    entries = [(c, b"".join(marks[c])) for c in used]
+    return Packed(chunk, [(c, record(MESSAGE_INDEX, struct.pack("<HI", c, len(e)) + e)) for c, e in entries], low, high, len(packed), len(body), {c: len(e) for c, e in marks.items()})
+
+
 class Writer:
     """Writes chunks of zstd-compressed messages in time order, with index, statistics and summary."""
 
@@ -223,23 +274,11 @@ class Writer:
         if not self.open:
             return
         self.open.sort(key=lambda x: x[0])
-        used = sorted({x[2] for x in self.open})
-        own = [c for c in self.channels.values() if c[0] in used]
-        body = b"".join(struct.pack("<BQ", op, len(x)) + x for c in own for op, x in ((SCHEMA, c[1]), (CHANNEL, c[2])))
-        marks: dict[int, list[bytes]] = {c: [] for c in used}
-        for log, m, channel in self.open:
-            marks[channel].append(struct.pack("<QQ", log, len(body)))
-            body += struct.pack("<BQ", MESSAGE, len(m)) + m
-        packed = zstandard.ZstdCompressor().compress(body)
-        low, high = self.span
-        start = self.at
-        self._record(CHUNK, struct.pack("<QQQI", low, high, len(body), zlib.crc32(body)) + self._s("zstd") + struct.pack("<Q", len(packed)) + packed)
-        length, offsets, first = self.at - start, b"", self.at
-        for c in used:
-            offsets += struct.pack("<HQ", c, self.at)
-            entries = b"".join(marks[c])
-            self._record(MESSAGE_INDEX, struct.pack("<HI", c, len(entries)) + entries)
-        self.chunks.append(struct.pack("<QQQQI", low, high, start, length, len(offsets)) + offsets + struct.pack("<Q", self.at - first) + self._s("zstd") + struct.pack("<QQ", len(packed), len(body)))
+        made = pack_chunk(self.open, {c[0]: c[1:] for c in self.channels.values()})
+        self.chunks.append(made.index(self.at))
+        self._raw(made.chunk)
+        for _, mark in made.marks:
+            self._raw(mark)
         self.open, self.size, self.span = [], 0, None
 
     def close(self) -> None:

@@ -1,14 +1,13 @@
 """Writing streams back into recordings, and saving maps.
 
 SQLite recordings are one file with one writer, so their rows come in order through one connection, in bounded batches. MCAP files are
-written anew beside the old one and renamed: old messages stay, a generated topic's new generation gets channel metadata `generation`, and readers take the newest. Maps are saved as Parquet tables per name and version;
+appended to in place (`appending`): old messages stay, a generated topic's new generation gets channel metadata `generation`, and readers take the newest. Maps are saved as Parquet tables per name and version;
 a version counts once its marker is written, and the newest complete one is read.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import sqlite3
 import uuid
 from collections.abc import Iterable
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from mapweave.functions.work import shared_dir
 
-from . import mcap
+from . import appending
 from .recordings import quoted
 
 POSE = ["pose_x", "pose_y", "pose_z", "pose_qx", "pose_qy", "pose_qz", "pose_qw"]
@@ -71,26 +70,17 @@ def messages_of(rows: DataFrame) -> Iterable[Row]:
 
 
 def append_generation(path: str, topic: str, encoding: str, kind: str, rows: Iterable[tuple[float, bytes]]) -> int:
-    """Writes the recording anew with one more generation of a generated topic. A topic that was recorded (a channel without a generation) is refused."""
-    with open(path, "rb") as f:
-        found = mcap.index(f, os.path.getsize(path))
-        own = [c for c in found.channels.values() if c.topic == topic]
+    """Appends one more generation of a generated topic in place. A topic that was recorded (a channel without a generation) is refused."""
+    with appending.Appender(path) as a:
+        own = [c for c in a.channels.values() if c.topic == topic]
         if any("generation" not in c.metadata for c in own):
             raise ValueError(f"{topic} was recorded; it is not replaced")
-        generation = 1 + max((int(c.metadata["generation"]) for c in own), default=0)
-        with open(path + ".part", "wb") as g:
-            w = mcap.Writer(g)
-            ids = {c.id: w.channel(c.topic if "generation" not in c.metadata else f"{c.topic}\0{c.metadata['generation']}", c.encoding, c.type, c.metadata, c.topic) for c in found.channels.values()}
-            for start, length, _ in found.chunks:
-                for channel, seq, log, _, data in mcap.messages(f, start, length, None):
-                    w.write(ids[channel], seq, log, data)
-            w.flush()
-            new = w.channel(f"{topic}\0{generation}", encoding, kind, {"generation": str(generation)}, topic)
-            n = 0
-            for n, (ts, data) in enumerate(rows, 1):
-                w.write(new, n, max(0, int(ts * 1e9)), data)
-            w.close()
-    os.replace(path + ".part", path)
+        generation = 1 + max((int(float(c.metadata["generation"])) for c in own), default=0)
+        channel = a.channel(appending.Spec(topic, encoding, kind, metadata={"generation": str(generation)}))
+        n = 0
+        for n, (ts, data) in enumerate(rows, 1):
+            a.write(channel, n, max(0, int(ts * 1e9)), data)
+        a.finish()
     return n
 
 
