@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from mapweave.operators import correction as K
 from mapweave.operators import frames as R
 from mapweave.operators import mapping as M
 from mapweave.operators import temporal as T
@@ -130,3 +131,27 @@ def frame_parents(spark, sf_dir):
 
     g = points(spark, sf_dir).groupBy(F.col("p").alias("child"), F.col("s").alias("parent")).agg(F.count("*").alias("samples"), F.lit(False).alias("fixed"))
     return M.parent_of(g).select("child", "parent")
+
+
+@query(f"""WITH k AS (SELECT u, t, v FROM (SELECT *, row_number() OVER (PARTITION BY u, t ORDER BY id) AS r FROM {EV} WHERE kind = 'view') WHERE r = 1),
+n AS (SELECT u, min(t) AS a, max(t) AS b FROM {EV} WHERE kind = 'click' GROUP BY u),
+p AS (SELECT u, unnest(range(a, b + 1, {DAY})) AS t FROM n UNION SELECT k.u, k.t FROM k JOIN n ON n.u = k.u AND k.t BETWEEN a AND b UNION SELECT u, b FROM n),
+x AS (SELECT p.u, p.t, k.t AS t0, k.v AS v0 FROM p ASOF LEFT JOIN k ON p.u = k.u AND p.t >= k.t), y AS (SELECT p.u, p.t, k.t AS t1, k.v AS v1 FROM p ASOF LEFT JOIN k ON p.u = k.u AND p.t <= k.t)
+SELECT x.u, x.t, round(CASE WHEN t0 = t1 THEN v0 WHEN t0 IS NOT NULL AND t1 IS NOT NULL THEN v0 + (v1 - v0) * (CAST(x.t - t0 AS DOUBLE) / (t1 - t0)) ELSE coalesce(v0, v1) END, 5) AS x FROM x JOIN y ON y.u = x.u AND y.t = x.t""")
+def edge_samples(spark, sf_dir):
+    """Per user the correction every day between its first and last click, at every keyframe (view) between them, and at the end."""
+    e = events(spark, sf_dir)
+    keys = e.where("kind = 'view'").select("u", "t", F.col("id").alias("seq"), _pose(F.col("v"), F.lit(0.0), F.lit(0.0)))
+    spans = e.where("kind = 'click'").groupBy("u").agg(F.min("t").alias("start"), F.max("t").alias("end"))
+    d = K.correction_at(K.sample_times(spans, keys, DAY, "u"), keys, "u")
+    return d.select("u", "t", F.round("correction.t.x", 5).alias("x"))
+
+
+@query(f"""WITH s AS (SELECT *, sum(new) OVER (PARTITION BY u, kind ORDER BY t, v, id % 7) AS visit FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY u, kind ORDER BY t, v, id % 7) > {2 * DAY} THEN 1 ELSE 0 END AS new FROM {EV})),
+c AS (SELECT u, kind, visit, avg(v) AS x, avg(id % 7) AS y FROM s GROUP BY u, kind, visit), m AS (SELECT u, kind, sqrt(var_pop(x) + var_pop(y)) AS spread FROM c GROUP BY u, kind HAVING count(*) >= 2)
+SELECT u, count(*) AS markers, round(avg(spread), 6) AS spread FROM m GROUP BY u""")
+def tag_spread(spark, sf_dir):
+    """Per recording, how far the visits of a marker (a kind of event, seen again after two days) lie apart."""
+    e = events(spark, sf_dir)
+    d = e.select("u", F.col("kind").alias("marker"), "t", F.col("v").alias("x"), (F.col("id") % 7).cast("double").alias("y"), F.lit(0.0).alias("z"))
+    return K.tag_spread(d, ["u"], gap=2 * DAY).select("u", "markers", F.round("spread", 6).alias("spread"))
