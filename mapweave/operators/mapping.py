@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from mapweave.functions import geometry as G
 from mapweave.functions.work import written
 
-from .frames import POSE, path, placed, poses_at
+from .frames import POSE, deskewed, path, placed, poses_at
 from .temporal import clock_offset
 
 #: Names of world frames, in order of preference.
@@ -189,6 +189,15 @@ def world_points(points: DataFrame, poses: DataFrame, most: float | None = None)
     return d.select(*points.columns)
 
 
+def deskewed_scans(points: DataFrame, motion: DataFrame, offset: int, tolerance: int = 100_000) -> DataFrame:
+    """The points of scans that carry their own times, each moved along the sensor's motion to its scan's end, in the frame that it has there; points of scans without times stay as they are. points: as `recordings.scans` gives them. motion: t, seq, pose of the sensor. offset: added to stamps."""
+    scan = ["stream", "seq", "log"]
+    timed = points.where(F.col("offset").isNotNull() & (F.col("stamp") > 0)).withColumn("t", F.col("stamp") + offset + F.floor(F.col("offset") / 1000))
+    ends = timed.groupBy(*scan).agg(F.max("t").alias("end"))
+    moved = deskewed(timed.join(ends, scan).select(*points.columns, "t", "end"), motion, tolerance)
+    return moved.select(*points.columns).unionByName(points.where(F.col("offset").isNull() | (F.col("stamp") <= 0)))
+
+
 @dataclass
 class Map:
     """stream, placement, scans (with sensor poses), voxels (kx, ky, kz, n, x, y, z: centers)."""

@@ -27,3 +27,17 @@ def live_sessions(spark, sf_dir):
 @query("SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def live_newest(spark, sf_dir):
     return live.drained(live.newest(_stream(spark, sf_dir), ["event_type"], ["ts", "event_id"], ["event_id", "value"]))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS key, event_id AS id, round(out, 4) AS total FROM (SELECT *, sum(CASE WHEN event_type = 'view' THEN value ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_type, event_id) AS out FROM events WHERE event_type IN ('view', 'click'))
+ WHERE event_type = 'click' AND epoch_us(ts) <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 3600000000 FROM events WHERE event_type IN ('view', 'click'))""")
+def live_in_order(spark, sf_dir):
+    """Two streams of each user in order of time: views add up, a click asks for the total; what the watermark (an hour behind the newest) has not passed still waits."""
+
+    def step(state, source, t, value):  # noqa: ANN001, ANN202
+        return ((state[0] + value,), None) if source == "view" else (state, state[0])
+
+    rows = _stream(spark, sf_dir).where("event_type in ('view', 'click')")
+    rows = rows.select(F.col("user_id").cast("string").alias("k"), "ts", F.col("event_type").alias("source"), F.col("event_id").cast("long").alias("id"), F.col("value").cast("double").alias("value"))
+    d = live.drained(live.in_order(rows, "k", "1 hour", (0.0,), step), "append")
+    return d.select("key", "id", F.round("out", 4).alias("total"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from mapweave.functions import geometry as G
 from mapweave.functions import picks
+from mapweave.operators import slices as SL
 from mapweave.operators import voxels as V
 
 from .registry import EMB, PTS, events, points, query, vectors
@@ -177,3 +178,45 @@ def floor_select(spark, sf_dir):
 @query(f"SELECT o, l, p, s FROM {PTS} WHERE (nx <> 0 OR ny <> 0 OR nz <> 0) AND abs(nz) < 0.3 AND z - (CASE WHEN 6.0 <= z + 0.1 THEN 6.0 WHEN 1.0 <= z + 0.1 THEN 1.0 ELSE 1.0 END) >= 2.0")
 def wall_select(spark, sf_dir):
     return V.wall_points(points(spark, sf_dir), [1.0, 6.0], 2.0).select("o", "l", "p", "s")
+
+
+_TURNED = f"((x::DOUBLE * {_C} - y::DOUBLE * {_S}) BETWEEN -20 AND 30 AND (x::DOUBLE * {_S} + y::DOUBLE * {_C}) BETWEEN 10 AND 70)"
+
+
+@query(f"SELECT o, l, p, s FROM {PTS} WHERE z::DOUBLE BETWEEN 3 AND 7 AND {_TURNED}")
+def slice_crop(spark, sf_dir):
+    """What a slice from 2 to 7 and a storey from 3 to 9 both show of a turned map."""
+    d = points(spark, sf_dir)
+    x, y, z = (F.col(a).cast("double") for a in "xyz")
+    return d.where(SL.shown(x, y, z, 2.0, 7.0, (-20.0, 10.0, 30.0, 70.0), YAW, (3.0, 9.0))).select("o", "l", "p", "s")
+
+
+def _slice_sql(at: str) -> str:
+    return f"""SELECT cx, cy, CAST(max(value) AS INTEGER) AS value FROM (SELECT CAST(floor(x::DOUBLE / 2) AS BIGINT) AS cx, CAST(floor(y::DOUBLE / 2) AS BIGINT) AS cy,
+ CASE WHEN {at} BETWEEN 4 AND 6 THEN 2 WHEN abs(z::DOUBLE - f) <= 0.1 THEN 1 END AS value FROM (SELECT *, CASE WHEN s % 4 <> 0 THEN CAST(s % 4 AS DOUBLE) END AS f FROM {PTS})) GROUP BY cx, cy HAVING max(value) IS NOT NULL"""
+
+
+def _sliced(spark, sf_dir, follow):
+    floor = F.when(F.col("s") % 4 != 0, (F.col("s") % 4).cast("double"))  # a quarter of the points have no known floor
+    d = points(spark, sf_dir).select(*[F.col(a).cast("double").alias(a) for a in "xyz"], floor.alias("floor"))
+    return SL.raster(d, 2.0, 4.0, 6.0, follow)
+
+
+@query(_slice_sql("z::DOUBLE"))
+def slice_raster(spark, sf_dir):
+    return _sliced(spark, sf_dir, False)
+
+
+@query(_slice_sql("z::DOUBLE - f"))
+def slice_raster_follow(spark, sf_dir):
+    return _sliced(spark, sf_dir, True)
+
+
+_ALONG = "((x::DOUBLE + 5) * 0.6 + (y::DOUBLE - 10) * 0.8 + (z::DOUBLE - 5) * 0.0)"
+
+
+@query(f"""SELECT id, round(along, 6) AS along FROM (SELECT o * 8 + l AS id, {_ALONG} AS along, sqrt(power(-5 + 0.6 * {_ALONG} - x::DOUBLE, 2) + power(10 + 0.8 * {_ALONG} - y::DOUBLE, 2) + power(5 - z::DOUBLE, 2)) AS off FROM {PTS})
+ WHERE along > 0 AND off < 0.75 + along * 0.004 ORDER BY along, id LIMIT 1""")
+def ray_pick(spark, sf_dir):
+    d = points(spark, sf_dir).select((F.col("o") * 8 + F.col("l")).alias("id"), *[F.col(a).cast("double").alias(a) for a in "xyz"])
+    return SL.picked(d, (-5.0, 10.0, 5.0), (0.6, 0.8, 0.0), 0.5).select("id", F.round("along", 6).alias("along"))

@@ -81,6 +81,41 @@ def matched(rows: DataFrame, by: str, timeout_ms: int = 60_000) -> DataFrame:
     return rows.groupBy(by).applyInPandasWithState(run, "key string, scan_id long, pose_at double, dropped long", held, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def in_order(rows: DataFrame, by: str, late: str, start: tuple, step: Callable[[tuple, str, float, float], tuple[tuple, float | None]]) -> DataFrame:
+    """Several streams as one, in order of event time, through one state machine per key: (key, source, id, ts, out) for each row at which the machine says something.
+
+    rows: the key (string), ts (timestamp), source (string), id (long), value (double), of all streams together. Rows wait in the state until the watermark (`late` behind the newest) has passed them, are taken in order of (ts, source, id) and given to
+    step(state, source, seconds, value), which returns the new state (numbers, as many as start) and what it says, or None. So the result does not depend on the order of arrival as long as nothing is later than that; what is, is dropped."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, values, done = [], start, -1
+        if state.exists:
+            ts, sources, ids, numbers, values, done = state.get
+            held, values = [*zip(ts, sources, ids, numbers, strict=True)], tuple(values)
+        passed = state.getCurrentWatermarkMs() * 1000
+        done = max(done, passed)
+        for b in batches if not state.hasTimedOut else ():
+            micros = b["ts"].astype("datetime64[us]").astype("int64")
+            held += [r for r in zip(micros.tolist(), b["source"].tolist(), b["id"].tolist(), b["value"].tolist(), strict=True) if r[0] > done]
+        held.sort(key=lambda r: r[:3])
+        out = []
+        n = next((i for i, r in enumerate(held) if r[0] > passed), len(held))
+        for t, source, ident, value in held[:n]:
+            values, said = step(values, source, t / 1e6, value)
+            if said is not None:
+                out.append((key[0], source, ident, pd.Timestamp(t, unit="us"), said))
+        held = held[n:]
+        ts, sources, ids, numbers = ([r[i] for r in held] for i in range(4))
+        state.update((ts, sources, ids, numbers, list(values), done))
+        if held:
+            state.setTimeoutTimestamp(max(held[0][0] // 1000 + 1, passed // 1000 + 1))
+        yield pd.DataFrame(out, columns=["key", "source", "id", "ts", "out"])
+
+    held = "ts array<long>, source array<string>, id array<long>, value array<double>, state array<double>, done long"
+    d = rows.withWatermark("ts", late).groupBy(by)
+    return d.applyInPandasWithState(run, "key string, source string, id long, ts timestamp, out double", held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 class Broadcast:
     """Events to slow readers: a reader that falls behind by more than the capacity loses the oldest and is told how many."""
 

@@ -240,3 +240,11 @@ def test_damage_in_one_task_ends_the_read_for_all(spark, tmp_path, monkeypatch):
     assert struct.unpack_from("<B", raw, chunks[10][0]) == (mcap.CHUNK,)
     assert recordings.first_unreadable(spark, path) == chunks[10][0]
     assert sorted(r.seq for r in recordings.messages(spark, path).collect()) == list(range(10))
+
+
+def test_timed_points_are_moved_to_the_end_of_their_scan(spark):
+    schema = f"stream string, seq long, log long, stamp long, frame string, stored {frames.POSE}, offset long, x float, y float, z float"
+    rows = [("/l", 1, 9, 10 * S, "lidar", None, o * 100_000_000, 5.0, float(o), 0.0) for o in (0, 5, 10)] + [("/l", 2, 9, 11 * S, "lidar", None, None, 7.0, 0.0, 0.0)]
+    motion = spark.createDataFrame([(k * S, 0, ((float(k), 0.0, 0.0), (0.0, 0.0, 0.0, 1.0))) for k in range(9, 13)], f"t long, seq long, pose {frames.POSE}")
+    got = sorted((r.seq, r.y, round(r.x, 4)) for r in mapping.deskewed_scans(spark.createDataFrame(rows, schema), motion, 0).collect())
+    assert got == [(1, 0.0, 4.0), (1, 5.0, 4.5), (1, 10.0, 5.0), (2, 0.0, 7.0)]
