@@ -73,19 +73,19 @@ def replayed(log: DataFrame, target: str, order: list[str], removes: Column, res
 
 
 def ancestors(edges: DataFrame) -> DataFrame:
-    """(node, root, depth) of a forest of child -> parent edges of any depth, by pointer doubling. Nodes that have reached their root only carry others over it; rounds are written, so plans do not grow."""
-    top = edges.select(F.col("parent").alias("node")).distinct().join(edges.select(F.col("child").alias("node")), "node", "left_anti")
-    roots = written(top.select(F.col("node").alias("up")), "roots")
-    todo = written(edges.select(F.col("child").alias("node"), F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth")), "steps")
-    there, hops, most = todo.limit(0), 1, todo.count()
+    """(node, root, depth) of a forest of child -> parent edges of any depth, by pointer doubling: a row knows how far up it has come and whether that is a root. Rounds are written once each, so plans do not grow."""
+    child = edges.select(F.col("child").alias("node"))
+    tops = edges.select(F.col("parent").alias("node")).distinct().join(child, "node", "left_anti")
+    first = edges.select(F.col("child").alias("node"), F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"), F.lit(False).alias("done"))
+    known = written(first.unionByName(tops.select("node", F.col("node").alias("up"), F.lit(0).cast("long").alias("depth"), F.lit(True).alias("done"))), "steps")
+    there, hops, most = known.where("done"), 1, known.count()
+    todo = known.where("not done")
     while True:
-        there = there.unionByName(written(todo.join(roots, "up", "left_semi").select("node", "up", "depth"), "reached"))
-        left = written(todo.join(roots, "up", "left_anti").select("node", "up", "depth"), "open")
-        if left.isEmpty():
-            break
+        far = todo.unionByName(there).select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("done").alias("end"))
+        moved = written(todo.join(far, "up").select("node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("end").alias("done")), "steps")
+        there, todo = there.unionByName(moved.where("done")), moved.where("not done")
+        if todo.isEmpty():
+            return there.select("node", F.col("up").alias("root"), "depth")
         if hops > most:
             raise ValueError("the edges have a cycle")
-        far = left.unionByName(there).select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        moved = left.join(far, "up").select("node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
-        todo, hops = written(moved, "steps"), 2 * hops
-    return there.withColumnRenamed("up", "root").unionByName(roots.select(F.col("up").alias("node"), F.col("up").alias("root"), F.lit(0).cast("long").alias("depth")))
+        hops *= 2
