@@ -9,7 +9,7 @@ Template: `<s>`, then `<turn role=ROLE>` newline TEXT `</turn>` newline for each
 written as entities, so no control string survives inside a text and reading back is exact. The loss mask is a list of (start, length) code-point spans of the assistant texts as formatted.
 
 Defined results: null texts and roles are empty; null scores count 0; nodes whose parent is missing from their tree are roots; nodes on a cycle belong to no path; repeated
-(tree, node) rows should be numbered apart by the caller (`chains` does so); an empty table gives no rows; other columns are ignored.
+(tree, node) rows should be numbered apart by the caller (`chains` does so); very long texts are formatted whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

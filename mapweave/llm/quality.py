@@ -4,7 +4,7 @@ Statistics are computed per whole text and do not see labels, language, source o
 hashes of their ids, so any labelled document may be among them); that bound is what makes the ids safe to broadcast and the rows safe to collect. Values are binned by quantiles; trees grow level by level
 from per-bin gradient sums and are complete binary trees in flat arrays, so scoring is a fixed number of numpy gathers for a batch.
 
-Defined results: null and empty texts have all-zero statistics and a score like any other text; null labels are not learned from; ids that repeat in labels are each a row;
+Defined results: null and empty texts have all-zero statistics and a score like any other text; null labels are not learned from; ids that repeat in labels are each a row; where documents repeat a labelled id, each different text is learned from once, within the bound; very long texts are counted whole;
 without labels of both kinds every score is the share of good labels (1 without any); an empty table gives no rows.
 """
 
