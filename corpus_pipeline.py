@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that stay, with all their columns; the last returns the packed pieces. `run` writes
 each stage's result as Parquet in the shared folder and reads it again for the next.
+
+Defined results: null and empty texts are judged as any others (the classifier scores all-zero statistics; of several the one with the largest id stays); rows that repeat an id are told apart by
+their texts; very long texts are read whole and packed in pieces; an empty table gives no rows; further columns travel along to the last stage, whatever their names.
 """
 
 from __future__ import annotations
