@@ -18,11 +18,27 @@ def ranked(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
     return numbered.join(before, "__part").withColumn(name, F.col("__before") + F.col("__nth")).drop("__part", "__nth", "__before")
 
 
+def pick_all(df: DataFrame, by: list[str], value: str, indexes: dict[str, Column]) -> DataFrame:
+    """Per group, n and the values at several indexes (expressions of the group's size n) of its sorted values, a column each; nulls left out. Values are dealt over ranges of (group, value) and counted by range, so only the ranges that hold an index are ranked, and no task needs a whole group."""
+    d = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
+    dealt = written(d.repartitionByRange(*by, "__v").withColumn("__part", F.spark_partition_id()), "values")
+    own, parts = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("__part", *by).agg(F.count("*").alias("__c"))  # a row per range and group
+    counts = counts.withColumns({"__before": F.coalesce(F.sum("__c").over(parts), F.lit(0)), "n": F.sum("__c").over(own)})
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), i.cast("long").alias("i")) for name, i in indexes.items()]))
+    held = counts.select("*", wanted.alias("__w")).where((F.col("__w.i") >= F.col("__before")) & (F.col("__w.i") < F.col("__before") + F.col("__c")))
+    held = held.select(F.col("__part").alias("__p"), *[F.col(c).alias(f"__{c}") for c in by], "n", F.col("__w.name").alias("__name"), (F.col("__w.i") - F.col("__before")).alias("__at"))
+    same = F.col("__part") == F.col("__p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    rows = dealt.join(held, same).withColumn("__nth", F.row_number().over(Window.partitionBy("__part", *by, "__name").orderBy("__v")) - 1)
+    found = rows.where(F.col("__nth") == F.col("__at"))
+    return found.groupBy(*by).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("__name") == name, F.col("__v"))).alias(name) for name in indexes])
+
+
 def pick(df: DataFrame, by: list[str], value: str, index: Column, name: str = "picked") -> DataFrame:
-    """Per group, the value at `index` (an expression of the group's size n) of its sorted values; nulls left out. Sorts are external, no group is gathered in an array."""
-    w = Window.partitionBy(*by)
-    d = df.where(F.col(value).isNotNull()).withColumn("__nth", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    return d.where(F.col("__nth") == index).select(*by, "n", F.col(value).alias(name))
+    """Per group, n and the value at `index`; groups that have no such index are left out."""
+    return pick_all(df, by, value, {name: index})
 
 
 def upper_median(df: DataFrame, by: list[str], value: str, name: str = "picked") -> DataFrame:
@@ -32,4 +48,13 @@ def upper_median(df: DataFrame, by: list[str], value: str, name: str = "picked")
 
 def percentile(df: DataFrame, by: list[str], value: str, q: float, name: str = "picked") -> DataFrame:
     """sorted[round((n - 1) q)], halves away from zero."""
-    return pick(df, by, value, F.floor((F.col("n") - 1) * F.lit(q) + 0.5), name)
+    return pick(df, by, value, _at(q), name)
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """Several percentiles, a column each."""
+    return pick_all(df, by, value, {name: _at(q) for name, q in qs.items()})
+
+
+def _at(q: float) -> Column:
+    return F.floor((F.col("n") - 1) * F.lit(q) + 0.5)

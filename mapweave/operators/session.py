@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.functions.geometry import in_box, in_view
-from mapweave.functions.picks import percentile
+from mapweave.functions.picks import percentiles
 
 from . import spatial, voxels
 
@@ -187,8 +187,8 @@ def box_of(points: DataFrame, levels: list[float], voxel_cell: float = 0.12, lea
     def extent(yaw: float) -> dict:
         c, s = math.cos(yaw), math.sin(yaw)
         d = piece.select(F.lit(1).alias("all"), (F.col("x") * c + F.col("y") * s).alias("u"), (F.col("y") * c - F.col("x") * s).alias("v"), "z")
-        at = lambda a, q: percentile(d, ["all"], a, q).first()["picked"]
-        return {a: (at(a, 0.0 if a == "z" else 0.02), at(a, 0.98)) for a in "uvz"}
+        at = {a: percentiles(d, ["all"], a, {"low": 0.0 if a == "z" else 0.02, "high": 0.98}).first() for a in "uvz"}
+        return {a: (r["low"], r["high"]) for a, r in at.items()}
 
     plain, other = extent(0.0), extent(turned)
     area = lambda e: (e["u"][1] - e["u"][0]) * (e["v"][1] - e["v"][0])

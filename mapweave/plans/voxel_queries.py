@@ -132,9 +132,8 @@ def _pick_sql(src, by, value, q):
 
 @query(f"SELECT a.flag, a.picked AS low, b.picked AS high, b.picked - a.picked AS extent FROM ({_pick_sql(PTS, 'flag', 'y', 0.02)}) a JOIN ({_pick_sql(PTS, 'flag', 'y', 0.98)}) b USING (flag)")
 def trimmed_extents(spark, sf_dir):
-    d = points(spark, sf_dir)
-    low, high = (picks.percentile(d, ["flag"], "y", q, n).drop("n") for q, n in ((0.02, "low"), (0.98, "high")))
-    return low.join(high, "flag").withColumn("extent", F.col("high") - F.col("low"))
+    d = picks.percentiles(points(spark, sf_dir), ["flag"], "y", {"low": 0.02, "high": 0.98}).drop("n")
+    return d.withColumn("extent", F.col("high") - F.col("low"))
 
 
 @query("SELECT event_type AS kind, count(*) AS n, list_sort(list(value))[count(*) // 2 + 1] AS median FROM events GROUP BY event_type")

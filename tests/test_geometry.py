@@ -37,7 +37,7 @@ def test_quaternions(spark):
     assert tuple(zero) == (0, 0, 0, 1)
 
 
-def test_boxes_must_have_a_size():
+def test_boxes_must_have_a_size(spark):
     with pytest.raises(ValueError):
         G.in_box(F.lit(0), F.lit(0), F.lit(0), (0, 0, 0), (1, 0, 1))
 
@@ -256,3 +256,16 @@ def test_only_flat_normals_vote_for_wall_directions(spark):
 
     d = frame(spark, [(0.6, 0.0, 0.1), (0.3, 0.3, 0.0), (0.0, 0.9, 0.2), (0.9, 0.0, 0.4)], "nx double, ny double, nz double")
     assert [(r["bin"], r["n"]) for r in voxels.wall_angles(d).collect()] == [(0, 2)]
+
+
+def test_picks_over_ranges_equal_sorted_lists(spark):
+    """Null groups, ties, nulls, a hot group and empty tables; no window of the plan holds a whole group."""
+    rows = [(k, None if i % 11 == 0 else (i * 37 % 101) / 4) for k, n in (("a", 900), (None, 7), ("b", 1), ("c", 30)) for i in range(1, n + 1)]
+    d = frame(spark, rows, "k string, v double").repartition(5)
+    got = {r["k"]: tuple(r)[1:] for r in picks.percentiles(d, ["k"], "v", {"low": 0.02, "mid": 0.5, "top": 1.0}).collect()}
+    for k in ("a", None, "b", "c"):
+        v = sorted(x for g, x in rows if g == k and x is not None)
+        assert got[k] == (len(v), *(v[math.floor((len(v) - 1) * q + 0.5)] for q in (0.02, 0.5, 1.0)))
+    assert picks.upper_median(d.limit(0), ["k"], "v").count() == 0
+    plan = picks.upper_median(d, ["k"], "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert all("__part" in line or "__c" in line for line in plan.splitlines() if "Window" in line)
