@@ -211,7 +211,8 @@ class _Left:
             gaps = b.column("what").to_numpy(zero_copy_only=False) == SLOT
             pair = np.where(gaps, self.pair(r, nth, True), self.pair(r, nth, False))
             rank = np.where(gaps | (pair >= 0), -1, self.before[r] + nth)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("pid", "length", "seq", "place")), pa.array(pair), pa.array(rank)], ["pid", "length", "seq", "place", "pair", "rank"])
+            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in ("pid", "length", "seq", "place")), pa.array(pair), pa.array(rank)], ["pid", "length", "seq", "place", "pair", "rank"])
+            yield out.filter(pa.array(~gaps | (pair >= 0)))  # slots that no piece takes say nothing
 
 
 def _few(df: DataFrame, label: str, n: int) -> DataFrame:
