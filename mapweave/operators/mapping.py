@@ -98,10 +98,17 @@ def placed_by(scans: DataFrame, tf: DataFrame, world: str, frame: str, offset: i
     return at.join(poses_at(at, tf, world, frame, tolerance), "t", "left_semi").count()
 
 
-def stamp_offset(scans: DataFrame, tf: DataFrame, world: str, frame: str, tolerance: int) -> int:
-    """What stamps are moved by before they are looked up: 0, or the offset to the log clock where that places strictly more scans."""
+def clock_choice(scans: DataFrame, tf: DataFrame, world: str, frame: str, tolerance: int) -> tuple[int, int, int, int]:
+    """The stamps' offset to the log clock, how many scans the tree places without and with it, and what is chosen: 0, or the offset where it places strictly more scans."""
     shift = clock_offset(scans, "stamp", "log").first()["offset"]
-    return shift if shift and placed_by(scans, tf, world, frame, shift, tolerance) > placed_by(scans, tf, world, frame, 0, tolerance) else 0
+    as_is = placed_by(scans, tf, world, frame, 0, tolerance)
+    moved = placed_by(scans, tf, world, frame, shift, tolerance) if shift else as_is
+    return shift, as_is, moved, shift if moved > as_is else 0
+
+
+def stamp_offset(scans: DataFrame, tf: DataFrame, world: str, frame: str, tolerance: int) -> int:
+    """What stamps are moved by before they are looked up (`clock_choice`)."""
+    return clock_choice(scans, tf, world, frame, tolerance)[3]
 
 
 def timed_poses(scans: DataFrame, tf: DataFrame, world: str, frame: str, offset: int, tolerance: int, name: str) -> DataFrame:

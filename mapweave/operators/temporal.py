@@ -1,6 +1,7 @@
 """Time series: as-of lookups, gap sessions, scans that depend on the last kept row.
 
-Times are long microseconds. Windows are partitioned by the series' key; a lookup is one union, one sort and two running windows, never a range join.
+Times are long microseconds. Windows are partitioned by the series' key; a lookup is one union and two running windows, one per direction of time, never a range join. Frames that
+end at unboundedFollowing are evaluated anew for each row, which is quadratic in a series, so the later sample is found by a running window over descending times.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ def bracket(probes: DataFrame, samples: DataFrame, by: list[str], t: str, value:
     p = probes.select(*by, F.col(t).alias("__t"), F.struct(*[F.col(c) for c in probes.columns]).alias("__p"))
     both = s.unionByName(p, allowMissingColumns=True)
     w = Window.partitionBy(*by).orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)
-    u = Window.partitionBy(*by).orderBy("__t").rangeBetween(0, Window.unboundedFollowing)
-    d = both.withColumns({"__a": F.last("__s", ignorenulls=True).over(w), "__b": F.first("__s", ignorenulls=True).over(u)}).where("__p is not null")
+    u = Window.partitionBy(*by).orderBy(F.desc("__t")).rangeBetween(Window.unboundedPreceding, 0)
+    d = both.withColumns({"__a": F.last("__s", ignorenulls=True).over(w), "__b": F.last("__s", ignorenulls=True).over(u)}).where("__p is not null")
     return d.select("__p.*", F.col("__a.t").alias("t0"), F.col("__a.v").alias("v0"), F.col("__b.t").alias("t1"), F.col("__b.v").alias("v1"))
 
 
@@ -34,12 +35,13 @@ def ranged_bracket(probes: DataFrame, samples: DataFrame, by: list[str], t: str,
     s = samples.groupBy(*by, F.col(t).alias("__t")).agg(F.min_by(F.struct(F.col(t).alias("t"), F.col(value).alias("v")), seq).alias("__s"))
     p = probes.select(*by, F.col(t).alias("__t"), F.struct(*[F.col(c) for c in probes.columns]).alias("__p"))
     dealt = written(s.unionByName(p, allowMissingColumns=True).repartitionByRange(*by, "__t").withColumn("__part", F.spark_partition_id()), "ranges")
-    own = Window.partitionBy("__part", *by).orderBy("__t")
-    d = dealt.withColumns({"__a": F.last("__s", True).over(own.rangeBetween(Window.unboundedPreceding, 0)), "__b": F.first("__s", True).over(own.rangeBetween(0, Window.unboundedFollowing))}).where("__p is not null")
+    own = Window.partitionBy("__part", *by)
+    up, down = (own.orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("__t"), F.desc("__t")))
+    d = dealt.withColumns({"__a": F.last("__s", True).over(up), "__b": F.last("__s", True).over(down)}).where("__p is not null")
     edge = dealt.where("__s is not null").groupBy("__part", *by).agg(F.max_by("__s", "__t").alias("__last"), F.min_by("__s", "__t").alias("__first"))
     edge = dealt.select("__part", *by).distinct().join(edge, ["__part", *by], "left")
-    order = Window.partitionBy(*by).orderBy("__part")
-    edge = edge.select("__part", *by, F.last("__last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.first("__first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
+    up, down = (Window.partitionBy(*by).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("__part"), F.desc("__part")))
+    edge = edge.select("__part", *by, F.last("__last", True).over(up).alias("__before"), F.last("__first", True).over(down).alias("__after"))
     d = d.join(edge, ["__part", *by]).select("__p", F.coalesce("__a", "__before").alias("__a"), F.coalesce("__b", "__after").alias("__b"))
     return d.select("__p.*", F.col("__a.t").alias("t0"), F.col("__a.v").alias("v0"), F.col("__b.t").alias("t1"), F.col("__b.v").alias("v1"))
 

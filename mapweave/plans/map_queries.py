@@ -79,10 +79,7 @@ def scan_clock(spark, sf_dir):
     """The stamps' offset to the log clock, how many scans tf places without and with it, and what is chosen."""
     e = events(spark, sf_dir)
     s, tf = _scans(e), _lidar(e)
-    shift = T.clock_offset(s, "stamp", "log").first()["offset"]
-    counts = [M.placed_by(s, tf, "odom", "lidar", by, TOLERANCE) for by in (0, shift)]
-    row = [(shift, *counts, M.stamp_offset(s, tf, "odom", "lidar", TOLERANCE))]
-    return spark.createDataFrame(row, "shift long, as_is long, moved long, chosen long")
+    return spark.createDataFrame([M.clock_choice(s, tf, "odom", "lidar", TOLERANCE)], "shift long, as_is long, moved long, chosen long")
 
 
 @query(f"""WITH {_OFFSET}, p AS (SELECT id, stamp + shift AS t FROM {_SCANS}, o WHERE stamp > 0 UNION ALL SELECT -id, log FROM {_SCANS}), {_side('view', 'm')}
