@@ -11,15 +11,41 @@ from pyspark.sql import DataFrame
 Pose = tuple[np.ndarray, np.ndarray]  # position, unit quaternion (x, y, z, w)
 
 
-def pose_distances(t: np.ndarray, q: np.ndarray, weight: float = 0.5) -> np.ndarray:
-    """Between all pairs: metres, and weight metres per radian."""
-    d = np.linalg.norm(t[:, None] - t[None], axis=2)
-    return d + weight * 2 * np.arccos(np.minimum(np.abs(q @ q.T), 1.0))
+#: Distances that are held at once where a medoid is looked for.
+PAIRS = 1_000_000
+
+
+def pose_distances(t: np.ndarray, q: np.ndarray, weight: float = 0.5, rows: slice | np.ndarray = slice(None)) -> np.ndarray:
+    """From `rows` to all: metres, and weight metres per radian."""
+    d = np.linalg.norm(t[rows][:, None] - t[None], axis=2)
+    return d + weight * 2 * np.arccos(np.minimum(np.abs(q[rows] @ q.T), 1.0))
+
+
+def medoid(t: np.ndarray, q: np.ndarray, weight: float = 0.5) -> int:
+    """The pose with the least sum of distances to all, the first of equal ones. The distance is a metric, so a measured sum bounds all others from below (by how far they are from it), and poses whose bound is over the best sum are not measured.
+    At most PAIRS distances are held; equal poses of a large group are measured once. Poses whose sums all but agree (on a circle, say) are all measured."""
+    n = len(t)
+    if n * n <= PAIRS:
+        return int(pose_distances(t, q, weight).sum(1).argmin())
+    both, first, count = np.unique(np.c_[t, q], axis=0, return_index=True, return_counts=True)
+    t, q, m = both[:, :3], both[:, 3:], len(both)
+    low, open_, best = np.zeros(m), np.ones(m, bool), (np.inf, n)
+    rows = np.unique(np.linspace(0, m - 1, min(m, 16, max(1, PAIRS // m))).astype(int))
+    while len(rows):
+        d = pose_distances(t, q, weight, rows)
+        sums = d @ count
+        best = min(best, *zip(sums.tolist(), first[rows].tolist(), strict=True))
+        open_[rows] = False
+        for s, r in zip(sums, d, strict=True):
+            np.maximum(low, np.abs(s - n * r), out=low)
+        left = np.flatnonzero(open_ & (low <= best[0] + 1e-6 * n))  # arccos is exact to 1e-8
+        rows = left[np.argsort(low[left], kind="stable")[: min(64, max(1, PAIRS // m))]]
+    return best[1]
 
 
 def robust_pose(t: np.ndarray, q: np.ndarray, delta: float = 0.05, weight: float = 0.5, steps: int = 5) -> Pose:
     """The medoid, then reweighted means: Huber weights by the distance to the estimate; orientations by the leading eigenvector of the weighted sum of q q'."""
-    best = int(pose_distances(t, q, weight).sum(1).argmin())
+    best = medoid(t, q, weight)
     pos, rot = t[best], q[best]
     for _ in range(steps):
         r = np.linalg.norm(t - pos, axis=1) + weight * 2 * np.arccos(np.minimum(np.abs(q @ rot), 1.0))
@@ -187,63 +213,148 @@ def solve_blocks(h: list[dict[int, np.ndarray]], g: np.ndarray) -> np.ndarray:
     return out
 
 
+def solve_sparse(diag: np.ndarray, ends: np.ndarray, off: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """As `solve_blocks`, for diagonal blocks diag[i] and blocks off[e] at (i, j) = ends[e], i < j, each pair once. Nodes with at most two neighbours are eliminated many at a time (those that come before their neighbours in a fixed shuffle), so a chain takes rounds by the logarithm of its length; what is left goes one by one."""
+    n, m = g.shape
+    diag, g, live, done = diag.copy(), g.copy(), np.ones(n, bool), []
+    turn = np.random.Generator(np.random.PCG64(1)).permutation(n)
+    while True:
+        degree = np.bincount(ends.ravel(), minlength=n)
+        low = np.where(live & (degree <= 2), turn, n)
+        least = low.copy()
+        for a, b in ((0, 1), (1, 0)):
+            np.minimum.at(least, ends[:, a], low[ends[:, b]])
+        nodes = np.flatnonzero((low < n) & (low <= least))
+        if not len(nodes):
+            break
+        at = np.full(n, -1)
+        at[nodes] = np.arange(len(nodes))
+        block, near = np.zeros((2, len(nodes), m, m)), np.full((2, len(nodes)), -1)
+        for a, b in ((0, 1), (1, 0)):
+            e = np.flatnonzero(at[ends[:, a]] >= 0)
+            k, to = at[ends[e, a]], ends[e, b]
+            order = np.lexsort((to, k))
+            e, k, to = e[order], k[order], to[order]
+            place = (np.r_[False, k[1:] == k[:-1]] if len(k) else np.zeros(0, bool)).astype(int) + (near[0, k] >= 0)
+            near[place, k], block[place, k] = to, off[e] if a == 0 else off[e].transpose(0, 2, 1)
+        x = np.linalg.solve(diag[nodes], np.concatenate([g[nodes][:, :, None], block[0], block[1]], axis=2))
+        x0, xs = x[:, :, 0], (x[:, :, 1 : 1 + m], x[:, :, 1 + m :])
+        for s in (0, 1):
+            has = near[s] >= 0
+            np.add.at(g, near[s][has], -np.einsum("kji,kj->ki", block[s][has], x0[has]))
+            np.add.at(diag, near[s][has], -block[s][has].transpose(0, 2, 1) @ xs[s][has])
+        done.append((nodes, near, x0, xs))
+        live[nodes] = False
+        keep, two = live[ends].all(1), (near >= 0).all(0)
+        fill, pair = -block[0][two].transpose(0, 2, 1) @ xs[1][two], near[:, two].T
+        swap = pair[:, 0] > pair[:, 1]
+        fill[swap], pair[swap] = fill[swap].transpose(0, 2, 1), pair[swap][:, ::-1]
+        ends, off = _merged(np.concatenate([ends[keep], pair]), np.concatenate([off[keep], fill]))
+    out = np.zeros_like(g)
+    rest = np.flatnonzero(live)
+    if len(rest):
+        at = np.full(n, -1)
+        at[rest] = np.arange(len(rest))
+        h = [{k: diag[i]} for k, i in enumerate(rest)]
+        for (i, j), b in zip(at[ends], off, strict=True):
+            h[i][j], h[j][i] = b, b.T
+        out[rest] = solve_blocks(h, g[rest])
+    for nodes, near, x0, xs in reversed(done):
+        out[nodes] = x0 - sum(np.where((near[s] >= 0)[:, None], np.einsum("kij,kj->ki", xs[s], out[near[s]]), 0.0) for s in (0, 1))
+    return out
+
+
+def _merged(ends: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of the same place added up."""
+    if not len(ends):
+        return ends.reshape(0, 2), blocks
+    pairs, to = np.unique(ends, axis=0, return_inverse=True)
+    out = np.zeros((len(pairs), *blocks.shape[1:]))
+    np.add.at(out, to.ravel(), blocks)
+    return pairs, out
+
+
+def _rotations(v: np.ndarray) -> np.ndarray:
+    """`rotation` of many."""
+    angle = np.linalg.norm(v, axis=1)
+    x, y, z = (v / np.maximum(angle, 1e-12)[:, None]).T
+    o = np.zeros_like(x)
+    m = np.stack([o, -z, y, z, o, -x, -y, x, o], 1).reshape(-1, 3, 3)
+    out = np.eye(3) + np.sin(angle)[:, None, None] * m + (1 - np.cos(angle))[:, None, None] * (m @ m)
+    out[angle < 1e-12] = np.eye(3)
+    return out
+
+
+def _log_rotations(r: np.ndarray) -> np.ndarray:
+    """`log_rotation` of many."""
+    angle = np.arccos(np.clip((np.trace(r, axis1=1, axis2=2) - 1) / 2, -1, 1))
+    v = np.stack([r[:, 2, 1] - r[:, 1, 2], r[:, 0, 2] - r[:, 2, 0], r[:, 1, 0] - r[:, 0, 1]], 1)
+    small = angle < 1e-9
+    return v * np.where(small, 0.5, angle / np.where(small, 1.0, 2 * np.sin(angle)))[:, None]
+
+
 def pose_graph(poses: list[Pose3], factors: list[tuple[int, int, Pose3, np.ndarray]], steps: int = 20, huber: float = np.inf) -> list[Pose3]:  # noqa: F821
-    """Levenberg-Marquardt over poses (rotation matrix, position); factor (i, j, measured pose of j in i, 6 x 6 information: rotation, then translation). Node 0 is fixed."""
-    n, damp = len(poses), 1e-4
+    """Levenberg-Marquardt over poses (rotation matrix, position); factor (i, j, measured pose of j in i, 6 x 6 information: rotation, then translation). Node 0 is fixed. All factors are worked on at once."""
+    if len(poses) < 2 or not factors:
+        return poses
+    damp, n = 1e-4, len(poses) - 1
+    now_at = np.array([p[0] for p in poses], float), np.array([p[1] for p in poses], float)
+    i, j = (np.array([f[c] for f in factors]) for c in (0, 1))
+    back, there, info = np.array([f[2][0] for f in factors], float).transpose(0, 2, 1), np.array([f[2][1] for f in factors], float), np.array([f[3] for f in factors], float)
+    turn = lambda m, v: np.einsum("kij,kj->ki", m, v)
 
-    def residual(first, second, f) -> np.ndarray:
-        (ri, ti), (rj, tj), (rm, tm) = first, second, f[2]
-        return np.r_[log_rotation(rm.T @ ri.T @ rj), rm.T @ (ri.T @ (tj - ti) - tm)]
+    def residual(ri, ti, rj, tj) -> np.ndarray:
+        inv = ri.transpose(0, 2, 1)
+        return np.c_[_log_rotations(back @ inv @ rj), turn(back, turn(inv, tj - ti) - there)]
 
-    def cost(at) -> float:
-        out = 0.0
-        for f in factors:
-            e = residual(at[f[0]], at[f[1]], f)
-            s = np.sqrt(e @ f[3] @ e)
-            out += s * s if s <= huber else 2 * huber * s - huber * huber
-        return out
+    def ends(at) -> list[np.ndarray]:
+        return [at[0][i], at[1][i], at[0][j], at[1][j]]
+
+    def sizes(e) -> np.ndarray:
+        return np.sqrt(np.einsum("ki,kij,kj->k", e, info, e))
 
-    def moved(at, step):
-        return [at[0], *[(r @ rotation(step[6 * k : 6 * k + 3]), t + step[6 * k + 3 : 6 * k + 6]) for k, (r, t) in enumerate(at[1:])]]
+    def cost(at) -> float:
+        s = sizes(residual(*ends(at)))
+        return float(np.where(s <= huber, s * s, 2 * min(huber, 1e300) * s - min(huber, 1e150) ** 2).sum())
 
-    now = cost(poses)
+    now = cost(now_at)
     for _ in range(steps):
-        h, g = [{k: np.zeros((6, 6))} for k in range(n - 1)], np.zeros((n - 1, 6))
-        for f in factors:
-            ends = [poses[f[0]], poses[f[1]]]
-            e = residual(*ends, f)
-            s = np.sqrt(e @ f[3] @ e)
-            w = f[3] * (1.0 if s <= huber else huber / s)
-            blocks = []
-            for side, node in enumerate(f[:2]):
-                if node == 0:
-                    continue
-                jac = np.empty((6, 6))
-                for c in range(6):
-                    d = np.zeros(6)
-                    d[c] = 1e-6
-                    other = list(ends)
-                    other[side] = (poses[node][0] @ rotation(d[:3]), poses[node][1] + d[3:])
-                    jac[:, c] = (residual(*other, f) - e) / 1e-6
-                blocks.append((node - 1, jac))
-            for a, ja in blocks:
-                g[a] -= ja.T @ w @ e
-                for b, jb in blocks:
-                    h[a][b] = h[a].get(b, 0) + ja.T @ w @ jb
-        for k in range(n - 1):
-            h[k][k] = h[k][k] + damp * np.diag(np.diag(h[k][k]) + 1e-9)
-        step = solve_blocks(h, g).ravel()
-        new = moved(poses, step)
+        own = ends(now_at)
+        e = residual(*own)
+        w = info * np.minimum(1.0, huber / np.maximum(sizes(e), 1e-300))[:, None, None]
+        jac = np.empty((2, len(i), 6, 6))
+        for side in (0, 1):
+            for c in range(6):
+                d = np.zeros(6)
+                d[c] = 1e-6
+                other = list(own)
+                other[2 * side], other[2 * side + 1] = own[2 * side] @ rotation(d[:3]), own[2 * side + 1] + d[3:]
+                jac[side, :, :, c] = (residual(*other) - e) / 1e-6
+        h, g = np.zeros((n + 1, 6, 6)), np.zeros((n + 1, 6))
+        left = [jac[s].transpose(0, 2, 1) @ w for s in (0, 1)]
+        for s, node in ((0, i), (1, j)):
+            np.add.at(g, node, -turn(left[s], e))
+            np.add.at(h, node, left[s] @ jac[s])
+        cross, pair, twice = left[0] @ jac[1], np.stack([i, j], 1), i == j
+        np.add.at(h, i[twice], cross[twice] + cross[twice].transpose(0, 2, 1))
+        swap = i > j
+        cross[swap], pair[swap] = cross[swap].transpose(0, 2, 1), pair[swap][:, ::-1]
+        free = (pair[:, 0] > 0) & ~twice
+        places, off = _merged(pair[free] - 1, cross[free])
+        h, g = h[1:], g[1:]
+        h[:, range(6), range(6)] += damp * (h[:, range(6), range(6)] + 1e-9)
+        step = solve_sparse(h, places, off, g)
+        new = np.concatenate([now_at[0][:1], now_at[0][1:] @ _rotations(step[:, :3])]), np.concatenate([now_at[1][:1], now_at[1][1:] + step[:, 3:]])
         if (then := cost(new)) < now:
             done = now - then < 1e-10 * max(now, 1e-12)
-            poses, now, damp = new, then, damp / 3
+            now_at, now, damp = new, then, damp / 3
             if done:
                 break
         else:
             damp *= 5
             if damp > 1e8:
                 break
-    return poses
+    return [*zip(*now_at, strict=True)]
 
 
 Pose3 = tuple[np.ndarray, np.ndarray]
