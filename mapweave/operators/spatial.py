@@ -1,7 +1,7 @@
 """Neighbour joins and components over points, by cell keys and equi joins; no nested loops.
 
 A radius join keys both sides by cells of that radius, explodes one side to the 27 cells around, joins on the cell and filters by distance. k nearest
-neighbours repeat that with a growing radius for the points that have not k yet, so the answer is exact for any spread of points.
+neighbours begin with a radius that fits the density and repeat that with a growing one for the places that have not k yet, so the answer is exact for any spread of points.
 """
 
 from __future__ import annotations
@@ -42,8 +42,21 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, axes: str = "x
     return a.join(b, keys).withColumn("distance", F.sqrt(square)).where(F.col("distance") <= radius).select("id", "other", "distance")
 
 
+def fitting_radius(points: DataFrame, most: float, axes: str, wanted: int) -> float:
+    """`most`, or a smaller cell size at which a point shares its cell with no more than about twice `wanted` points (itself included) on average. One count by cell for each size tried; what lies in a line or a plane takes a few more."""
+    limit = 2 * wanted
+    while True:
+        n = cells(points, most, axes).groupBy(*[f"c{a}" for a in axes]).agg(F.count("*").alias("n"))
+        share = n.agg((F.sum(F.col("n").cast("double") * F.col("n")) / F.sum("n")).alias("m")).first()["m"]
+        if share is None or share <= limit:
+            return most
+        most *= max((limit / share) ** (1 / len(axes)) * 0.99, 1 / 64)
+
+
 def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, axes: str = "xyz", skip_self: bool = True, most: float | None = None) -> DataFrame:
-    """(id, other, distance, rank): the k nearest others by (distance, id). Points without k within the radius try twice that, up to `most`, or until the radius spans the data."""
+    """(id, other, distance, rank): the k nearest others by (distance, id). Places without k within the radius try twice that, up to `most`, or until the radius spans the data; dense clouds begin with less than `radius`, so pairs grow with the points, not with their square.
+
+    Neighbours are looked for once per place: of the others at one place only the first k by id (one more where a point may meet itself) can be among the k nearest of anyone, so copies are not paired with each other."""
     if most is None:
         ends = right.agg(*[(F.max(a) - F.min(a)).alias(a) for a in axes]).first()
         low = left.agg(*[f(a).alias(f"{n}{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))]).first()
@@ -52,22 +65,28 @@ def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, axes: str
             most = radius
         else:
             most = sum((max(low[f"hi{a}"], far[f"hi{a}"]) - min(low[f"lo{a}"], far[f"lo{a}"])) ** 2 for a in axes) ** 0.5 + radius
-    out, left = None, left.select("id", *axes)
+    wanted = k + 1 if skip_self else k
+    first = Window.partitionBy(*axes).orderBy("id")
+    others = right.where("id is not null").select("id", *axes).withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= wanted).drop("__r")
+    others = checkpointed(others)
+    radius = fitting_radius(others, min(radius, most), axes, wanted)
+    out, at = None, checkpointed(left.select(*axes).distinct().withColumn("id", F.struct(*axes)))
     while True:
-        found = radius_join(left, right, radius, axes)
-        if skip_self:
-            found = found.where("id <> other")
         w = Window.partitionBy("id").orderBy("distance", "other")
-        ranked = checkpointed(found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
-        full = ranked.groupBy("id").agg(F.count("*").alias("__n")).where(F.col("__n") >= k)
-        done = ranked if radius >= most else ranked.join(full.select("id"), "id", "left_semi")
+        found = radius_join(at, others, radius, axes).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= wanted)
+        near = checkpointed(found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("distance", "other"))).alias("near")))  # at most `wanted` each
+        full = near.where(F.size("near") >= wanted)
+        done = near if radius >= most else full
         out = done if out is None else out.unionByName(done)
         if radius >= most:
-            return out
-        left = checkpointed(left.join(full.select("id"), "id", "left_anti"))
-        if left.isEmpty():
-            return out
+            break
+        at = checkpointed(at.join(full.select("id"), "id", "left_anti"))
+        if at.isEmpty():
+            break
         radius = min(2 * radius, most)
+    d = left.select("id", *axes).join(out.select("id.*", "near"), [*axes])
+    own = F.filter("near", lambda p: p["other"] != F.col("id")) if skip_self else F.col("near")
+    return d.select("id", F.posexplode(F.slice(own, 1, k)).alias("rank", "p")).select("id", "p.other", "p.distance", (F.col("rank") + 1).alias("rank"))
 
 
 def mean_distances(points: DataFrame, k: int, radius: float) -> DataFrame:
@@ -133,8 +152,7 @@ def covariance(points: DataFrame, by: list[str], axes: str = "xyz") -> DataFrame
 
 def normals(points: DataFrame, radius: float, k: int = 24, least: int = 5) -> DataFrame:
     """(id, nx, ny, nz): the direction of least spread of up to k neighbours within radius (the point included), turned upward; zeros for fewer than `least`."""
-    near = radius_join(points, points, radius)
-    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))).where(F.col("rank") <= k)
+    near = nearest(points, points, k, radius, skip_self=False, most=radius)
     near = near.join(points.select(F.col("id").alias("other"), "x", "y", "z"), "other")
     cov = covariance(near, ["id"])
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from mapweave.operators import frames, temporal
+from mapweave.operators import fits, frames, spatial, temporal
 
 POSE = frames.POSE
 
@@ -28,3 +28,52 @@ def test_long_series_against_search(spark):
     got = {r["id"]: (r["t0"], r["t1"]) for r in temporal.ranged_bracket(p, s, ["k"], "t", "v", "seq").collect()}
     a, b = np.searchsorted(times, probes, "right") - 1, np.searchsorted(times, probes, "left")
     assert got == {i: (int(times[a[i]]) if a[i] >= 0 else None, int(times[b[i]]) if b[i] < len(times) else None) for i in range(len(probes))}
+
+
+def test_sparse_solve_and_long_chain():
+    rng = np.random.default_rng(2)
+    pairs = np.array(sorted({(k, k + 1) for k in range(59)} | {(3, 40), (10, 50), (10, 30), (0, 59)}))
+    a, off = np.zeros((60, 3, 60, 3)), []
+    for i, j in pairs:
+        m = rng.normal(size=(3, 6))
+        m = (m.T @ m).reshape(2, 3, 2, 3)
+        for u, x in enumerate((i, j)):
+            for v, y in enumerate((i, j)):
+                a[x, :, y] += m[u, :, v]
+        off.append(m[0, :, 1])
+    a += np.eye(180).reshape(60, 3, 60, 3)
+    g = rng.normal(size=(60, 3))
+    got = fits.solve_sparse(np.array([a[k, :, k] for k in range(60)]), pairs, np.array(off), g)
+    assert np.allclose(got.ravel(), np.linalg.solve(a.reshape(180, 180), g.ravel()))
+    # a chain takes few rounds: 20,000 nodes at once
+    n = 20_000
+    x = fits.solve_sparse(np.full((n, 1, 1), 3.0), np.c_[np.arange(n - 1), np.arange(1, n)], np.full((n - 1, 1, 1), -1.0), np.ones((n, 1)))
+    assert np.isclose(x[n // 2, 0], 1.0)
+
+
+def test_medoid_measures_few_pairs(monkeypatch):
+    rng = np.random.default_rng(3)
+    t = np.c_[rng.gamma(1, 0.4, 3000), rng.random(3000), np.zeros(3000)]
+    t = np.r_[t, t[:500]]  # equal poses
+    q = np.c_[np.zeros((len(t), 2)), np.sin(t[:, 1] / 3), np.cos(t[:, 1] / 3)]
+    want, held, whole = int(fits.pose_distances(t, q).sum(1).argmin()), [], fits.pose_distances
+    monkeypatch.setattr(fits, "pose_distances", lambda *a: held.append(whole(*a)) or held[-1])
+    assert fits.medoid(t, q) == want
+    assert sum(d.size for d in held) < len(t) ** 2 / 2 and max(d.size for d in held) <= fits.PAIRS
+
+
+def test_neighbours_of_a_dense_cloud_with_copies(spark, monkeypatch):
+    """Every pair within 0.1 would be millions here."""
+    rng = np.random.default_rng(4)
+    p = np.r_[rng.normal(size=(2000, 3)) * 0.01, np.zeros((2000, 3)), [[5.0, 0, 0], [5.0, 0, 0]]]
+    d = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "id long, x double, y double, z double")
+    pairs, join = [], spatial.radius_join
+    monkeypatch.setattr(spatial, "radius_join", lambda *a: pairs.append(join(*a).count()) or join(*a))
+    got = {}
+    for r in spatial.nearest(d, d, 4, 0.1).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = r["other"]
+    for i in [*range(0, 4002, 97), 4000, 4001]:
+        away = np.sqrt(((p - p[i]) ** 2).sum(1))
+        order = [int(j) for j in np.lexsort((np.arange(len(p)), away)) if j != i][:4]
+        assert [got[i][r] for r in (1, 2, 3, 4)] == order
+    assert len(got) == len(p) and sum(pairs) < 100 * len(p)
