@@ -36,6 +36,18 @@ def pick_all(df: DataFrame, by: list[str], value: str, indexes: dict[str, Column
     return found.groupBy(*by).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("__name") == name, F.col("__v"))).alias(name) for name in indexes])
 
 
+def first_rows(df: DataFrame, by: list[str], order: list[str], wanted: Column) -> DataFrame:
+    """Per group the first rows in the order, as many as `wanted` (an expression of the group's size n) says. Rows are dealt over ranges of (group, order) and counted by range: ranges before the cut are taken as they are, only the one that it falls into is ranked, and no task needs a whole group."""
+    dealt = written(df.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()), "first-rows")
+    own, parts = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("__part", *by).agg(F.count("*").alias("__c"))  # a row per range and group
+    counts = counts.withColumns({"__before": F.coalesce(F.sum("__c").over(parts), F.lit(0)), "n": F.sum("__c").over(own)})
+    left = written(counts.select("__part", *by, "__c", (wanted - F.col("__before")).alias("__left")).where("__left > 0"), "cuts")
+    rows = dealt.join(left, ["__part", *by])
+    cut = rows.where("__left < __c").withColumn("__nth", F.row_number().over(Window.partitionBy("__part", *by).orderBy(*order))).where("__nth <= __left")
+    return rows.where("__left >= __c").select(*df.columns).unionByName(cut.select(*df.columns))
+
+
 def pick(df: DataFrame, by: list[str], value: str, index: Column, name: str = "picked") -> DataFrame:
     """Per group, n and the value at `index`; groups that have no such index are left out."""
     return pick_all(df, by, value, {name: index})

@@ -4,7 +4,8 @@ All strokes are done at once, keyed by `wall`: points meet the strokes whose ban
 its thickness and middle are measured (`cores`), it is fitted again on the wall around it; heights come from bins a voxel long (`stretches`, `doorways`, `extents`), the slab from samples half a voxel apart; what stands beside the slab goes, unless it carries on past the
 band's side (`carrying_on`). Only voxels whose column is in the band are removed or added.
 
-What is held in a window is one wall's: no more than its band has. Ties: equal distances to a line by id, equally full bins by the nearer to the line, then the lower one. Distances that decide an order are compared at 1e-9, and a
+Windows are over a wall's columns or bins, never over its points: the closest points are cut off by ranges (`picks.first_rows`). Tables of a row per wall are written before points are joined with them, so that their size is known and they are sent to the points:
+else few walls mean few tasks, as AQE sends no table that leaves most partitions empty. Ties: equal distances to a line by id, equally full bins by the nearer to the line, then the lower one. Distances that decide an order are compared at 1e-9, and a
 column center on the band's edge is inside.
 """
 
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapweave.functions import geometry as G
+from mapweave.functions.picks import first_rows
 from mapweave.functions.work import written
 
 from .spatial import around
@@ -54,11 +56,9 @@ def _axis(d: DataFrame, by: list[str]) -> DataFrame:
 def trimmed_axis(points: DataFrame, by: list[str], rounds: int = 2, least: int = 4) -> DataFrame:
     """Per group the principal axis of x, y: mean (ox, oy), direction (dx, dy), ratio of the spreads, n points of the last fit; fitted again `rounds` times on the closest n * 6 div 10 (`least` at least) of all. points: by, id, x, y."""
     axis = _axis(points, by)
-    order = Window.partitionBy(*by).orderBy("off", "id")
     for _ in range(rounds):
-        near = points.join(axis.select(*by, "ox", "oy", "dx", "dy"), by).withColumn("off", F.round(F.abs(across("x", "y")), 9))
-        near = near.withColumns({"nth": F.row_number().over(order), "all": F.count("*").over(Window.partitionBy(*by))})
-        axis = _axis(near.where(F.col("nth") <= F.greatest(F.expr("all * 6 div 10"), F.lit(least))).select(*by, "x", "y"), by)
+        near = points.join(written(axis.select(*by, "ox", "oy", "dx", "dy"), "axes"), by).withColumn("off", F.round(F.abs(across("x", "y")), 9)).select(*by, "id", "x", "y", "off")
+        axis = _axis(first_rows(near, by, ["off", "id"], F.greatest(F.expr("n * 6 div 10"), F.lit(least))), by)
     return axis
 
 
@@ -125,6 +125,7 @@ def near_points(points: DataFrame, strokes: DataFrame, voxel: float) -> DataFram
     x, y = at(F.col("i") - MARGIN, F.col("j") - F.col("half") - MARGIN)
     beside = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     cells = cells.select("wall", F.floor(x).alias("gx"), F.floor(y).alias("gy"), beside.alias("by")).select("wall", (F.col("gx") + F.col("by.i")).alias("gx"), (F.col("gy") + F.col("by.j")).alias("gy")).distinct()
+    cells = written(cells, "cells")
     p = points.select("id", *[F.col(a).cast("double").alias(a) for a in "xyz"], *[G.voxel_key(F.col(a), voxel).alias(f"k{a}") for a in "xyz"])
     d = p.withColumns({"gx": F.floor("x"), "gy": F.floor("y")}).join(cells, ["gx", "gy"]).join(s, "wall").where(_in_band(F.col("x"), F.col("y"), MARGIN))
     return d.select("wall", "id", "x", "y", "z", "kx", "ky", "kz", _in_band(_center("kx", voxel), _center("ky", voxel)).alias("selected"))
@@ -239,7 +240,7 @@ def straighten(points: DataFrame, strokes: DataFrame, voxel: float, floor_of: fl
     walls = written(wall_points(near, strokes, column_floors(columns, near, voxel, floor_of), voxel), "wallish")
     # 1. the line, from the band's voxels, then from the wall around it
     hint = walls.where("selected")
-    enough = hint.groupBy("wall").count().where("count >= 8").select("wall")
+    enough = written(hint.groupBy("wall").count().where("count >= 8").select("wall"), "enough")
     drawn = _drawn(strokes).join(enough, "wall", "left_semi")
     snap = F.when(F.col("length") < 1.5, SNAP_SHORT).otherwise(SNAP)
     hints = drawn.select("wall", F.col("dx").alias("hx"), F.col("dy").alias("hy"), snap.alias("snap"), "thickness", F.when(F.col("length") < 1.0, F.lit(True)).alias("forced"))
@@ -250,7 +251,7 @@ def straighten(points: DataFrame, strokes: DataFrame, voxel: float, floor_of: fl
         return line.join(strokes.select("wall", "from_x", "from_y", "to_x", "to_y", "width"), "wall").withColumns({"start": F.least(a, b), "end": F.greatest(a, b)})
 
     t, d = along("x", "y"), across("x", "y")
-    around_it = walls.join(span(first), "wall").where(t.between(F.col("start") - MARGIN, F.col("end") + MARGIN) & (F.abs(d) <= F.col("half") + 2 * voxel))
+    around_it = walls.join(written(span(first), "spans"), "wall").where(t.between(F.col("start") - MARGIN, F.col("end") + MARGIN) & (F.abs(d) <= F.col("half") + 2 * voxel))
     again = hints.drop("hx", "hy", "forced").join(first.select("wall", F.col("dx").alias("hx"), F.col("dy").alias("hy"), "forced"), "wall")
     second = lines(around_it.select("wall", "id", "x", "y"), again, voxel)
     names = ["ox", "oy", "dx", "dy", "half"]
@@ -258,7 +259,7 @@ def straighten(points: DataFrame, strokes: DataFrame, voxel: float, floor_of: fl
     agree = F.abs(F.col("a.dx") * F.col("b.dx") + F.col("a.dy") * F.col("b.dy")) >= math.cos(math.radians(OVERRULED))
     line = both.select("wall", F.when(agree, F.col("b")).otherwise(F.col("a")).alias("l")).select("wall", "l.*")
     line = span(line)
-    line = line.withColumn("half", F.least("half", F.greatest(F.floor(F.col("width") / 2 / voxel), F.lit(0.5)) * voxel)).select("wall", *names, "start", "end")
+    line = written(line.withColumn("half", F.least("half", F.greatest(F.floor(F.col("width") / 2 / voxel), F.lit(0.5)) * voxel)).select("wall", *names, "start", "end"), "both-lines")
     # 2. free ends: the last voxels of the core
     core = walls.join(line, "wall").where((F.abs(d) <= F.col("half") + EDGE) & t.between(F.col("start"), F.col("end"))).groupBy("wall").agg(F.min(t).alias("data_start"), F.max(t).alias("data_end"))
     line = written(line.join(core, "wall").withColumns({"slab_start": F.greatest(F.col("data_start") - voxel / 2, F.col("start")), "slab_end": F.least(F.col("data_end") + voxel / 2, F.col("end")), "bins": F.greatest(F.ceil(F.round((F.col("end") - F.col("start")) / voxel, 9)), F.lit(1)).cast("int")}), "walls")
@@ -294,5 +295,5 @@ def straighten(points: DataFrame, strokes: DataFrame, voxel: float, floor_of: fl
     going_on = carrying_on(beside.where("off").select("wall", "kx", "ky").distinct(), full, strokes, voxel).withColumn("off", F.lit(True))
     removed = beside.join(going_on, ["wall", "kx", "ky", "off"], "left_anti").select("wall", "id")
     # 6. what comes: voxels of the slab that nothing occupies
-    added = slab.join(near.select("wall", "kx", "ky", "kz"), ["wall", "kx", "ky", "kz"], "left_anti").join(line.select("wall", (-F.col("dy")).alias("nx"), F.col("dx").alias("ny")), "wall")
+    added = slab.join(near.select("wall", "kx", "ky", "kz").distinct(), ["wall", "kx", "ky", "kz"], "left_anti").join(line.select("wall", (-F.col("dy")).alias("nx"), F.col("dx").alias("ny")), "wall")
     return removed, added.select("wall", *[G.voxel_center(F.col(f"k{a}"), voxel).alias(a) for a in "xyz"], "nx", "ny", F.lit(0.0).alias("nz"))
