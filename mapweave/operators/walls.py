@@ -21,6 +21,7 @@ from mapweave.functions import geometry as G
 from mapweave.functions.picks import first_rows
 from mapweave.functions.work import written
 
+from .profiles import profiles
 from .spatial import around
 
 #: Read this far around a band; tolerance at its edge; how far past the side something must carry on.
@@ -163,44 +164,14 @@ def wall_points(near: DataFrame, strokes: DataFrame, floors: DataFrame, voxel: f
 
 
 def doorways(stretches: DataFrame, voxel: float, least: float = 0.6, high: float = 0.5) -> DataFrame:
-    """wall, first, last: runs of open bins inside a wall, at least `least` long. A bin is open if it holds nothing or begins more than `high` over where the wall usually starts (the lower quartile of all bins' lows, or its own bottom if that is higher). stretches: wall, bin, bottom, low, with a row for every bin."""
-    held = stretches.where(F.col("low").isNotNull() & F.col("bottom").isNotNull())
-    nth = Window.partitionBy("wall").orderBy("low", "bin")
-    lows = held.withColumns({"nth": F.row_number().over(nth) - 1, "n": F.count("*").over(Window.partitionBy("wall"))})
-    usual = lows.where("nth = n div 4").select("wall", F.col("low").alias("usual"))
-    d = stretches.join(usual, "wall", "left")
-    start = F.greatest(F.coalesce("usual", "bottom"), "bottom")
-    is_open = F.col("bottom").isNull() | F.col("low").isNull() | (F.col("low") - start > math.floor(high / voxel + 0.5))
-    d = d.withColumns({"open": is_open, "most": F.max("bin").over(Window.partitionBy("wall"))}).where("open")
-    runs = d.withColumn("run", F.col("bin") - F.row_number().over(Window.partitionBy("wall").orderBy("bin"))).groupBy("wall", "run").agg(F.min("bin").alias("first"), F.max("bin").alias("last"), F.first("most").alias("most"))
-    inside = (F.col("first") > 0) & (F.col("last") < F.col("most"))
-    return runs.where(inside & (F.round((F.col("last") - F.col("first") + 1) * voxel, 9) >= least)).select("wall", "first", "last")
-
-
-def window_median(c: str, reach: int) -> Column:
-    """The upper median of the known values of the bins up to `reach` away."""
-    near = F.sort_array(F.collect_list(c).over(Window.partitionBy("wall").orderBy("bin").rangeBetween(-reach, reach)))
-    return F.when(F.size(near) > 0, F.element_at(near, (F.floor(F.size(near) / 2) + 1).cast("int")))
+    """wall, first, last: runs of open bins inside a wall, at least `least` long. A bin is open if it holds nothing or begins more than `high` over where the wall usually starts (the lower quartile of all bins' lows, or its own bottom if that is higher). stretches: wall, bin, bottom, low, high, with a row for every bin."""
+    d = profiles(stretches, voxel, least, high).where(F.col("bin") == F.col("first"))
+    return d.select("wall", *[F.col(c).cast(stretches.schema["bin"].dataType).alias(c) for c in ("first", "last")])
 
 
 def extents(stretches: DataFrame, voxel: float) -> DataFrame:
     """wall, bin, bottom, top of the slab: from the bin's own bottom, or the median one around, to the median high around; in a doorway from the median low of its bins. A bin without takes the nearest one's, the lower first. stretches: wall, bin, bottom, low, high, with a row for every bin; bottom is null where no floor is known."""
-    level = math.floor(0.4 / voxel + 0.5)
-    some = lambda c: F.when(F.col("bottom").isNotNull(), F.col(c))
-    d = stretches.select("wall", "bin", "bottom", some("low").alias("low"), some("high").alias("high")).withColumns({"tops": window_median("high", level), "bottoms": window_median("bottom", level)})
-    doors = doorways(stretches, voxel)
-    d = d.join(doors.withColumn("bin", F.explode(F.sequence("first", "last"))).select("wall", "bin", F.col("first").alias("door")), ["wall", "bin"], "left")
-    lows = d.where("door is not null and low is not null").groupBy("wall", "door").agg(F.sort_array(F.collect_list("low")).alias("lows"))
-    header = lows.select("wall", "door", F.element_at("lows", (F.floor(F.size("lows") / 2) + 1).cast("int")).alias("header"))
-    d = d.join(header, ["wall", "door"], "left")
-    low = F.when(F.col("door").isNotNull(), F.col("header")).otherwise(F.coalesce("bottom", "bottoms"))
-    d = d.select("wall", "bin", F.when(low.isNotNull() & F.col("tops").isNotNull(), F.struct(F.col("bin").alias("at"), low.alias("bottom"), F.col("tops").alias("top"))).alias("own"))
-    side = Window.partitionBy("wall").orderBy("bin")
-    before = F.last("own", True).over(side.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("own", True).over(side.rowsBetween(0, Window.unboundedFollowing))
-    d = d.select("wall", "bin", before.alias("before"), after.alias("after"))
-    use = F.when(F.col("after").isNull() | (F.col("bin") - F.col("before.at") <= F.col("after.at") - F.col("bin")), F.col("before")).otherwise(F.col("after"))
-    return d.withColumn("use", use).where("use is not null").select("wall", "bin", F.col("use.bottom").alias("bottom"), F.col("use.top").alias("top"))
+    return profiles(stretches, voxel, 0.6, 0.5).where("bottom is not null").select("wall", "bin", "bottom", "top")
 
 
 # ---- what carries on past the band ----

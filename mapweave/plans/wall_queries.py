@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mapweave.operators import boxes as B
@@ -51,11 +52,17 @@ r AS (SELECT wall, min(bin) AS first, max(bin) AS last, any_value(most) AS most
 d AS (SELECT wall, first, last FROM r WHERE first > 0 AND last < most AND last - first + 1 >= 6)"""
 
 
+def _layers(spark, sf_dir):
+    return points(spark, sf_dir).select(F.col("p").alias("wall"), F.floor(F.col("y").cast("double") / 2).cast("int").alias("bin"), F.floor("z").cast("long").alias("k"))
+
+
 def _stretches(spark, sf_dir):
-    v = points(spark, sf_dir).select(F.col("p").alias("wall"), F.floor(F.col("y").cast("double") / 2).cast("int").alias("bin"), F.floor("z").cast("long").alias("k"))
-    held = v.groupBy("wall", "bin").agg(F.min("k").alias("low"), F.max("k").alias("high"))
-    bins = v.groupBy("wall").agg(F.max("bin").alias("most")).select("wall", F.explode(F.sequence(F.lit(0), "most")).alias("bin"))
-    return bins.join(held, ["wall", "bin"], "left").withColumn("bottom", F.when((F.col("wall") + F.col("bin")) % 11 != 0, F.lit(0)))
+    held = _layers(spark, sf_dir).where("bin >= 0").groupBy("wall", "bin").agg(F.min("k").alias("low"), F.max("k").alias("high"))
+    # a bin that holds something brings the empty ones before it
+    after = F.coalesce(F.lag("bin").over(Window.partitionBy("wall").orderBy("bin")) + 1, F.lit(0))
+    bins = held.withColumns({"last": F.col("bin"), "after": after}).withColumn("bin", F.explode(F.sequence("after", "bin")))
+    own = lambda c: F.when(F.col("bin") == F.col("last"), F.col(c)).alias(c)
+    return bins.select("wall", "bin", own("low"), own("high"), F.when((F.col("wall") + F.col("bin")) % 11 != 0, F.lit(0)).alias("bottom"))
 
 
 @query(f"WITH {_DOORS} SELECT * FROM d")
@@ -88,8 +95,7 @@ def wall_heights(spark, sf_dir):
 def slab_additions(spark, sf_dir):
     """Voxels of each wall's slab that no point occupies."""
     d = _extents(spark, sf_dir).where("bottom <= top").select("wall", "bin", F.explode(F.sequence("bottom", "top")).alias("k"))
-    held = points(spark, sf_dir).select(F.col("p").alias("wall"), F.floor(F.col("y").cast("double") / 2).cast("int").alias("bin"), F.floor("z").cast("long").alias("k"))
-    return d.join(held, ["wall", "bin", "k"], "left_anti").groupBy("wall").agg(F.count("*").alias("n"), F.sum(F.col("bin") * 100 + F.col("k")).alias("places"))
+    return d.join(_layers(spark, sf_dir), ["wall", "bin", "k"], "left_anti").groupBy("wall").agg(F.count("*").alias("n"), F.sum(F.col("bin") * 100 + F.col("k")).alias("places"))
 
 
 _R = "(0.004 + (id % 5) * 0.003)"
