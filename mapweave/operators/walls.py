@@ -174,6 +174,13 @@ def extents(stretches: DataFrame, voxel: float) -> DataFrame:
     return profiles(stretches, voxel, 0.6, 0.5).where("bottom is not null").select("wall", "bin", "bottom", "top")
 
 
+def additions(heights: DataFrame, held: DataFrame) -> DataFrame:
+    """wall, bin, k: the layers of each bin's slab that are not held. heights: wall, bin, bottom, top. held: wall, bin, k. A bin's held layers travel as one array, so the slab's layers are not dealt."""
+    layers = held.groupBy("wall", "bin").agg(F.collect_set("k").alias("held"))
+    d = heights.where("bottom <= top").join(layers, ["wall", "bin"], "left").withColumn("k", F.sequence("bottom", "top"))
+    return d.select("wall", "bin", F.explode(F.when(F.col("held").isNull(), F.col("k")).otherwise(F.array_except("k", "held"))).alias("k"))
+
+
 # ---- what carries on past the band ----
 
 

@@ -94,8 +94,8 @@ def wall_heights(spark, sf_dir):
 @query(f"WITH {_EXTENTS}, a AS (SELECT wall, bin, unnest(range(bottom, top + 1)) AS k FROM x WHERE bottom <= top) SELECT wall, count(*) AS n, CAST(sum(bin * 100 + k) AS BIGINT) AS places FROM (SELECT * FROM a EXCEPT SELECT wall, bin, k FROM v) GROUP BY wall")
 def slab_additions(spark, sf_dir):
     """Voxels of each wall's slab that no point occupies."""
-    d = _extents(spark, sf_dir).where("bottom <= top").select("wall", "bin", F.explode(F.sequence("bottom", "top")).alias("k"))
-    return d.join(_layers(spark, sf_dir), ["wall", "bin", "k"], "left_anti").groupBy("wall").agg(F.count("*").alias("n"), F.sum(F.col("bin") * 100 + F.col("k")).alias("places"))
+    d = W.additions(_extents(spark, sf_dir), _layers(spark, sf_dir))
+    return d.groupBy("wall").agg(F.count("*").alias("n"), F.sum(F.col("bin") * 100 + F.col("k")).alias("places"))
 
 
 _R = "(0.004 + (id % 5) * 0.003)"

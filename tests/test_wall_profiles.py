@@ -70,6 +70,15 @@ def test_bins_are_read_and_dealt_once(spark):
     assert plan.count("Exchange") == 1 and plan.count("Scan ExistingRDD") == 1 and "unboundedfollowing" not in plan
 
 
+def test_layers_of_a_slab_are_not_dealt(spark):
+    heights = spark.createDataFrame([(1, 0, 0, 3), (1, 1, 2, 1), (2, 0, 1, 2), (2, 1, 5, 5)], "wall long, bin int, bottom long, top long")
+    held = spark.createDataFrame([(1, 0, 1), (1, 0, 1), (1, 0, 9), (1, 1, 2), (2, 0, 1), (2, 0, 2), (3, 0, 0)], "wall long, bin int, k long")
+    d = walls.additions(heights, held)
+    assert sorted(map(tuple, d.collect())) == [(1, 0, 0), (1, 0, 2), (1, 0, 3), (2, 1, 5)]
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")
+
+
 def test_first_rows_of_one_group_are_ranked_by_ranges(spark):
     rows = pd.DataFrame({"g": [0] * 4000 + [1] * 5, "v": [i * 37 % 500 for i in range(4005)], "id": range(4005)})
     got = picks.first_rows(spark.createDataFrame(rows), ["g"], ["v", "id"], F.greatest(F.expr("n * 6 div 10"), F.lit(4)))
