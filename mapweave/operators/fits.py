@@ -1,35 +1,40 @@
-"""Robust fits and iterative solvers in numpy, each over one bounded group (a session, a plane's band, a loop pair, a pose graph)."""
+"""Robust fits and iterative solvers in numpy, each over one bounded group (a plane's band, a loop pair, a pose graph), sessions over many at once."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 Pose = tuple[np.ndarray, np.ndarray]  # position, unit quaternion (x, y, z, w)
 
 
 #: Distances that are held at once where a medoid is looked for.
 PAIRS = 1_000_000
+#: Rows from which whole groups are worked on at once.
+BATCH = 65_536
 
 
 def pose_distances(t: np.ndarray, q: np.ndarray, weight: float = 0.5, rows: slice | np.ndarray = slice(None)) -> np.ndarray:
-    """From `rows` to all: metres, and weight metres per radian."""
-    d = np.linalg.norm(t[rows][:, None] - t[None], axis=2)
-    return d + weight * 2 * np.arccos(np.minimum(np.abs(q[rows] @ q.T), 1.0))
+    """From `rows` to all: metres, and weight metres per radian. Groups may be stacked in front."""
+    d = sum((t[..., rows, c][..., None] - t[..., None, :, c]) ** 2 for c in range(3))
+    return np.sqrt(d) + weight * 2 * np.arccos(np.minimum(np.abs(q[..., rows, :] @ q.swapaxes(-1, -2)), 1.0))
 
 
-def medoid(t: np.ndarray, q: np.ndarray, weight: float = 0.5) -> int:
-    """The pose with the least sum of distances to all, the first of equal ones. The distance is a metric, so a measured sum bounds all others from below (by how far they are from it), and poses whose bound is over the best sum are not measured.
+def medoid(t: np.ndarray, q: np.ndarray, weight: float = 0.5, count: np.ndarray | None = None) -> int:
+    """The pose with the least sum of distances to all, the first of equal ones; `count` says how often each is there. The distance is a metric, so a measured sum bounds all others from below (by how far they are from it), and poses whose bound is over the best sum are not measured.
     At most PAIRS distances are held; equal poses of a large group are measured once. Poses whose sums all but agree (on a circle, say) are all measured."""
-    n = len(t)
-    if n * n <= PAIRS:
-        return int(pose_distances(t, q, weight).sum(1).argmin())
-    both, first, count = np.unique(np.c_[t, q], axis=0, return_index=True, return_counts=True)
-    t, q, m = both[:, :3], both[:, 3:], len(both)
-    low, open_, best = np.zeros(m), np.ones(m, bool), (np.inf, n)
+    count = np.ones(len(t)) if count is None else count
+    if len(t) ** 2 <= PAIRS:
+        return int((pose_distances(t, q, weight) * count).sum(1).argmin())
+    both, first, at = np.unique(np.c_[t, q], axis=0, return_index=True, return_inverse=True)
+    t, q, m, count = both[:, :3], both[:, 3:], len(both), np.bincount(at.ravel(), count)
+    n = count.sum()
+    low, open_, best = np.zeros(m), np.ones(m, bool), (np.inf, len(at))
     rows = np.unique(np.linspace(0, m - 1, min(m, 16, max(1, PAIRS // m))).astype(int))
     while len(rows):
         d = pose_distances(t, q, weight, rows)
@@ -44,30 +49,75 @@ def medoid(t: np.ndarray, q: np.ndarray, weight: float = 0.5) -> int:
 
 
 def robust_pose(t: np.ndarray, q: np.ndarray, delta: float = 0.05, weight: float = 0.5, steps: int = 5) -> Pose:
-    """The medoid, then reweighted means: Huber weights by the distance to the estimate; orientations by the leading eigenvector of the weighted sum of q q'."""
-    best = medoid(t, q, weight)
-    pos, rot = t[best], q[best]
+    """`robust_poses` of one group."""
+    pos, rot = robust_poses(t[None], q[None], np.ones((1, len(t))), delta, weight, steps)
+    return pos[0], rot[0]
+
+
+def robust_poses(t: np.ndarray, q: np.ndarray, count: np.ndarray, delta: float = 0.05, weight: float = 0.5, steps: int = 5) -> Pose:
+    """Of stacked groups of one size (group, pose, axis), count times each pose: the medoid, then reweighted means: Huber weights by the distance to the estimate; orientations by the leading eigenvector of the weighted sum of q q'."""
+    if t.shape[1] ** 2 <= PAIRS:
+        best = (pose_distances(t, q, weight) * count[:, None]).sum(2).argmin(1)
+    else:
+        best = np.array([medoid(*g[:2], weight, g[2]) for g in zip(t, q, count, strict=True)])
+    pos, rot = (np.take_along_axis(a, best[:, None, None], 1)[:, 0] for a in (t, q))
     for _ in range(steps):
-        r = np.linalg.norm(t - pos, axis=1) + weight * 2 * np.arccos(np.minimum(np.abs(q @ rot), 1.0))
-        w = np.where(r <= delta, 1.0, delta / np.maximum(r, 1e-12))
-        pos = (w[:, None] * t).sum(0) / w.sum()
-        rot = np.linalg.eigh((w[:, None, None] * q[:, :, None] * q[:, None, :]).sum(0))[1][:, -1]
-    return pos, rot * (1 if rot[3] >= 0 else -1)
+        r = np.linalg.norm(t - pos[:, None], axis=2) + weight * 2 * np.arccos(np.minimum(np.abs(q @ rot[:, :, None])[:, :, 0], 1.0))
+        w = count * np.where(r <= delta, 1.0, delta / np.maximum(r, 1e-12))
+        pos = (w[:, :, None] * t).sum(1) / w.sum(1)[:, None]
+        rot = np.linalg.eigh((w[:, :, None] * q).swapaxes(1, 2) @ q)[1][:, :, -1]
+    return pos, rot * np.where(rot[:, 3:] >= 0, 1, -1)
+
+
+def _segment_poses(p: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """`robust_poses` of sorted poses (x, y, z, qx, qy, qz, qw), a group from each index of `first`: equal poses once, groups of one size at once."""
+    other = np.r_[True, (p[1:] != p[:-1]).any(1)]
+    other[first] = True
+    kept = np.flatnonzero(other)
+    count, first = np.diff(np.r_[kept, len(p)]).astype(float), np.searchsorted(kept, first)
+    size = np.diff(np.r_[first, len(kept)])
+    t, q = p[kept, :3], p[kept, 3:]
+    q = q / np.linalg.norm(q, axis=1, keepdims=True)
+    out = np.empty((len(first), 7))
+    for m in np.unique(size):
+        same = np.flatnonzero(size == m)
+        for part in np.split(same, range(k := max(1, PAIRS // m**2), len(same), k)):
+            at = first[part, None] + np.arange(m)
+            out[part, :3], out[part, 3:] = robust_poses(t[at], q[at], count[at])
+    return out
 
 
 def session_poses(rows: DataFrame, by: list[str], least: int = 3) -> DataFrame:
-    """Per group of glimpses (x, y, z, qx, qy, qz, qw) with at least `least`: the robust pose and how many there were."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < least:
-            return pd.DataFrame(columns=[*by, "n", *"xyz", "qx", "qy", "qz", "qw"])
-        pdf = pdf.sort_values([*"xyz", "qx", "qy", "qz", "qw"])
-        q = pdf[["qx", "qy", "qz", "qw"]].to_numpy(float)
-        pos, rot = robust_pose(pdf[[*"xyz"]].to_numpy(float), q / np.linalg.norm(q, axis=1, keepdims=True))
-        return pd.DataFrame([[*pdf[by].iloc[0], len(pdf), *pos, *rot]], columns=[*by, "n", *"xyz", "qx", "qy", "qz", "qw"])
+    """Per group of glimpses (x, y, z, qx, qy, qz, qw) with at least `least`: the robust pose and how many there were. Tasks take their sorted rows by whole groups, some BATCH rows at a time."""
+    pose = [*"xyz", "qx", "qy", "qz", "qw"]
+
+    def poses(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(batches)
+        first = np.flatnonzero(whole["__nth"].to_numpy() == 1)
+        n = np.diff(np.r_[first, len(whole)])
+        on = np.repeat(n >= least, n)
+        first, n = first[n >= least], n[n >= least]
+        if len(n):
+            out = _segment_poses(np.column_stack([whole[c].to_numpy()[on] for c in pose]), np.cumsum(n) - n)
+            keys = whole.select(by).take(first).columns
+            yield from pa.table([*keys, pa.array(n), *map(pa.array, out.T)], [*by, "n", *pose]).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            starts = np.flatnonzero(b.column("__nth").to_numpy() == 1)
+            if len(starts) and size + starts[-1] >= BATCH:
+                yield from poses([*held, b.slice(0, starts[-1])])
+                held, size, b = [], 0, b.slice(starts[-1])
+            held.append(b)
+            size += len(b)
+        if size:
+            yield from poses(held)
 
     schema = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in by) + ", n long, x double, y double, z double, qx double, qy double, qz double, qw double"
-    return rows.groupBy(*by).applyInPandas(run, schema)
+    d = rows.select(*by, *[F.col(c).cast("double").alias(c) for c in pose])
+    # the window brings a group's rows together and in order
+    return d.withColumn("__nth", F.row_number().over(Window.partitionBy(*by).orderBy(*pose))).mapInArrow(run, schema)
 
 
 def plane(points: np.ndarray) -> tuple[float, float, float] | None:

@@ -62,6 +62,53 @@ def test_medoid_measures_few_pairs(monkeypatch):
     assert sum(d.size for d in held) < len(t) ** 2 / 2 and max(d.size for d in held) <= fits.PAIRS
 
 
+def plain_pose(t, q):
+    """A group by itself: all pairs, then five weighted means."""
+    best = fits.pose_distances(t, q).sum(1).argmin()
+    pos, rot = t[best], q[best]
+    for _ in range(5):
+        r = np.linalg.norm(t - pos, axis=1) + np.arccos(np.minimum(np.abs(q @ rot), 1.0))
+        w = np.where(r <= 0.05, 1.0, 0.05 / np.maximum(r, 1e-12))
+        pos = (w[:, None] * t).sum(0) / w.sum()
+        rot = np.linalg.eigh((w[:, None, None] * q[:, :, None] * q[:, None, :]).sum(0))[1][:, -1]
+    return np.r_[pos, rot * (1 if rot[3] >= 0 else -1)]
+
+
+def test_session_poses_of_many_groups_at_once(spark, monkeypatch):
+    """Groups over the ends of batches, of up to two rows, of copies, and one that is too large for all pairs."""
+    rng, rows = np.random.default_rng(6), []
+    sizes = [*rng.integers(1, 9, 400).tolist(), 70, 150, 1300]
+    for k, n in enumerate(sizes):
+        p = np.c_[rng.gamma(1, 0.4, (n, 3)), rng.normal(size=(n, 4)) * 0.2 + [0, 0, 0, 1]]
+        p = np.r_[p, p[: n // 3], p[: n // 3]] if n > 5 else p
+        rows += [(None if k == 7 else k, *x) for x in rng.permutation(p).tolist()]
+    d = spark.createDataFrame(rows, "k long, x double, y double, z double, qx double, qy double, qz double, qw double").repartition(3)
+    monkeypatch.setattr(fits, "BATCH", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        poses = fits.session_poses(d, ["k"])
+        got = {r[0]: r[1:] for r in poses.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = {}
+    for k, *p in rows:
+        groups.setdefault(k, []).append(p)
+    assert set(got) == {k for k, g in groups.items() if len(g) >= 3}
+    for k, (n, *pose) in got.items():
+        p = np.array(sorted(groups[k]))
+        assert n == len(p) and np.allclose(pose, plain_pose(p[:, :3], p[:, 3:] / np.linalg.norm(p[:, 3:], axis=1, keepdims=True)), atol=1e-9)
+    assert "FlatMapGroups" not in poses._jdf.queryExecution().executedPlan().toString()  # no call of Python per group
+
+
+def test_groups_of_one_size_take_one_call(monkeypatch):
+    rng, calls, whole = np.random.default_rng(7), [], fits.robust_poses
+    n = rng.integers(3, 8, 5000)
+    p = np.c_[rng.random((n.sum(), 3)), np.zeros((n.sum(), 3)), np.ones(n.sum())]
+    monkeypatch.setattr(fits, "robust_poses", lambda *a: calls.append(len(a[0])) or whole(*a))
+    assert fits._segment_poses(p, np.cumsum(n) - n).shape == (5000, 7)
+    assert len(calls) == 5 and sum(calls) == 5000
+
+
 def test_neighbours_of_a_dense_cloud_with_copies(spark, monkeypatch):
     """Every pair within 0.1 would be millions here."""
     rng = np.random.default_rng(4)
